@@ -3,29 +3,20 @@
 from pyspark.sql import functions as F
 
 from vigil import fixed
-from vigil.catalog.registry import query
+from vigil.catalog.registry import query, quote, rows
 from vigil.functions.text import display_time, event_time
 from vigil.operators import normalize as N
 
 
-def _quote(s):
-    return "'" + s.replace("'", "''") + "'"
-
-
-def _rows(rows):
-    return ", ".join("(" + ", ".join(_quote(v) if isinstance(v, str) else "NULL" if v is None else str(v) for v in r) + ")"
-                     for r in rows)
-
-
 def _re(pattern, group):
     if group == 10:  # the oracle numbers groups up to 9: make the ninth a plain part
         pattern, group = pattern.replace('"([^"]*)"\\s+"', '"[^"]*"\\s+"'), 9
-    return f"regexp_extract(raw, {_quote(pattern)}, {group})"
+    return f"regexp_extract(raw, {quote(pattern)}, {group})"
 
 
 def _event_columns(source, *extra):
     def run(view):
-        events = N.normalize_logs(view("raw_logs").where(F.col("log_type") == source))
+        events = N.normalize_logs(view("raw_logs"), [source])
         meta = [F.coalesce(F.try_element_at("metadata", F.lit(k)), F.lit("")).alias(k) for k in extra]
         return events.select("line_id", "timestamp", "event_type", "severity", "src_ip", "dst_ip", "src_port",
                              "dst_port", "protocol", "action", "username", "hostname", "description", *meta)
@@ -43,7 +34,7 @@ def _oracle(source, test, **values):
 
 
 def _matches(pattern):
-    return f"regexp_matches(raw, {_quote(pattern)})"
+    return f"regexp_matches(raw, {quote(pattern)})"
 
 
 _FW = [_re(fixed.FIREWALL_LINE, n) for n in range(8)]
@@ -61,11 +52,11 @@ _AD = f"""SELECT line_id, coalesce(raw ->> 'TimeCreated', '') AS timestamp, coal
  coalesce(m.text, 'AD event') || ' - User: ' || coalesce(raw ->> 'TargetUserName', 'N/A') AS description,
  raw ->> 'EventID' AS windows_event_id, raw ->> 'LogonType' AS logon_type
  FROM (SELECT * FROM @raw_logs WHERE log_type = 'active_directory' AND starts_with(raw, '{{')) r
- LEFT JOIN (VALUES {_rows(fixed.WINDOWS_EVENTS)}) m(id, event_type, action, severity, text) ON m.id = CAST(r.raw ->> 'EventID' AS INTEGER)"""
+ LEFT JOIN (VALUES {rows(fixed.WINDOWS_EVENTS)}) m(id, event_type, action, severity, text) ON m.id = CAST(r.raw ->> 'EventID' AS INTEGER)"""
 query("b2_directory_log", _AD)(_event_columns("active_directory", "windows_event_id", "logon_type"))
 
 _W = [_re(fixed.WEB_LINE, n) for n in range(11)]
-_inj = " OR ".join(f"contains(lower({_W[5]}), {_quote(m.lower())})" for m in fixed.INJECTION_MARKS)
+_inj = " OR ".join(f"contains(lower({_W[5]}), {quote(m.lower())})" for m in fixed.INJECTION_MARKS)
 _rec = f"({_W[7]} = '404' AND (" + " OR ".join(f"contains({_W[5]}, '{p}')" for p in fixed.RECON_PATHS) + "))"
 query("b3_web_log", _oracle(
     "web_server", _matches(fixed.WEB_LINE), timestamp=_W[3],
@@ -155,7 +146,7 @@ def _(view):
 
 
 @query("b12_cef_severity", f"""SELECT o_orderkey, CAST(m.n AS INTEGER) AS severity FROM orders
- LEFT JOIN (VALUES {_rows(fixed.CEF_SEVERITY)}) m(label, n) ON m.label = CASE o_orderkey % 9 WHEN 0 THEN 'EMERGENCY' WHEN 1 THEN 'ALERT'
+ LEFT JOIN (VALUES {rows(fixed.CEF_SEVERITY)}) m(label, n) ON m.label = CASE o_orderkey % 9 WHEN 0 THEN 'EMERGENCY' WHEN 1 THEN 'ALERT'
  WHEN 2 THEN 'CRITICAL' WHEN 3 THEN 'ERROR' WHEN 4 THEN 'WARNING' WHEN 5 THEN 'NOTICE' WHEN 6 THEN 'INFO' WHEN 7 THEN 'DEBUG' ELSE 'OTHER' END""")
 def _(view):
     label = F.expr("element_at(array('emergency', 'alert', 'Critical', 'ERROR', 'warning', 'notice', 'info', 'debug', 'other'), int(o_orderkey % 9) + 1)")

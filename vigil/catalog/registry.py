@@ -35,12 +35,31 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def rows(table) -> str:
+    """Constant rows as the inside of VALUES."""
+    def one(v):
+        if isinstance(v, (list, tuple)):
+            return "[" + ", ".join(one(x) for x in v) + "]"
+        if isinstance(v, str):
+            return quote(v)
+        if isinstance(v, bool):
+            return "true" if v else "false"
+        if isinstance(v, float):
+            return f"CAST({v} AS DOUBLE)"
+        return "NULL" if v is None else str(v)
+    return ", ".join("(" + ", ".join(one(v) for v in r) + ")" for r in table)
+
+
 def _expand(sql: str) -> str:
-    used = sorted(set(re.findall(r"@(\w+)", sql)))
+    used = sorted(set(re.findall(r"(?<=\s)@(\w+)", sql)))
     for name in used:
         if name not in VIEWS:
             raise KeyError(name)
-    body = re.sub(r"@(\w+)", r"v_\1", sql.strip())
+    body = re.sub(r"(?<=\s)@(\w+)", r"v_\1", sql.strip())
     views = ", ".join(f"v_{n} AS ({oracle_view(n)})" for n in used)
     if not views:
         return body

@@ -136,7 +136,7 @@ def expand_targets(df: DataFrame, spec: str = "target") -> DataFrame:
     """
     text = F.col(spec)
     parts = F.when(text.contains(",") & ~text.contains("/"),
-                   F.array_distinct(F.transform(F.split(text, ","), F.trim))).otherwise(F.array(text))
+                   F.array_distinct(F.transform(F.split(text, ","), lambda x: F.trim(x)))).otherwise(F.array(text))
     piece = F.col("_piece")
     total = block_size(prefix_length(piece))
     low = cidr_low(piece)

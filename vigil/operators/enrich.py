@@ -76,9 +76,9 @@ def clean_domain(name):
 
 def blocked_domain(df: DataFrame, domain: str = "domain") -> DataFrame:
     """Add ``domain_blocked``: the cleaned name contains a blocked one."""
-    name = clean_domain(domain)
-    test = reduce(lambda a, b: a | b, [name.contains(d) for d in fixed.BLOCKED_DOMAINS])
-    return df.withColumn("domain_blocked", F.coalesce(test, F.lit(False)))
+    test = reduce(lambda a, b: a | b, [F.col("_name").contains(d) for d in fixed.BLOCKED_DOMAINS])
+    return (df.withColumn("_name", clean_domain(domain))
+            .withColumn("domain_blocked", F.coalesce(test, F.lit(False))).drop("_name"))
 
 
 def with_mitre(df: DataFrame, attack_type: str = "attack_type") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vigil.functions.network import cidr_low, ip_to_num, literal_range, prefix_length
+from vigil.functions.network import cidr_high, cidr_low, ip_to_num, literal_range, prefix_length
 from vigil.tables import BROADCAST_ROWS
 
 # Up to this many networks become a CASE expression instead of a join.
@@ -32,9 +32,9 @@ def match_networks(df: DataFrame, ip: str, networks: DataFrame, columns: list[st
     """Left join to the matching network with the largest ``rank``; ties take the longer prefix.
 
     A range condition would compare every row with every network.  A short list becomes a CASE
-    over constant ranges.  A longer one becomes one equi-join on the masked address per prefix
-    length that occurs (33 at most), so the work per row does not grow with the number of
-    networks.  ``columns`` of the match are NULL without one.
+    over constant ranges.  A longer one becomes an equi-join on the masked address for each of
+    the eight block lengths /4, /8 .. /32 that occur, so the work per row does not grow with the
+    number of networks.  ``columns`` of the match are NULL without one.
     """
     valid = networks.where(prefix_length(cidr).isNotNull())
     types = {c: networks.schema[c].dataType for c in columns}
@@ -43,18 +43,19 @@ def match_networks(df: DataFrame, ip: str, networks: DataFrame, columns: list[st
         number = F.col("_number")
         return (df.withColumn("_number", ip_to_num(ip))
                 .withColumns(_case(number, few, columns, rank, cidr, types)).drop("_number"))
-    # one row per network: the best ranked
-    nets = (valid.withColumns({"_length": prefix_length(cidr), "_low": cidr_low(cidr)})
-            .groupBy("_length", "_low")
-            .agg(F.max_by(F.struct(*columns), F.struct(rank, *columns)).alias("_match"),
-                 F.max(rank).alias("_rank")))
-    sizes = {r[0]: r[1] for r in nets.groupBy("_length").count().collect()}
+    # a network is cut into the blocks of the next length in steps of four (at most 16 of them)
+    level = F.greatest(F.lit(4), F.ceil(F.col("_length") / 4) * 4).cast("int")
+    block = F.call_function("shiftleft", F.lit(1).cast("bigint"), 32 - F.col("_level"))
+    blocks = (valid.withColumns({"_length": prefix_length(cidr), "_low": cidr_low(cidr), "_high": cidr_high(cidr)})
+              .withColumn("_level", level)
+              .withColumn("_key", F.explode(F.sequence("_low", "_high", block)))
+              .groupBy("_level", "_key")
+              .agg(F.max(F.struct(F.col(rank).alias("rank"), F.col("_length").alias("length"),
+                                  F.struct(*columns).alias("match"))).alias("_match")))
+    sizes = {r[0]: r[1] for r in blocks.groupBy("_level").count().collect()}
     out = df.withColumn("_number", ip_to_num(ip))
     for n, rows in sorted(sizes.items()):
-        side = nets.where(F.col("_length") == n).select(
-            F.col("_low").alias("_key"),
-            F.struct(F.col("_rank").alias("rank"), F.lit(n).alias("length"),
-                     F.col("_match").alias("match")).alias(f"_m{n}"))
+        side = blocks.where(F.col("_level") == n).select("_key", F.col("_match").alias(f"_m{n}"))
         masked = F.col("_number") - F.col("_number") % F.lit(2 ** (32 - n)).cast("bigint")
         side = F.broadcast(side) if rows <= BROADCAST_ROWS else side
         out = out.join(side, masked == F.col("_key"), "left").drop("_key")

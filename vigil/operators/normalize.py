@@ -39,7 +39,7 @@ _LINES = {"firewall": (fixed.FIREWALL_LINE, 7), "web_server": (fixed.WEB_LINE, 1
 _MARK = "\x01"
 
 
-def _split_line(raw_logs: DataFrame) -> DataFrame:
+def _split_line(raw_logs: DataFrame, sources) -> DataFrame:
     """Add ``_parts``, the groups of a line, and ``_json``, the object of a directory line.
 
     One replacement turns a line into its marked-off groups, so the pattern runs once per line
@@ -47,11 +47,14 @@ def _split_line(raw_logs: DataFrame) -> DataFrame:
     """
     raw, parts = F.col("raw"), None
     for source, (pattern, count) in _LINES.items():
+        if source not in sources:
+            continue
         marked = F.regexp_replace(raw, f"(?s:^.*?){pattern}(?s:.*$)",
                                   _MARK.join(f"${n}" for n in range(1, count + 1)))
         test, value = F.col("log_type") == source, F.split(marked, _MARK, -1)
         parts = F.when(test, value) if parts is None else parts.when(test, value)
     json = F.from_json(raw, _DIRECTORY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    parts = F.lit(None).cast("array<string>") if parts is None else parts
     return raw_logs.withColumns({"_parts": parts,
                                  "_json": F.when(F.col("log_type") == "active_directory", json)})
 
@@ -170,25 +173,26 @@ _PARSERS = {"firewall": _firewall, "active_directory": _directory, "web_server":
 
 def _status() -> Column:
     kind = F.col("log_type")
+    count = F.create_map(*[F.lit(v) for source, (_, n) in _LINES.items() for v in (source, n)])
     parsed = (F.when(kind == "active_directory", F.col("_json").isNotNull() & F.col("_json._corrupt").isNull())
-              .when(kind == "syslog", F.lit(True)))
-    for source in ("firewall", "web_server", "dns", "vpn"):
-        parsed = parsed.when(kind == source, _fits(source))
+              .when(kind == "syslog", F.lit(True))
+              .otherwise(F.size("_parts") == F.try_element_at(count, kind)))
     return F.when(~kind.isin(fixed.LOG_SOURCES), "unknown").when(parsed, kind).otherwise("parse_errors")
 
 
-def normalize_logs(raw_logs: DataFrame) -> DataFrame:
+def normalize_logs(raw_logs: DataFrame, sources=tuple(fixed.LOG_SOURCES)) -> DataFrame:
     """Parsed events of ``(log_type, raw, ...)`` rows; other input columns are kept.
 
     One pass: each line is parsed by the branch of its log type.  Lines that do not parse are left
-    out, see :func:`ingestion_stats`.
+    out, see :func:`ingestion_stats`; so are log types that are not among ``sources``.
     """
     event = None
-    for source in fixed.LOG_SOURCES:
+    for source in sources:
         test = F.col("log_type") == source
         event = F.when(test, _PARSERS[source]()) if event is None else event.when(test, _PARSERS[source]())
-    parsed = (_split_line(raw_logs.where(F.col("raw").isNotNull()))
-              .where(_status() == F.col("log_type")).withColumn("_event", event))
+    lines = raw_logs.where(F.col("raw").isNotNull() & F.col("log_type").isin(list(sources)))
+    parsed = (_split_line(lines, sources).where(_status() == F.col("log_type"))
+              .withColumn("_event", event))
     kept = [c for c in raw_logs.columns if c not in ("log_type", "raw")]
     return (parsed.select(*kept, F.col("log_type").alias("source_type"), F.col("raw").alias("raw_log"), "_event.*")
             .withColumn("event_time", event_time("timestamp")))
@@ -203,7 +207,7 @@ def with_event_id(events: DataFrame, *columns: str) -> DataFrame:
 
 def ingestion_stats(raw_logs: DataFrame) -> DataFrame:
     """Lines per outcome: one row per source, ``parse_errors`` and ``unknown``."""
-    return (_split_line(raw_logs).groupBy(_status().alias("parse_status"))
+    return (_split_line(raw_logs, fixed.LOG_SOURCES).groupBy(_status().alias("parse_status"))
             .agg(F.count(F.lit(1)).alias("lines")))
 
 
