@@ -4,7 +4,7 @@ import importlib
 
 from vigil.catalog import registry
 
-MODULES = ["q_normalize", "q_enrich", "q_detect"]
+MODULES = ["q_normalize", "q_enrich", "q_detect", "q_firewall"]
 
 
 def queries():

@@ -33,11 +33,11 @@ def _strftime(pattern: str) -> str:
 
 
 def choose(index: str, values, q) -> str:
-    """CASE picking constants by a number; the last value is the default."""
-    values = list(values)
-    whens = " ".join(f"WHEN {n} THEN {q(v) if isinstance(v, str) else v}" for n, v in enumerate(values[:-1]))
-    last = q(values[-1]) if isinstance(values[-1], str) else values[-1]
-    return f"(CASE {index} {whens} ELSE {last} END)"
+    """Constant picked by a number from 0; a list look-up keeps the generated code small."""
+    items = ", ".join(q(v) if isinstance(v, str) else str(v) for v in values)
+    if q is _SPARK["quote"]:
+        return f"element_at(array({items}), CAST({index} AS INT) + 1)"
+    return f"list_extract([{items}], {index} + 1)"
 
 
 DOMAINS = ["example.com", "www.evil-c2.tk", "phishing-bank.ml", "cdn.crypto-miner.xyz", "data-exfil.top",
@@ -105,8 +105,7 @@ def raw_logs(d) -> str:
     syslog = (f"CASE WHEN {n} % 5 = 0 THEN 'plain text line number ' || {t(n)} ELSE '<' || {t(f'{n} % 192')} || '>1 ' || {iso} || "
               f"'Z host' || {t('user_id % 40')} || ' sshd ' || {t(n)} || ' - Connection closed by ' || {ip} END")
     kind = (f"CASE WHEN {n} % 23 = 0 THEN 'netflow' ELSE {choose(f'{n} % 6', fixed.LOG_SOURCES, q)} END")
-    line = choose(f"{n} % 6", [], q) if False else (
-        f"CASE {n} % 6 WHEN 0 THEN {fw} WHEN 1 THEN {ad} WHEN 2 THEN {web} WHEN 3 THEN {dns} WHEN 4 THEN {vpn} ELSE {syslog} END")
+    line = f"CASE {n} % 6 WHEN 0 THEN {fw} WHEN 1 THEN {ad} WHEN 2 THEN {web} WHEN 3 THEN {dns} WHEN 4 THEN {vpn} ELSE {syslog} END"
     return (f"SELECT event_id AS line_id, {kind} AS log_type, CASE WHEN {n} % 31 = 0 AND {n} % 6 <> 5 THEN 'garbled ' || {t(n)} "
             f"ELSE {line} END AS raw FROM {{events}}")
 
@@ -209,7 +208,6 @@ BANNER_PORTS = [22, 80, 21, 25, 3306, 8080, 22, 443, 445, 9000, 22, 23, 2222]
 def services(d) -> str:
     """Open services of the assets, one per row of ``part`` (twenty per asset)."""
     q, t, k = d["quote"], d["text"], "p_partkey"
-    nl = (lambda s: q(s)) if d is _DUCK else q
     banners = "(CASE %s %s END)" % (f"{k} % 13", " ".join(
         f"WHEN {n} THEN " + " || chr(10) || ".join(q(part) for part in b.split("\n")) for n, b in enumerate(BANNERS)))
     return f"""SELECT p_partkey AS service_id, {d['div'](k, 20)} AS asset_id, '10.3.' || {t(d['div'](k, 5000) + ' % 250')} || '.' || {t(d['div'](k, 20) + ' % 250 + 1')} AS host,

@@ -12,7 +12,8 @@ from vigil.operators.enrich import with_mitre
 DAY = 86_400
 # The driver events are spread over thirty days, so the windows are counted in days here.
 BRUTE, SCAN, VPN, WEB = (5, 4 * DAY), (8, 12 * DAY), (3, 2 * DAY), (3, 2 * DAY)
-VECTORS = [("login", 2, 2 * DAY), ("deny", 3, 3 * DAY), ("web", 1, DAY), ("vpn", 1, 2 * DAY)]
+LAYERS = {"login": BRUTE, "deny": SCAN, "web": WEB, "vpn": VPN}
+VECTORS = [(name, C.VECTOR_ROWS[name], seconds) for name, (_, seconds) in LAYERS.items()]
 DENIED = "source_type = 'firewall' AND action IN ('DENY', 'DROP', 'REJECT')"
 WEBBED = "event_type IN ('injection_attempt', 'recon_attempt')"
 
@@ -127,12 +128,12 @@ def _(view):
 
 @query("f8_multi_vector", vectors())
 def _(view):
-    return C.multi_vector(view("events"), vectors=VECTORS)
+    return C.multi_vector(view("events"), layers=LAYERS)
 
 
 @query("d20_suspicious_vectors", multi())
 def _(view):
-    return C.multi_vector_incidents(view("events"), vectors=VECTORS)
+    return C.multi_vector_incidents(view("events"), layers=LAYERS)
 
 
 _ALL = f"""WITH listed AS (SELECT e.src_ip, min((e.us, e.event_id)) AS f FROM @events e JOIN (VALUES {THREATS}) t(ip, kind, country) ON t.ip = e.src_ip GROUP BY 1),
@@ -143,7 +144,7 @@ _ALL = f"""WITH listed AS (SELECT e.src_ip, min((e.us, e.event_id)) AS f FROM @e
 
 
 def all_incidents(view):
-    return C.incidents(view("events"), BRUTE, SCAN, VPN, WEB, VECTORS)
+    return C.incidents(view("events"), LAYERS)
 
 
 @query("j3_siem_incidents", _ALL + " SELECT * FROM incidents")

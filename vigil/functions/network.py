@@ -73,12 +73,16 @@ def literal_range(cidr: str) -> tuple[int, int]:
     return number - number % size, number - number % size + size - 1
 
 
-def in_network(ip, cidr: str) -> Column:
-    """Constant-network test.  ``any`` and ``0.0.0.0/0`` hold for all text, bad text compares equal."""
+def in_network(ip, cidr: str, number: Column | None = None) -> Column:
+    """Constant-network test.  ``any`` and ``0.0.0.0/0`` hold for all text, bad text compares equal.
+
+    ``number`` is the numeric address when it is at hand.
+    """
     if cidr in ("any", "0.0.0.0/0"):
         return F.lit(True)
     low, high = literal_range(cidr)
-    return F.coalesce(ip_to_num(ip).between(low, high), _c(ip) == F.lit(cidr))
+    number = ip_to_num(ip) if number is None else number
+    return F.coalesce(number.between(low, high), _c(ip) == F.lit(cidr))
 
 
 def ip_in_cidr(ip, cidr) -> Column:

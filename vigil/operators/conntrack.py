@@ -68,7 +68,7 @@ def track(packets: DataFrame, us: str = "us", packet_id: str = "packet_id") -> D
     return (rows.withColumns({"tracked": tracked, "_stored": stored})
             .withColumns({"conn_state": answer, "is_reply": F.col("is_reply") & F.col("tracked")
                           & (at != F.coalesce(F.col("_t0"), at))})
-            .withColumn("stored_state", F.when("tracked", F.col("_stored")))
+            .withColumn("stored_state", F.when(F.col("tracked"), F.col("_stored")))
             .drop("_at", "_t0", "_open", "_reset", "_t1", "_t2", "_t3", "_t4", "_t5", "_stored"))
 
 

@@ -22,54 +22,72 @@ def is_web_attack():
     return F.col("event_type").isin("injection_attempt", "recon_attempt")
 
 
-def _incident(fires: DataFrame, attack: str, severity, target, source, text, hits="event_count",
-              country="UNKNOWN") -> DataFrame:
+def _details(attack: str, severity, target, source, text, hits="event_count", country="UNKNOWN"):
+    """What an incident says besides its source and moment, as a struct."""
     as_col = lambda x: F.lit(x) if isinstance(x, str) else x
-    return fires.select(F.lit(attack).alias("attack_type"), as_col(severity).alias("severity"), "src_ip",
-                        as_col(target).alias("target"), as_col(source).alias("source"),
-                        as_col(country).alias("country"), "us", "event_id",
-                        F.col(hits).cast("int").alias("hits") if isinstance(hits, str) else hits.alias("hits"),
-                        text.alias("description"))
+    return F.struct(F.lit(attack).alias("attack_type"), as_col(severity).alias("severity"),
+                    as_col(target).alias("target"), as_col(source).alias("source"),
+                    as_col(country).alias("country"), F.col(hits).cast("int").alias("hits"),
+                    text.alias("description"))
 
 
-def brute_force(events: DataFrame, threshold: int = fixed.BRUTE_FORCE[0],
-                window_us: int = fixed.BRUTE_FORCE[1] * SECOND) -> DataFrame:
-    """Failed logons of one source."""
-    fires = first_fire(events.where(F.col("event_type") == "failed_logon"), "src_ip", threshold, window_us,
-                       keep=["username"])
+def _incident(fires: DataFrame, details) -> DataFrame:
+    return fires.select("src_ip", "us", "event_id", details.alias("_i")) \
+        .select("src_ip", "us", "event_id", "_i.*").select(*INCIDENT)
+
+
+def _brute_force():
     text = F.concat(F.lit("Brute Force Attack: "), F.col("event_count").cast("string"),
                     F.lit(" failed logins from "), "src_ip", F.lit(" targeting '"), "username", F.lit("'"))
-    return _incident(fires, "brute_force", "Critical", F.col("username"), "active_directory", text)
+    return _details("brute_force", "Critical", F.col("username"), "active_directory", text)
 
 
-def port_scan(events: DataFrame, threshold: int = fixed.PORT_SCAN[0],
-              window_us: int = fixed.PORT_SCAN[1] * SECOND) -> DataFrame:
-    """Blocked connections of one source; the severity follows the number of different ports."""
-    fires = first_fire(events.where(is_denied()), "src_ip", threshold, window_us, keep=["dst_ip"],
-                       distinct="dst_port")
+def _port_scan():
     ports = F.col("distinct_values")
     severity = F.when(ports > 15, "Critical").when(ports > 8, "High").otherwise("Medium")
     text = F.concat(F.lit("Port Scan Detected: "), F.col("event_count").cast("string"),
                     F.lit(" blocked connections from "), "src_ip", F.lit(" ("), ports.cast("string"),
                     F.lit(" unique ports)"))
-    return _incident(fires, "port_scan", severity, F.col("dst_ip"), "firewall", text)
+    return _details("port_scan", severity, F.col("dst_ip"), "firewall", text)
 
 
-def vpn_brute_force(events: DataFrame, threshold: int = fixed.VPN_FAIL[0],
-                    window_us: int = fixed.VPN_FAIL[1] * SECOND) -> DataFrame:
-    fires = first_fire(events.where(F.col("event_type") == "vpn_auth_fail"), "src_ip", threshold, window_us)
+def _vpn_brute_force():
     text = F.concat(F.lit("VPN Brute Force: "), F.col("event_count").cast("string"),
                     F.lit(" failed attempts from "), "src_ip")
-    return _incident(fires, "vpn_brute_force", "High", "VPN Gateway", "vpn", text)
+    return _details("vpn_brute_force", "High", "VPN Gateway", "vpn", text)
 
 
-def web_attack(events: DataFrame, threshold: int = fixed.WEB_ATTACK[0],
-               window_us: int = fixed.WEB_ATTACK[1] * SECOND) -> DataFrame:
-    fires = first_fire(events.where(is_web_attack()), "src_ip", threshold, window_us, keep=["uri", "dst_ip"])
+def _web_attack():
     text = F.concat(F.lit("Web Application Attack: "), F.col("event_count").cast("string"),
                     F.lit(" malicious requests from "), "src_ip", F.lit(" (last: "),
                     F.substring("uri", 1, 60), F.lit(")"))
-    return _incident(fires, "sql_injection", "Critical", F.col("dst_ip"), "web_server", text)
+    return _details("sql_injection", "Critical", F.col("dst_ip"), "web_server", text)
+
+
+def brute_force(events: DataFrame, threshold: int = fixed.BRUTE_FORCE[0],
+                window_us: int = fixed.BRUTE_FORCE[1] * SECOND) -> DataFrame:
+    """Failed logons of one source."""
+    return _incident(first_fire(events.where(F.col("event_type") == "failed_logon"), "src_ip",
+                                threshold, window_us, keep=["username"]), _brute_force())
+
+
+def port_scan(events: DataFrame, threshold: int = fixed.PORT_SCAN[0],
+              window_us: int = fixed.PORT_SCAN[1] * SECOND) -> DataFrame:
+    """Blocked connections of one source; the severity follows the number of different ports."""
+    return _incident(first_fire(events.where(is_denied()), "src_ip", threshold, window_us,
+                                keep=["dst_ip"], distinct="dst_port"), _port_scan())
+
+
+def vpn_brute_force(events: DataFrame, threshold: int = fixed.VPN_FAIL[0],
+                    window_us: int = fixed.VPN_FAIL[1] * SECOND) -> DataFrame:
+    return _incident(first_fire(events.where(F.col("event_type") == "vpn_auth_fail"), "src_ip",
+                                threshold, window_us), _vpn_brute_force())
+
+
+def web_attack(events: DataFrame, threshold: int = fixed.WEB_ATTACK[0],
+               window_us: int = fixed.WEB_ATTACK[1] * SECOND) -> DataFrame:
+    return _incident(first_fire(events.where(is_web_attack()), "src_ip", threshold, window_us,
+                                keep=["uri", "dst_ip"]), _web_attack())
 
 
 def dns_tunnel_events(events: DataFrame) -> DataFrame:
@@ -77,15 +95,15 @@ def dns_tunnel_events(events: DataFrame) -> DataFrame:
     rows = events.where(F.col("event_type") == "dns_tunnel_suspect").withColumn("event_count", F.lit(1))
     text = F.concat(F.lit("Potential DNS Tunneling: Unusually long domain query from "), "src_ip",
                     F.lit(" ("), F.substring("domain", 1, 40), F.lit("...)"))
-    return _incident(rows, "dns_tunnel", "High", "DNS Server", "dns", text)
+    return _incident(rows, _details("dns_tunnel", "High", "DNS Server", "dns", text))
 
 
 def malicious_ip_events(events: DataFrame) -> DataFrame:
     """Every event of a listed source as an incident."""
     rows = ip_reputation(events).where(~F.col("safe")).withColumn("event_count", F.lit(1))
     text = F.concat(F.lit("Traffic from known malicious IP: "), "src_ip", F.lit(" ("), "threat_type", F.lit(")"))
-    return _incident(rows, "malicious_ip", "High", F.col("dst_ip"), F.col("source_type"), text,
-                     country=F.col("country"))
+    return _incident(rows, _details("malicious_ip", "High", F.col("dst_ip"), F.col("source_type"), text,
+                                    country=F.col("country")))
 
 
 def first_per_source(incidents: DataFrame) -> DataFrame:
@@ -96,42 +114,79 @@ def first_per_source(incidents: DataFrame) -> DataFrame:
             .select("attack_type", "src_ip", "_i.*").select(*incidents.columns))
 
 
-# vector, rows needed, window (seconds)
-VECTORS = [("login", 2, fixed.BRUTE_FORCE[1]), ("deny", 3, fixed.PORT_SCAN[1]),
-           ("web", 1, fixed.WEB_ATTACK[1]), ("vpn", 1, fixed.VPN_FAIL[1])]
+# layer, rows that make a vector suspicious
+VECTOR_ROWS = {"login": 2, "deny": 3, "web": 1, "vpn": 1}
+# layer -> rows that fire, window in seconds
+LAYERS = {"login": fixed.BRUTE_FORCE, "deny": fixed.PORT_SCAN, "web": fixed.WEB_ATTACK, "vpn": fixed.VPN_FAIL}
 
 
-def _vector():
-    return (F.when(F.col("event_type") == "failed_logon", "login").when(is_denied(), "deny")
-            .when(is_web_attack(), "web").when(F.col("event_type") == "vpn_auth_fail", "vpn"))
+def _by_layer(values: dict):
+    column = None
+    for name, value in values.items():
+        test = F.col("layer") == name
+        column = F.when(test, value) if column is None else column.when(test, value)
+    return column
 
 
-def multi_vector(events: DataFrame, needed: int = 3, vectors=VECTORS) -> DataFrame:
+def layer_rows(events: DataFrame, layers=None) -> tuple[DataFrame, DataFrame]:
+    """First and last rows of every (layer, source, window-long cell), for all four layers at once.
+
+    Nothing else can complete a threshold or open or prolong an active span, see
+    :func:`vigil.operators.thresholds.first_fire`.  Both limits are applied by every task to its
+    own rows before the shuffle, so a busy source never gathers.
+    """
+    layers = layers or LAYERS
+    layer = (F.when(F.col("event_type") == "failed_logon", "login").when(is_denied(), "deny")
+             .when(is_web_attack(), "web").when(F.col("event_type") == "vpn_auth_fail", "vpn"))
+    width = _by_layer({n: int(w * SECOND) for n, (_, w) in layers.items()})
+    depth = max([n for n, _ in layers.values()] + list(VECTOR_ROWS.values()))
+    rows = (events.withColumn("layer", layer).where("layer IS NOT NULL AND src_ip <> ''")
+            .select("layer", "src_ip", "us", "event_id", "username", "dst_ip", "dst_port", "uri")
+            .withColumn("_cell", F.floor(F.col("us") / width)))
+    cell = Window.partitionBy("layer", "src_ip", "_cell")
+    up, down = cell.orderBy("us", "event_id"), cell.orderBy(F.desc("us"), F.desc("event_id"))
+    head = rows.withColumn("_n", F.row_number().over(up)).where(F.col("_n") <= depth).drop("_n")
+    tail = rows.withColumn("_n", F.row_number().over(down)).where(F.col("_n") <= 2 * depth - 1).drop("_n")
+    return head, tail
+
+
+def layer_fires(events: DataFrame, layers=None) -> DataFrame:
+    """First fire per layer and source: what :func:`first_fire` gives, for all layers in one pass."""
+    layers = layers or LAYERS
+    head, tail = layer_rows(events, layers)
+    both = (head.withColumn("_own", F.lit(True))
+            .unionByName(tail.withColumn("_cell", F.col("_cell") + 1).withColumn("_own", F.lit(False))))
+    order = Window.partitionBy("layer", "src_ip", "_cell").orderBy("us", "event_id")
+    since = _by_layer({n: F.lag("us", k - 1).over(order) if k > 1 else F.col("us") for n, (k, _) in layers.items()})
+    width = _by_layer({n: int(w * SECOND) for n, (_, w) in layers.items()})
+    ports = F.size(F.collect_set("dst_port").over(order.rowsBetween(-(layers["deny"][0] - 1), 0)))
+    fired = (both.withColumns({"_since": since, "distinct_values": ports})
+             .where(F.col("_own") & (F.col("us") - F.col("_since") <= width)))
+    values = ["us", "event_id", "username", "dst_ip", "uri", "distinct_values"]
+    return (fired.groupBy("layer", "src_ip")
+            .agg(F.min_by(F.struct(*values), F.struct("us", "event_id")).alias("_f"))
+            .select("layer", "src_ip", "_f.*")
+            .withColumn("event_count", _by_layer({n: F.lit(k) for n, (k, _) in layers.items()})))
+
+
+def multi_vector(events: DataFrame, needed: int = 3, layers=None) -> DataFrame:
     """First moment at which a source is suspicious in ``needed`` of the four vectors.
 
     A vector is active from the row that completes its count until the oldest of those rows leaves
-    the window.  Within one window length only the first k and the last 2k-1 rows of a source can
-    open or prolong an active span, so all others are dropped before the shuffle.
+    the window; the moments that matter are the starts of such spans.
     """
-    rows = (events.withColumn("_v", _vector()).where("_v IS NOT NULL AND src_ip <> ''")
-            .select("src_ip", "us", "event_id", "_v"))
-    spans = None
-    for name, count, seconds in vectors:
-        width = int(seconds * SECOND)
-        one = rows.where(F.col("_v") == name).withColumn("_cell", F.floor(F.col("us") / width))
-        up = Window.partitionBy("src_ip", "_cell").orderBy("us", "event_id")
-        down = Window.partitionBy("src_ip", "_cell").orderBy(F.desc("us"), F.desc("event_id"))
-        head = one.withColumn("_n", F.row_number().over(up)).where(F.col("_n") <= count)
-        tail = one.withColumn("_n", F.row_number().over(down)).where(F.col("_n") <= 2 * count - 1)
-        kept = head.drop("_n", "_cell").unionByName(tail.drop("_n", "_cell")).distinct()
-        order = Window.partitionBy("src_ip").orderBy("us", "event_id")
-        since = F.lag("us", count - 1).over(order) if count > 1 else F.col("us")
-        one = (kept.withColumn("_since", since).where(F.col("us") - F.col("_since") <= width)
-               .withColumn("_until", F.col("_since") + width).drop("_since"))
-        spans = one if spans is None else spans.unionByName(one)
+    layers = layers or LAYERS
+    head, tail = layer_rows(events, layers)
+    columns = ["layer", "src_ip", "us", "event_id"]
+    kept = head.select(*columns).unionByName(tail.select(*columns)).distinct()
+    order = Window.partitionBy("layer", "src_ip").orderBy("us", "event_id")
+    since = _by_layer({n: F.lag("us", k - 1).over(order) if k > 1 else F.col("us") for n, k in VECTOR_ROWS.items()})
+    width = _by_layer({n: int(w * SECOND) for n, (_, w) in layers.items()})
+    spans = (kept.withColumn("_since", since).where(F.col("us") - F.col("_since") <= width)
+             .withColumn("_until", F.col("_since") + width))
     upto = Window.partitionBy("src_ip").orderBy("us").rangeBetween(Window.unboundedPreceding, 0)
-    active = sum((F.coalesce((F.last(F.when(F.col("_v") == name, F.col("_until")), ignorenulls=True).over(upto)
-                              >= F.col("us")).cast("int"), F.lit(0)) for name, _, _ in vectors), F.lit(0))
+    until = lambda name: F.last(F.when(F.col("layer") == name, F.col("_until")), ignorenulls=True).over(upto)
+    active = sum((F.coalesce((until(name) >= F.col("us")).cast("int"), F.lit(0)) for name in layers), F.lit(0))
     hits = spans.withColumn("vectors", active).where(F.col("vectors") >= needed)
     return (hits.groupBy("src_ip").agg(F.min_by(F.struct("us", "event_id", "vectors"),
                                                 F.struct("us", "event_id")).alias("_f"))
@@ -142,34 +197,32 @@ def multi_vector_incidents(events: DataFrame, **options) -> DataFrame:
     fires = multi_vector(events, **options).withColumn("event_count", F.col("vectors"))
     text = F.concat(F.lit("Multi-Vector Attack: IP "), "src_ip", F.lit(" flagged across "),
                     F.col("vectors").cast("string"), F.lit(" different attack vectors"))
-    return _incident(fires, "lateral_movement", "Critical", "Enterprise Network", "cross_correlation", text)
+    return _incident(fires, _details("lateral_movement", "Critical", "Enterprise Network",
+                                     "cross_correlation", text))
 
 
 def without_first_listed(events: DataFrame) -> DataFrame:
     """Drop the first event of every listed source: it ends at the intelligence layer."""
-    first = (ip_reputation(events.groupBy("src_ip").agg(
-        F.min(F.struct("us", "event_id")).alias("_first"))).where(~F.col("safe"))
-        .select(F.col("src_ip").alias("_ip"), "_first"))
+    first = (ip_reputation(events.select("src_ip", "us", "event_id")).where(~F.col("safe"))
+             .groupBy(F.col("src_ip").alias("_ip")).agg(F.min(F.struct("us", "event_id")).alias("_first")))
     # listed sources are at most as many as the intelligence table has rows
     return (events.join(F.broadcast(first), F.col("src_ip") == F.col("_ip"), "left")
             .where("_first IS NULL OR _first <> struct(us, event_id)").drop("_ip", "_first"))
 
 
-def incidents(events: DataFrame, brute=fixed.BRUTE_FORCE, scan=fixed.PORT_SCAN, vpn=fixed.VPN_FAIL,
-              web=fixed.WEB_ATTACK, vectors=VECTORS) -> DataFrame:
+def incidents(events: DataFrame, layers=None) -> DataFrame:
     """All layers, one incident per attack type and source, with its technique.
 
-    Each threshold is ``(rows, seconds)``.
+    ``layers`` maps login, deny, web and vpn to ``(rows, seconds)``.  The four thresholds and the
+    vectors read the same reduced rows, so their shuffles are shared.
     """
     seen = without_first_listed(events)
-    layers = [malicious_ip_events(events),
-              brute_force(seen, brute[0], int(brute[1] * SECOND)),
-              port_scan(seen, scan[0], int(scan[1] * SECOND)),
-              vpn_brute_force(seen, vpn[0], int(vpn[1] * SECOND)),
-              web_attack(seen, web[0], int(web[1] * SECOND)),
-              dns_tunnel_events(seen),
-              multi_vector_incidents(seen, vectors=vectors)]
-    return with_mitre(first_per_source(reduce(DataFrame.unionByName, layers)))
+    thresholds = (layer_fires(seen, layers).withColumn("_i", _by_layer(
+        {"login": _brute_force(), "deny": _port_scan(), "web": _web_attack(), "vpn": _vpn_brute_force()}))
+        .select("src_ip", "us", "event_id", "_i.*").select(*INCIDENT))
+    single = first_per_source(malicious_ip_events(events).unionByName(dns_tunnel_events(seen)))
+    return with_mitre(reduce(DataFrame.unionByName, [
+        thresholds, multi_vector_incidents(seen, layers=layers), single]))
 
 
 def tactic_summary(found: DataFrame) -> DataFrame:

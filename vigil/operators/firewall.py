@@ -59,11 +59,8 @@ def decide(packets: DataFrame, rules: DataFrame | None = None, default_policy: s
     The zone policy only words the reason.  One shuffle on the connection key; zones, policies and
     rules are expressions or small broadcast tables.
     """
-    zoned = with_zone_policy(with_zone(with_zone(packets, "src_ip", "zone_src"), "dst_ip", "zone_dst"))
-    if stateful:
-        zoned = track(zoned)
-    else:
-        zoned = zoned.withColumn("conn_state", F.lit(None).cast("string"))
+    seen = track(packets) if stateful else packets.withColumn("conn_state", F.lit(None).cast("string"))
+    zoned = with_zone_policy(with_zone(with_zone(seen, "src_ip", "zone_src"), "dst_ip", "zone_dst"))
     ruled = apply_rules(zoned, rules, default_policy)
     state = F.coalesce(F.col("conn_state"), F.lit(""))
     by_state = state.isin("ESTABLISHED", "INVALID")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vigil import fixed, tables
-from vigil.functions.network import in_network, ip_in_cidr
+from vigil.functions.network import in_network, ip_in_cidr, ip_to_num
 from vigil.tables import bounded_broadcast
 
 COMPILED_RULES = 500
@@ -17,10 +17,11 @@ def _all(conditions) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
-def rule_condition(rule: dict) -> Column:
+def rule_condition(rule: dict, numbers: dict[str, Column] | None = None) -> Column:
     """Condition of one firewall rule over a packet row; parts left open hold for all packets.
 
     Packets need direction, protocol, addresses, ports, ``tcp_flags`` and the two zone columns.
+    ``numbers`` may name columns that already hold the numeric addresses.
     """
     tests = []
     for name in ("direction", "protocol"):
@@ -28,7 +29,7 @@ def rule_condition(rule: dict) -> Column:
             tests.append(F.col(name) == rule[name])
     for name in ("src_ip", "dst_ip"):
         if rule[name] != "any":
-            tests.append(in_network(name, rule[name]))
+            tests.append(in_network(name, rule[name], (numbers or {}).get(name)))
     for name in ("src_port", "dst_port"):
         if rule[name]:
             tests.append(F.col(name) == rule[name])
@@ -68,25 +69,28 @@ def apply_rules(packets: DataFrame, rules: DataFrame | None = None,
         packets = packets.withColumn("tcp_flags", F.array().cast("array<string>"))
     enabled = rules.where("enabled")
     few = enabled.orderBy("priority", "seq").limit(COMPILED_RULES + 1).collect()
-    fallback = F.struct(F.lit(-1).alias("id"), F.lit("").alias("name"), F.lit(default_policy).alias("action"))
     if len(few) <= COMPILED_RULES:
-        match = fallback
-        for rule in reversed(few):
-            answer = F.struct(F.lit(rule["rule_id"]).alias("id"), F.lit(rule["name"]).alias("name"),
-                              F.lit(rule["action"]).alias("action"))
-            match = F.when(rule_condition(rule.asDict()), answer).otherwise(match)
-        out = packets.withColumn("_match", match)
-    else:
-        side = bounded_broadcast(enabled.select(F.struct("*").alias("_rule")))
-        first = (packets.join(side, _joined_condition(), "inner")
-                 .groupBy(packet_id)
-                 .agg(F.min_by(F.struct(F.col("_rule.rule_id").alias("id"), F.col("_rule.name").alias("name"),
-                                        F.col("_rule.action").alias("action")),
-                               F.struct("_rule.priority", "_rule.seq")).alias("_match")))
-        out = (packets.join(first, packet_id, "left")
-               .withColumn("_match", F.coalesce("_match", fallback)))
-    return out.withColumns({"rule_id": F.col("_match.id"), "rule_name": F.col("_match.name"),
-                            "rule_action": F.col("_match.action")}).drop("_match")
+        # the CASE gives the place of the rule; its columns are then plain look-ups
+        numbers = {n: F.col(f"_{n}") for n in ("src_ip", "dst_ip")}
+        place = F.lit(len(few) + 1)
+        for n, rule in reversed(list(enumerate(few, 1))):
+            place = F.when(rule_condition(rule.asDict(), numbers), n).otherwise(place)
+        pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_place"))
+        return (packets.withColumns({f"_{n}": ip_to_num(n) for n in numbers}).withColumn("_place", place)
+                .withColumns({"rule_id": pick([r["rule_id"] for r in few] + [-1]),
+                              "rule_name": pick([r["name"] for r in few] + [""]),
+                              "rule_action": pick([r["action"] for r in few] + [default_policy])})
+                .drop("_place", "_src_ip", "_dst_ip"))
+    side = bounded_broadcast(enabled.select(F.struct("*").alias("_rule")))
+    first = (packets.join(side, _joined_condition(), "inner")
+             .groupBy(packet_id)
+             .agg(F.min_by(F.struct(F.col("_rule.rule_id").alias("id"), F.col("_rule.name").alias("name"),
+                                    F.col("_rule.action").alias("action")),
+                           F.struct("_rule.priority", "_rule.seq")).alias("_match")))
+    return (packets.join(first, packet_id, "left")
+            .withColumns({"rule_id": F.coalesce("_match.id", F.lit(-1)),
+                          "rule_name": F.coalesce("_match.name", F.lit("")),
+                          "rule_action": F.coalesce("_match.action", F.lit(default_policy))}).drop("_match"))
 
 
 def rule_hits(decided: DataFrame) -> DataFrame:
@@ -119,14 +123,16 @@ def match_signatures(packets: DataFrame, signatures: DataFrame | None = None) ->
     The cheap protocol and port tests come first; a pattern is a literal, compiled once.
     """
     signatures = tables.signatures(packets.sparkSession) if signatures is None else signatures
-    names = ["sid", "name", "severity", "action", "category", "mitre"]
+    listed = signatures.orderBy("seq").collect()
+    place = None
+    for n, s in enumerate(listed, 1):
+        place = F.when(_signature_condition(s), n) if place is None else place.when(_signature_condition(s), n)
+    pick = lambda name: F.element_at(F.array(*[F.lit(s[name]) for s in listed]), F.col("_place")).alias(name)
     details = F.concat(F.lit("Matched: "), F.substring("payload", 1, 80)).alias("details")
-    match = None
-    for s in signatures.orderBy("seq").collect():
-        answer = F.struct(*[F.lit(s[n]).alias(n) for n in names], details)
-        test = _signature_condition(s)
-        match = F.when(test, answer) if match is None else match.when(test, answer)
-    return packets.withColumn("signature", match)
+    fields = [pick(n) for n in ("sid", "name", "severity", "action", "category", "mitre")]
+    return (packets.withColumn("_place", place)
+            .withColumn("signature", F.when(F.col("_place").isNotNull(), F.struct(*fields, details)))
+            .drop("_place"))
 
 
 def match_content(packets: DataFrame, contents: DataFrame | None = None) -> DataFrame:
