@@ -109,3 +109,62 @@ def per_key(df: DataFrame, key: str, compute) -> DataFrame:
     parts = [compute(df.where(~is_hot | F.col(key).isNull()), by_window),
              compute(df.where(is_hot), by_broadcast)]
     return reduce(DataFrame.unionByName, parts)
+
+
+def _scan_pieces(df: DataFrame, key: str, order: list[str], hot: dict, merge, start) -> DataFrame:
+    """Running values per key: within each piece, then combined with what earlier pieces hold.
+
+    ``merge`` is the aggregate (``F.max`` or ``F.sum``); ``start`` maps a new column to the value it
+    runs over.
+    """
+    pieces = ordered_pieces(df, key, order, hot)
+    inside = Window.partitionBy(key, "piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = pieces.withColumns({f"_in_{n}": merge(v).over(inside) for n, v in start.items()})
+    # one row per piece of a hot key
+    totals = (pieces.where(F.col(key).isin(list(hot))).groupBy(key, "piece")
+              .agg(*[merge(v).alias(f"_all_{n}") for n, v in start.items()]))
+    before = Window.partitionBy(key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(key, "piece", *[merge(f"_all_{n}").over(before).alias(f"_off_{n}") for n in start])
+    out = local.join(F.broadcast(offsets), [key, "piece"], "left")
+    combine = F.greatest if merge is F.max else (lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+    return out.select(*df.columns, *[combine(F.col(f"_in_{n}"), F.col(f"_off_{n}")).alias(n) for n in start])
+
+
+def running(df: DataFrame, key: str, order: list[str], merge, start: dict[str, Column]) -> DataFrame:
+    """Running ``F.max`` or ``F.sum`` per key without one task per key."""
+    hot = hot_keys(df, key)
+    if hot:
+        return _scan_pieces(df, key, order, hot, merge, start)
+    inside = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({n: merge(v).over(inside) for n, v in start.items()})
+
+
+def rows_in_window(df: DataFrame, key: str, window_us: int, name: str, us: str = "us",
+                   row_id: str = "event_id") -> DataFrame:
+    """Add the number of rows of the key in ``[us - window, us]`` up to the row itself.
+
+    For a hot key the count is the row's place minus the number of rows older than the window.  The
+    latter is read off by a probe row placed at the start of the window, so both are running
+    counts over evenly cut pieces.
+    """
+    hot = hot_keys(df, key)
+    is_hot = F.col(key).isin(list(hot))
+    frame = Window.partitionBy(key).orderBy(us).rangeBetween(-window_us, 0)
+    peers = Window.partitionBy(key, us)
+    # a range frame includes later rows of the same moment: take those off again
+    same = F.count(F.lit(1)).over(peers) - F.row_number().over(peers.orderBy(row_id))
+    cold = df.where(~is_hot | F.col(key).isNull()) if hot else df
+    cold = cold.withColumn(name, (F.count(F.lit(1)).over(frame) - same).cast("bigint"))
+    if not hot:
+        return cold
+    rows = df.where(is_hot)
+    probes = rows.select(key, (F.col(us) - window_us).alias(us), F.lit(0).alias("_probe_last"),
+                         F.col(row_id).alias(row_id), F.lit(0).alias("_counts"))
+    marks = rows.select(key, us, F.lit(1).alias("_probe_last"), row_id, F.lit(1).alias("_counts"))
+    # probes come before rows of the same moment, so rows exactly at the edge still count
+    counted = _scan_pieces(probes.unionByName(marks), key, [us, "_probe_last", row_id], hot, F.sum,
+                           {"_n": F.col("_counts")})
+    place = counted.where(F.col("_counts") == 1).select(key, row_id, F.col("_n").alias("_place"))
+    older = counted.where(F.col("_counts") == 0).select(key, row_id, F.col("_n").alias("_older"))
+    both = place.join(older, [key, row_id]).select(F.col(row_id), (F.col("_place") - F.col("_older")).cast("bigint").alias(name))
+    return cold.unionByName(rows.join(both, row_id))
