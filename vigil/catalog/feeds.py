@@ -208,11 +208,12 @@ BANNER_PORTS = [22, 80, 21, 25, 3306, 8080, 22, 443, 445, 9000, 22, 23, 2222]
 def services(d) -> str:
     """Open services of the assets, one per row of ``part`` (twenty per asset)."""
     q, t, k = d["quote"], d["text"], "p_partkey"
+    kind = f"({d['div'](k, 20)} + {k} % 2) % 11"       # two kinds of service per asset
     banners = "(CASE %s %s END)" % (f"{k} % 13", " ".join(
         f"WHEN {n} THEN " + " || chr(10) || ".join(q(part) for part in b.split("\n")) for n, b in enumerate(BANNERS)))
     return f"""SELECT p_partkey AS service_id, {d['div'](k, 20)} AS asset_id, '10.3.' || {t(d['div'](k, 5000) + ' % 250')} || '.' || {t(d['div'](k, 20) + ' % 250 + 1')} AS host,
-  CAST({choose(f'{k} % 13', BANNER_PORTS, q)} AS INT) AS port, {choose(f'{k} % 11', [s[0] for s in SERVICES], q)} AS service,
-  {choose(f'{k} % 11', [s[1] for s in SERVICES], q)} AS version, {choose(f'{k} % 11', [s[2] for s in SERVICES], q)} AS protocol,
+  CAST({choose(f'{k} % 13', BANNER_PORTS, q)} AS INT) AS port, {choose(kind, [s[0] for s in SERVICES], q)} AS service,
+  {choose(kind, [s[1] for s in SERVICES], q)} AS version, {choose(kind, [s[2] for s in SERVICES], q)} AS protocol,
   {banners} AS banner, {choose(f'{k} % 4', ['DENY', 'missing', '', 'SAMEORIGIN'], q)} AS x_frame_options, {k} % 3 = 0 AS supports_tls10,
   {choose(f'{k} % 5', ['TLSv1.0', 'TLSv1.1 ECDHE', 'TLS 1.2', 'TLSv1.3', 'SSLv3'], q)} AS tls_info, CAST({choose(f'{k} % 4', [56, 112, 128, 256], q)} AS INT) AS cipher_bits,
   {choose(f'{k} % 3', ['open', 'closed', 'filtered'], q)} AS state FROM {{part}}"""
