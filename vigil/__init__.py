@@ -1 +1,9 @@
 """Security analytics over tables and streams, written as Spark DataFrame jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The small helpers that run inside tasks travel with the job, so executors need no copy of
+# this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

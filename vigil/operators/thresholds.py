@@ -158,7 +158,7 @@ def first_distinct_fire(df: DataFrame, key: str, value: str, threshold: int, win
                   F.filter("_seen", lambda s: s["_at"] <= F.col("_at")), lambda s: s["_value"]))))
               .where(F.col("distinct_values") >= threshold))
     return (marked.groupBy(key)
-            .agg(F.min_by(F.struct(F.col("_at.us").alias("us"), F.col("_at.event_id").alias("event_id"),
+            .agg(F.min_by(F.struct(F.col("_at.us").alias("us"), F.col("_at.event_id").alias(event_id),
                                    "distinct_values"), F.col("_at")).alias("_fire"))
             .select(key, "_fire.*"))
 
