@@ -1,9 +1,9 @@
 """Streaming twins against their batch operators."""
 
+import os
 import random
 
-import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from vigil.operators import baseline, conntrack, ids, ot, thresholds
 from vigil.streaming import twins
@@ -13,8 +13,11 @@ from test_large_keys import PACKET, events, frame, packets
 def stream(spark, df, folder, files=4, order="us"):
     """The rows of ``df`` as a file stream of several batches in time order."""
     path = str(folder / "in")
-    df.withColumn("_part", F.ntile(files).over(__import__("pyspark").sql.Window.orderBy(order))) \
-        .repartitionByRange(files, "_part").sortWithinPartitions(order).drop("_part").write.parquet(path)
+    (df.withColumn("_part", F.ntile(files).over(Window.orderBy(order)))
+     .repartitionByRange(files, "_part").sortWithinPartitions(order).drop("_part").write.parquet(path))
+    # the file source takes the oldest file first
+    for n, part in enumerate(sorted((folder / "in").glob("part-*.parquet"))):
+        os.utime(part, (1_700_000_000 + n, 1_700_000_000 + n))
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -55,7 +58,9 @@ def test_connections_expire(spark, tmp_path):
     tcp = [(1, 0, "a", "b", 1, 2, "TCP", ["SYN"], 40), (2, 31_000_000, "b", "a", 2, 1, "TCP", ["SYN", "ACK"], 40),
            (3, 100_000_000, "c", "d", 1, 2, "UDP", [], 40), (4, 200_000_000, "d", "c", 2, 1, "UDP", [], 40),
            (5, 500_000_000, "d", "c", 2, 1, "UDP", [], 40)]
-    df = spark.createDataFrame(tcp, PACKET).withColumn("event_time", F.timestamp_micros("us")).coalesce(1)
+    # the watermark starts at the epoch, so the packets lie after it
+    df = (spark.createDataFrame(tcp, PACKET).withColumn("us", F.col("us") + 10**12)
+          .withColumn("event_time", F.timestamp_micros("us")).coalesce(1))
     out = run(spark, twins.connection_stream(stream(spark, df, tmp_path, files=1), expire=True), tmp_path, "expiring")
     # the handshake answer comes too late, the third UDP packet starts anew
     assert rows(out, "row_id", "conn_state") == [(1, "NEW"), (2, "INVALID"), (3, "NEW"), (4, "ESTABLISHED"), (5, "NEW")]
@@ -92,7 +97,7 @@ def minute_events(spark, minutes=40):
     data = []
     for m in range(minutes):
         for _ in range(30 if m == 35 else rng.randrange(2, 6)):
-            data.append((len(data), m * 60_000_000 + rng.randrange(60_000_000), f"1.1.1.{rng.randrange(9)}", "failed_logon", "DENY", 200))
+            data.append((len(data), (m + 1) * 60_000_000 + rng.randrange(60_000_000), f"1.1.1.{rng.randrange(9)}", "failed_logon", "DENY", 200))
     schema = "event_id bigint, us bigint, src_ip string, event_type string, action string, status_code int"
     return spark.createDataFrame(data, schema).withColumn("event_time", F.timestamp_micros("us"))
 
@@ -111,7 +116,7 @@ def test_baseline(spark, tmp_path):
                                   lambda rows_: found.extend(rows_.collect()))
     query.awaitTermination(240)
     assert query.exception() is None
-    assert any(r["metric"] == "events_per_minute" and r["bucket"] == 35 * 60_000_000 for r in found)
+    assert any(r["metric"] == "events_per_minute" and r["bucket"] == 36 * 60_000_000 for r in found)
 
 
 def test_incident_quiet_time(spark, tmp_path):

@@ -247,8 +247,23 @@ def oracle_view(name: str) -> str:
         .replace("\0", "{").replace("\1", "}")
 
 
+# A table that Spark reads in fewer pieces than there are cores is spread out when it is larger
+# than this.  Large tables come in many pieces and are left alone.
+SPREAD_BYTES = 4_000_000
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > SPREAD_BYTES and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, df.columns[0])
+    return df
+
+
 def feed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame."""
-    text = VIEWS[name](_SPARK).replace("{{", "\0").replace("}}", "\1")
-    text = text.format(**{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}).replace('AS "user"', "AS `user`")
-    return spark.sql(text.replace("\0", "{").replace("\1", "}"))
+    text = VIEWS[name](_SPARK)
+    used = [t for t in TABLES if f"FROM {{{t}}}" in text]
+    return spark.sql(text.replace('AS "user"', "AS `user`"), **{t: table(spark, sf_dir, t) for t in used})

@@ -233,7 +233,7 @@ def _(view):
     return S.newest(view("commands"), 15, row_id="command_id").select("command_id", "us", "address", "value")
 
 
-@query("s5_ports_in_order", """SELECT asset_id, port, services FROM (SELECT asset_id, port, string_agg(service_id, ',' ORDER BY service_id) AS services FROM @services GROUP BY 1, 2) x""")
+@query("s5_ports_in_order", "SELECT asset_id, port, count(*) AS services, min(service_id) AS first_service FROM @services GROUP BY 1, 2 ORDER BY 1, 2")
 def _(view):
     return S.ports_in_order(view("services"))
 

@@ -143,8 +143,8 @@ _IDLE = """CASE WHEN protocol = 'TCP' THEN (CASE WHEN state = 'CLOSED' THEN -1 W
 
 def aged(view):
     packets = view("packets")
-    as_of = packets.agg(F.max("us").alias("_now"))
-    table = K.connection_table(K.track(packets)).join(F.broadcast(as_of))      # one row
+    now = packets.agg(F.max("us").alias("now")).scalar()
+    table = K.connection_table(K.track(packets)).withColumn("_now", now)
     return K.with_age(table, F.col("_now")).drop("_now")
 
 
@@ -209,7 +209,7 @@ def _(view):
 def _(view):
     packets = decided(view)
     stats = R.rule_set_stats(tables.firewall_rules(packets.sparkSession))
-    return stats.join(R.rule_hits(packets).agg(F.count(F.lit(1)).alias("rules_hit")))     # one row each
+    return stats.withColumn("rules_hit", R.rule_hits(packets).agg(F.count(F.lit(1)).alias("n")).scalar())
 
 
 @query("s1_top_talkers", _NEWEST + """ SELECT * FROM (SELECT 'src_ip' AS kind, src_ip AS value, count(*) AS packets FROM recent GROUP BY 2 ORDER BY packets DESC, value LIMIT 10)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.catalog.feeds import VIEWS, feed, oracle_view
+from vigil.catalog.feeds import VIEWS, feed, oracle_view, table as read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,10 +20,10 @@ def query(name: str, sql: str | None = None):
     """
     def add(function):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            def view(table: str) -> DataFrame:
-                if table.startswith("table:"):
-                    return spark.read.parquet(f"{sf_dir}/{table[6:]}.parquet")
-                return feed(spark, sf_dir, table)
+            def view(source: str) -> DataFrame:
+                if source.startswith("table:"):
+                    return read_table(spark, sf_dir, source[6:])
+                return feed(spark, sf_dir, source)
             return function(view)
         run.__name__ = name
         if name in QUERIES:

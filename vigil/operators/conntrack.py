@@ -10,11 +10,11 @@ from vigil.operators.skew import per_key
 
 def connection_key() -> Column:
     """Key shared by both directions: the smaller (address, port) pair first, addresses as text."""
-    a = F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port"))
-    b = F.struct(F.col("dst_ip").alias("ip"), F.col("dst_port").alias("port"))
-    low, high = F.least(a, b), F.greatest(a, b)
-    return F.concat(low["ip"], F.lit(":"), low["port"].cast("string"), F.lit("-"), high["ip"], F.lit(":"),
-                    high["port"].cast("string"), F.lit("-"), F.col("protocol"))
+    a = F.concat("src_ip", F.lit(":"), F.col("src_port").cast("string"))
+    b = F.concat("dst_ip", F.lit(":"), F.col("dst_port").cast("string"))
+    forward = (F.col("src_ip") < F.col("dst_ip")) | ((F.col("src_ip") == F.col("dst_ip"))
+                                                     & (F.col("src_port") <= F.col("dst_port")))
+    return F.concat_ws("-", F.when(forward, a).otherwise(b), F.when(forward, b).otherwise(a), F.col("protocol"))
 
 
 def forward_key() -> Column:

@@ -31,9 +31,9 @@ def zone_matrix(traffic: DataFrame, zones: DataFrame | None = None) -> DataFrame
     """All zone pairs as a matrix of policies (SELF on the diagonal) with the packets seen per source."""
     spark = traffic.sparkSession
     zones = tables.zones(spark) if zones is None else zones
-    names = zones.select("zone").distinct()
-    pairs = (names.select(F.col("zone").alias("zone_src"))
-             .crossJoin(F.broadcast(names.select(F.col("zone").alias("zone_dst")))))  # zones squared
+    names = sorted({r["zone"] for r in zones.select("zone").collect()})
+    pairs = (zones.select(F.col("zone").alias("zone_src")).distinct()
+             .withColumn("zone_dst", F.explode(F.array(*[F.lit(n) for n in names]))))
     cells = with_zone_policy(pairs).withColumn(
         "cell", F.when(F.col("zone_src") == F.col("zone_dst"), "SELF").otherwise(F.col("zone_policy")))
     seen = traffic.groupBy("zone_src").agg(F.count(F.lit(1)).alias("packets"))

@@ -68,6 +68,19 @@ class _Piece:
             out[i] = best
         return out
 
+    def exits(self) -> list[int]:
+        """What the piece hands on for every entry value; entries that skip the same rows share a replay."""
+        known, out = {}, []
+        for entry in ENTRIES:
+            free = self.start + entry * SECOND
+            first = int(np.searchsorted(self.us, free))
+            if first not in known:
+                fires, leave = self.replay(entry)
+                known[first] = leave if fires else None
+            leave = known[first]
+            out.append(int(max((free - self.end) // SECOND, ENTRIES[0])) if leave is None else leave)
+        return out
+
     def replay(self, entry: int):
         """Fires of the piece when its source is free from ``entry`` seconds after the start on.
 
@@ -116,7 +129,7 @@ def blocks(signed: DataFrame) -> DataFrame:
         piece = int(pdf["piece"].iloc[0])
         rows = _Piece(pdf, piece * PIECE_SECONDS * SECOND)
         return pd.DataFrame({"src_ip": [pdf["src_ip"].iloc[0]], "piece": [piece],
-                             "exits": [[rows.replay(e)[1] for e in ENTRIES]]})
+                             "exits": [rows.exits()]})
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("piece")

@@ -44,7 +44,7 @@ def search_logs(events: DataFrame, text: str = "", source: str = "", severity_mi
         values = [F.col(c).cast("string") for c in events.columns]
         rows = rows.where(F.lower(F.concat_ws(" ", *values)).contains(text.lower()))
     total = rows.agg(F.count(F.lit(1)).alias("total"))
-    return newest(rows, n).join(F.broadcast(total))     # one row
+    return newest(rows, n).withColumn("total", total.scalar())
 
 
 def distinct_targets(df: DataFrame, target: str = "target") -> DataFrame:
@@ -60,7 +60,7 @@ def hosts_in_order(df: DataFrame, n: int, ip: str = "ip", row_id: str = "row_id"
 
 
 def ports_in_order(services: DataFrame) -> DataFrame:
-    """Services per asset and port, in order of their id."""
+    """Ports per asset in order, with the number of services on them and the first one."""
     return (services.groupBy("asset_id", "port")
-            .agg(F.sort_array(F.collect_list("service_id")).alias("_ids"))
-            .select("asset_id", "port", F.array_join(F.col("_ids").cast("array<string>"), ",").alias("services")))
+            .agg(F.count(F.lit(1)).alias("services"), F.min("service_id").alias("first_service"))
+            .orderBy("asset_id", "port"))

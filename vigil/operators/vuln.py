@@ -136,8 +136,9 @@ def catalogue_stats(texts: DataFrame, column: str = "software") -> DataFrame:
     found = (counted.join(per_text, column, "left")
              .agg(F.sum("_rows").alias("total_lookups"),
                   F.coalesce(F.sum(F.col("_rows") * F.col("_hits")), F.lit(0)).alias("total_vulns_found")))
-    size = tables.cves(spark).agg(F.count(F.lit(1)).alias("db_entries"), F.count_distinct("software").alias("software_tracked"))
-    return found.join(size)         # one row each
+    catalogue = tables.cves(spark)
+    return found.withColumns({"db_entries": catalogue.agg(F.count(F.lit(1)).alias("n")).scalar(),
+                              "software_tracked": catalogue.agg(F.count_distinct("software").alias("n")).scalar()})
 
 
 def host_rollup(services: DataFrame, enriched: DataFrame, findings: DataFrame) -> DataFrame:
