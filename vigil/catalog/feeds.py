@@ -267,3 +267,12 @@ def feed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name](_SPARK)
     used = [t for t in TABLES if f"FROM {{{t}}}" in text]
     return spark.sql(text.replace('AS "user"', "AS `user`"), **{t: table(spark, sf_dir, t) for t in used})
+
+
+def stream_feed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view as a stream over the same file."""
+    text = VIEWS[name](_SPARK)
+    used = [t for t in TABLES if f"FROM {{{t}}}" in text]
+    read = {t: spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{t}.parquet").schema).parquet(f"{sf_dir}/{t}.parquet*")
+            for t in used}
+    return spark.sql(text.replace('AS "user"', "AS `user`"), **read)

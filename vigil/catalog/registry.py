@@ -7,20 +7,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.catalog.feeds import VIEWS, feed, oracle_view, table as read_table
+from vigil.catalog.feeds import VIEWS, feed, oracle_view, stream_feed, table as read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Register ``function(view)``; ``view(name)`` gives a feed or a driver table.
+    """Register ``function(view)``; ``view(name)`` gives a feed, a feed as a stream or a driver table.
 
     In the oracle text ``@name`` stands for a feed.
     """
     def add(function):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             def view(source: str) -> DataFrame:
+                if source.startswith("stream:"):
+                    return stream_feed(spark, sf_dir, source[7:])
                 if source.startswith("table:"):
                     return read_table(spark, sf_dir, source[6:])
                 return feed(spark, sf_dir, source)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from vigil import fixed
 from vigil.operators.rules import match_signatures
 from vigil.operators.thresholds import SECOND, first_distinct_fire, first_fire
+from vigil.session import durable
 
 FLOOD, FLOOD_WINDOW = fixed.SYN_FLOOD
 SCAN, SCAN_WINDOW = fixed.IDS_PORT_SCAN
@@ -108,18 +109,18 @@ def blocks(signed: DataFrame) -> DataFrame:
     """Blocks set by the rate checks: source, firing packet, kind and end.
 
     A block ends on a whole second.  Three reductions come before any sequence is replayed: only
-    sources that can fire at all, only the first twenty rows of a source and second (the twentieth
-    fires if none did before, and while a source is blocked nothing counts), and hours instead of
-    whole histories.  An hour hands on nothing but the second from which its source is free, so
+    the first twenty rows of a source and second (the twentieth fires if none did before, and while
+    a source is blocked nothing counts; these rows are written down once), only sources that can
+    fire at all, and hours instead of whole histories.  An hour hands on nothing but the second from which its source is free, so
     every hour tabulates that for each second it may receive, the tables are chained per source,
     and the hours report their fires.
     """
     rows = rate_rows(signed).select("src_ip", "us", "packet_id", "dst_port")
-    suspects = syn_floods(rows).select("src_ip").unionByName(port_scans(rows).select("src_ip")).distinct()
     slot = Window.partitionBy("src_ip", "_slot").orderBy("us", "packet_id")
-    few = (rows.join(suspects, "src_ip", "left_semi")
-           .withColumn("_slot", F.floor(F.col("us") / SECOND).cast("bigint"))
-           .withColumn("_n", F.row_number().over(slot)).where(F.col("_n") <= FLOOD).drop("_n"))
+    few = durable(rows.withColumn("_slot", F.floor(F.col("us") / SECOND).cast("bigint"))
+                  .withColumn("_n", F.row_number().over(slot)).where(F.col("_n") <= FLOOD).drop("_n"))
+    suspects = syn_floods(few).select("src_ip").unionByName(port_scans(few).select("src_ip")).distinct()
+    few = few.join(suspects, "src_ip", "left_semi")
     # rows of the last seconds of an hour also go to the next one
     here = F.floor(F.col("_slot") / PIECE_SECONDS).cast("bigint")
     late = F.col("_slot") % PIECE_SECONDS >= PIECE_SECONDS - SCAN_WINDOW - 1

@@ -6,6 +6,7 @@ few values.  Rows later than the watermark are dropped by Spark before they get
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from vigil import fixed
 from vigil.operators import baseline, correlate, enrich, normalize
 from vigil.operators.conntrack import connection_key
+from vigil.session import checkpoint_dir
 
 SECOND = 1_000_000
 
@@ -52,6 +54,25 @@ class InOrder(StatefulProcessor):
         pass
 
 
+def run_available(out: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over everything that is there and return what it wrote.
+
+    Result, offsets and state go to a folder of their own below the checkpoint folder.
+    """
+    spark = out.sparkSession
+    folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = (out.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{folder}/state")
+                 .trigger(availableNow=True).start(f"{folder}/rows"))
+        query.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema(out.schema).parquet(f"{folder}/rows")
+
+
 # ------------------------------------------------------------------ thresholds
 
 class Threshold(InOrder):
