@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
 
 import duckdb
 
+STRICT = bool(os.environ.get("COMPARE_STRICT"))     # compare doubles bit by bit
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -37,7 +39,7 @@ def oracle(sf_dir: str):
 
 def _norm(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else f"{v:.6g}"
+        return "nan" if math.isnan(v) else repr(v + 0.0) if STRICT else f"{v:.6g}"
     return repr(v)
 
 

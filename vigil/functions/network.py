@@ -136,7 +136,6 @@ def expand_targets(df: DataFrame, spec: str = "target") -> DataFrame:
     """One row per address of a target text: address, CIDR, ``a.b.c.x-y`` or a comma list.
 
     A comma list is a set.  Networks shorter than /31 leave out network and broadcast address.
-    The addresses of one network are produced by the task that holds its row.
     """
     text = F.col(spec)
     parts = F.when(text.contains(",") & ~text.contains("/"),
@@ -156,8 +155,13 @@ def expand_targets(df: DataFrame, spec: str = "target") -> DataFrame:
                     F.when(base.isNotNull() & (start <= stop),
                            F.struct((base + start).alias("a"), (base + stop).alias("b"))))
               .when(is_valid_ip(piece), F.struct(ip_to_num(piece).alias("a"), ip_to_num(piece).alias("b"))))
+    # large networks go by way of their /16 blocks, so no array is longer than 65,536
+    block = F.lit(65536).cast("bigint")
+    first, last = F.col("_bounds.a"), F.col("_bounds.b")
     rows = (df.withColumn("_piece", F.explode(parts)).withColumn("_bounds", bounds)
             .where(F.col("_bounds").isNotNull())
-            .withColumn("_n", F.explode(F.sequence(F.col("_bounds.a"), F.col("_bounds.b"))))
-            .withColumn("ip", num_to_ip("_n")).drop("_piece", "_bounds", "_n"))
+            .withColumn("_block", F.explode(F.sequence(F.floor(first / block), F.floor(last / block))))
+            .withColumn("_n", F.explode(F.sequence(F.greatest(first, F.col("_block") * block),
+                                                   F.least(last, (F.col("_block") + 1) * block - 1))))
+            .withColumn("ip", num_to_ip("_n")).drop("_piece", "_bounds", "_block", "_n"))
     return rows.dropDuplicates()

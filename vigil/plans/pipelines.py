@@ -21,8 +21,12 @@ def hot_columns(events: DataFrame) -> DataFrame:
 
 
 def siem(raw_logs: DataFrame, layers=None) -> DataFrame:
-    """Raw lines to incidents: normalise, enrich, detect, map to techniques."""
-    events = normalize.with_event_id(normalize.normalize_logs(raw_logs))
+    """Raw lines to incidents: normalise, enrich, detect, map to techniques.
+
+    Further columns of the input (arrival time, line number) tell equal lines apart.
+    """
+    extra = [c for c in raw_logs.columns if c not in ("log_type", "raw")]
+    events = normalize.with_event_id(normalize.normalize_logs(raw_logs), *extra)
     return correlate.incidents(hot_columns(events).where("us IS NOT NULL"), layers)
 
 
