@@ -139,7 +139,8 @@ def blocks(signed: DataFrame) -> DataFrame:
             if previous is not None and piece != previous + 1:
                 entry = ENTRIES[0]
             entries.append(entry)
-            entry, previous = int(exits[entry - ENTRIES[0]]), piece
+            entry = ENTRIES[0] if exits is None else int(exits[entry - ENTRIES[0]])
+            previous = piece
         return pd.DataFrame({"src_ip": pdf["src_ip"], "piece": pdf["piece"], "entry": entries})
 
     def fires(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -149,10 +150,19 @@ def blocks(signed: DataFrame) -> DataFrame:
         out.insert(0, "src_ip", pdf["src_ip"].iloc[0])
         return out
 
-    tables = pieces.groupBy("src_ip", "piece").applyInPandas(table, "src_ip string, piece bigint, exits array<bigint>")
-    # one row per source and hour
-    entries = tables.groupBy("src_ip").applyInPandas(chain, "src_ip string, piece bigint, entry bigint")
-    return (pieces.join(entries, ["src_ip", "piece"]).groupBy("src_ip", "piece")
+    # only an hour directly followed by another of its source hands anything on
+    keys = pieces.select("src_ip", "piece").distinct()
+    following = F.lead("piece").over(Window.partitionBy("src_ip").orderBy("piece"))     # a row per hour
+    handing = keys.withColumn("_next", following).where(F.col("_next") == F.col("piece") + 1).drop("_next")
+    tables = (pieces.join(handing, ["src_ip", "piece"], "left_semi").groupBy("src_ip", "piece")
+              .applyInPandas(table, "src_ip string, piece bigint, exits array<bigint>"))
+    entries = (keys.join(handing.select("src_ip").distinct(), "src_ip", "left_semi")
+               .join(tables, ["src_ip", "piece"], "left").groupBy("src_ip")
+               .applyInPandas(chain, "src_ip string, piece bigint, entry bigint"))
+    # little data, much work per group: keep the full number of tasks
+    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (pieces.join(entries, ["src_ip", "piece"], "left").fillna(ENTRIES[0], ["entry"])
+            .repartition(tasks, "src_ip", "piece").groupBy("src_ip", "piece")
             .applyInPandas(fires, "src_ip string, fire_us bigint, fire_id bigint, kind string, until_us bigint"))
 
 
