@@ -131,7 +131,7 @@ def trailing_counts(events: DataFrame, time: str = "event_time", delay: str = "5
 
 # ------------------------------------------------------------------ connections
 
-# (state, is reply, flag needed) -> next state, first row that fits (fixed values)
+# seconds a TCP connection may stay silent by state (fixed values); other states take the long limit
 _IDLE = {"SYN_SENT": fixed.TCP_SYN_TIMEOUT, "SYN_RECV": fixed.TCP_SYN_TIMEOUT,
          "FIN_WAIT": fixed.TCP_FIN_TIMEOUT, "CLOSE_WAIT": fixed.TCP_FIN_TIMEOUT}
 
