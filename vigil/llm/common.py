@@ -40,6 +40,11 @@ def word_count(text: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, f"[{SPACE}]+"))).cast("long")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once; a plain expression inside a lambda runs per element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def numbered(df: DataFrame, *order: Column, name: str = "position") -> DataFrame:
     """Add the row number (from 0) in the given order without gathering the rows in one task.
 

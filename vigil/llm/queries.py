@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import mixing, packing
+from vigil.llm import mixing, packing, pii, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,13 @@ def tokenizer_file(name: str = packing.VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op2_quality_rules")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rules = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, rules).select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
 @query("op4_packing")
 def op4(spark, sf_dir):
     parts = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_file())
@@ -39,6 +46,20 @@ def op4(spark, sf_dir):
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@query("op6_personal_data")
+def op6(spark, sf_dir):
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[pii.counted(found["base"], kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.listed(found["base"]), 256).alias("base_sha256"), pii.listed(found["spans"]).alias("spans"))
+
+
+@query("op7_simhash")
+def op7(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_of(found["bits"]).alias("fingerprint"), "component_id")
+
+
 @query("op10_mixing", mixing.ORACLE)
 def op10(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
