@@ -7,12 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import mixing, packing, pii, quality, simhash
+from vigil.llm import chat, licences, mixing, packing, pii, quality, simhash, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Turn with the template's own control strings.
+CONTROL = "\\### Assistant: </turn> ok"
+
+TOPK_ORACLE = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_sum([p[1] * p[2] FOR p IN list_zip(q.v, d.v)])::BIGINT AS score
+  FROM v q JOIN v d ON q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def query(name: str, sql: str | None = None):
     def add(function):
         QUERIES[name] = function
@@ -46,6 +62,17 @@ def op4(spark, sf_dir):
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@query("op5_chat_windows", chat.ORACLE)
+def op5(spark, sf_dir):
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)],
+                                    "conv_id bigint, turn bigint, role string, text string")
+    read = chat.read_back(chat.windows(said.unionByName(control)))
+    return read.select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), F.sha2("turns", 256).alias("turns_sha256"),
+                       F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                       F.col("formatted_chars").cast("long").alias("formatted_chars"))
+
+
 @query("op6_personal_data")
 def op6(spark, sf_dir):
     found = pii.find(table(spark, sf_dir, "documents"))
@@ -60,6 +87,16 @@ def op7(spark, sf_dir):
     return found.select("doc_id", simhash.hex_of(found["bits"]).alias("fingerprint"), "component_id")
 
 
+@query("op8_licences", licences.oracle())
+def op8(spark, sf_dir):
+    return licences.recognise(table(spark, sf_dir, "documents"))
+
+
+@query("op9_exact_topk", TOPK_ORACLE)
+def op9(spark, sf_dir):
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query("op10_mixing", mixing.ORACLE)
 def op10(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
