@@ -18,37 +18,64 @@ VOCABULARY = "word_bpe_49k.json"
 CLASS_ROWS = 5_000
 CACHE_WORDS = 400_000
 LONG_WORD = 64
+CHUNK_BYTES = 4 << 20
+TAIL = ".,!?;:#*$%&"
+OTHER_BLANKS = re.compile("[\x1c-\x1f]")        # white space for Python alone
 
 _encoders: dict = {}
 
 
 class Encoder:
-    """Token ids of texts by a ``tokenizers`` file that drops white space.
+    """Token ids of texts by a ``tokenizers`` file that drops white space and lower-cases.
 
-    Such a tokenizer treats the stretches between blanks alone, so each distinct word is encoded once
-    and kept in a bounded cache; words above 64 characters are not kept.
+    Such a tokenizer treats the stretches between blanks alone, and a run of letters apart from the
+    punctuation behind it, so each distinct run is encoded once and kept in a cache of bounded size, as
+    are whole words; words above 64 characters are not kept.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.cache_words = cache_words
 
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = re.split("[ \t\n\r]+", text)
-        cache = self.cache
-        new = [w for w in dict.fromkeys(words) if w not in cache]
-        rare = {}
-        if new:
-            if len(cache) + len(new) > self.cache_words:
-                cache.clear()
-                new = list(dict.fromkeys(words))
-            found = self.tokenizer.encode_batch(new, add_special_tokens=False)
-            for word, encoding in zip(new, found):
-                (cache if len(word) <= LONG_WORD else rare)[word] = np.array(encoding.ids, "<u4").tobytes()
-        return b"".join([cache[w] if w in cache else rare[w] for w in words] if rare else map(cache.__getitem__, words))
+    def _encoded(self, parts: list[str]) -> dict[str, bytes]:
+        new = [p for p in parts if p not in self.parts]
+        if len(self.parts) + len(new) > self.cache_words:
+            self.parts = {}
+            new = parts
+        found = self.tokenizer.encode_batch(new, add_special_tokens=False)
+        self.parts.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, found))
+        return self.parts
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        split = [t.split() if OTHER_BLANKS.search(t) is None else re.split("[ \t\n\r]+", t) for t in texts]
+        fresh = set().union(*split) - self.words.keys()
+        if len(self.words) + len(fresh) > self.cache_words:
+            self.words = {}
+            fresh = set().union(*split)
+        pairs = [(word, _runs(word)) for word in fresh]
+        parts = self._encoded(list(dict.fromkeys(p for _, runs in pairs for p in runs)))
+        self.words.update((word, parts[runs[0]] if len(runs) == 1 else parts[runs[0]] + parts[runs[1]])
+                          for word, runs in pairs)
+        out = [b"".join(map(self.words.__getitem__, words)) for words in split]
+        if any(len(word) > LONG_WORD for word in fresh):
+            self.words = {w: ids for w, ids in self.words.items() if len(w) <= LONG_WORD}
+            self.parts = {w: ids for w, ids in self.parts.items() if len(w) <= LONG_WORD}
+        return out
+
+
+def _runs(word: str) -> tuple:
+    """A word as a lower-case run of letters and the punctuation behind it, or as it is.
+
+    Only letters below U+0250 without a dotted capital I: those are lower-cased one by one and composed.
+    """
+    run = word.rstrip(TAIL)
+    if run.isalpha() and max(run) < "\u0250" and "\u0130" not in run:
+        return (run.lower(), word[len(run):]) if len(run) < len(word) else (run.lower(),)
+    return (word,)
 
 
 def encoder(path: str) -> Encoder:
@@ -71,20 +98,23 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [])
-            weight = 0
-            for doc, text in zip(batch.column(0), batch.column(1)):
-                ids = encode(text.as_py()) + end
-                n = len(ids) // 4
-                for start in range(0, n, capacity):
-                    part = ids[4 * start:4 * (start + capacity)]
-                    for column, value in zip(rows, (doc.as_py(), start, len(part) // 4, n, part)):
-                        column.append(value)
-                weight += len(ids)
-                if weight > 8 << 20:
-                    yield _batch(batch.schema.field(0).type, rows)
-                    rows, weight = ([], [], [], [], []), 0
-            yield _batch(batch.schema.field(0).type, rows)
+            kind, first = batch.schema.field(0).type, 0
+            texts = batch.column(1)
+            while first < len(batch):
+                last, weight = first, 0
+                while last < len(batch) and weight < CHUNK_BYTES:
+                    weight += len(texts[last].as_buffer() or b"")
+                    last += 1
+                rows: tuple[list, ...] = ([], [], [], [], [])
+                for doc, ids in zip(batch.column(0)[first:last].to_pylist(), encode(texts[first:last].to_pylist())):
+                    ids += end
+                    n = len(ids) // 4
+                    for start in range(0, n, capacity):
+                        part = ids[4 * start:4 * (start + capacity)]
+                        for column, value in zip(rows, (doc, start, len(part) // 4, n, part)):
+                            column.append(value)
+                yield _batch(kind, rows)
+                first = last
 
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(
         run, f"doc_id {id_type.simpleString()}, start bigint, length bigint, doc_tokens bigint, ids binary")
