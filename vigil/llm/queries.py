@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import chat, licences, mixing, packing, pii, quality, simhash, topk
+from vigil.llm import chat, lattice, licences, mixing, packing, pii, quality, simhash, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,6 +54,12 @@ def op2(spark, sf_dir):
     return quality.judge(docs, rules).select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
+@query("op3_lattice_scores")
+def op3(spark, sf_dir):
+    return lattice.score(table(spark, sf_dir, "documents"), tokenizer_file(lattice.VOCABULARY)).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op4_packing")
 def op4(spark, sf_dir):
     parts = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_file())
