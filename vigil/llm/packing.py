@@ -15,7 +15,7 @@ from vigil.llm.common import stored, text_of
 CAPACITY = 2048
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-CLASS_ROWS = 5_000
+CLASS_ROWS = 1_000
 CACHE_WORDS = 400_000
 LONG_WORD = 64
 CHUNK_BYTES = 4 << 20
