@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import chat, lattice, licences, mixing, packing, pii, quality, simhash, topk
+from vigil.llm import chat, lattice, licences, mixing, packing, pii, quality, recompression, simhash, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,6 +16,20 @@ ORACLES: dict[str, str] = {}
 #: Turn with the template's own control strings.
 CONTROL = "\\### Assistant: </turn> ok"
 
+REPEATS_ORACLE = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT r, doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS h
+         FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM docs WHERE len(w) >= 50)),
+firsts AS (SELECT h, min(doc_id) AS first FROM wins GROUP BY h),
+gone AS (SELECT r, list(p) AS places FROM wins JOIN firsts USING (h) WHERE first < doc_id GROUP BY r),
+covered AS (SELECT r, list_distinct(flatten([range(p, p + 50) FOR p IN places])) AS places FROM gone),
+kept AS (
+  SELECT d.r, d.doc_id, len(w) AS n_words, coalesce(len(places), 0) AS n_removed,
+         CASE WHEN places IS NULL THEN w ELSE [w[i] FOR i IN list_sort(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(places, i)))] END AS k
+  FROM docs d LEFT JOIN covered c USING (r))
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""
+
 TOPK_ORACLE = """
 WITH v AS (
   SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
@@ -47,6 +61,14 @@ def tokenizer_file(name: str = packing.VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_substring_dedup", REPEATS_ORACLE)
+def op1(spark, sf_dir):
+    cut = recompression.repeats(table(spark, sf_dir, "documents"))
+    kept = F.when(F.col("n_removed") == 0, F.lower(F.hex("digest"))).otherwise(
+        F.sha2(F.coalesce("kept", F.lit("")), 256))
+    return cut.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
 @query("op2_quality_rules")
 def op2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
