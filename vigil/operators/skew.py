@@ -157,14 +157,30 @@ def rows_in_window(df: DataFrame, key: str, window_us: int, name: str, us: str =
     cold = cold.withColumn(name, (F.count(F.lit(1)).over(frame) - same).cast("bigint"))
     if not hot:
         return cold
-    rows = df.where(is_hot)
+    # a number of its own for each row: ids may repeat
+    rows = durable(df.where(is_hot).withColumn("_row", F.monotonically_increasing_id()))
     probes = rows.select(key, (F.col(us) - window_us).alias(us), F.lit(0).alias("_probe_last"),
-                         F.col(row_id).alias(row_id), F.lit(0).alias("_counts"))
-    marks = rows.select(key, us, F.lit(1).alias("_probe_last"), row_id, F.lit(1).alias("_counts"))
+                         row_id, "_row", F.lit(0).alias("_counts"))
+    marks = rows.select(key, us, F.lit(1).alias("_probe_last"), row_id, "_row", F.lit(1).alias("_counts"))
     # probes come before rows of the same moment, so rows exactly at the edge still count
-    counted = _scan_pieces(probes.unionByName(marks), key, [us, "_probe_last", row_id], hot, F.sum,
+    counted = _scan_pieces(probes.unionByName(marks), key, [us, "_probe_last", row_id, "_row"], hot, F.sum,
                            {"_n": F.col("_counts")})
-    place = counted.where(F.col("_counts") == 1).select(key, row_id, F.col("_n").alias("_place"))
-    older = counted.where(F.col("_counts") == 0).select(key, row_id, F.col("_n").alias("_older"))
-    both = place.join(older, [key, row_id]).select(F.col(row_id), (F.col("_place") - F.col("_older")).cast("bigint").alias(name))
-    return cold.unionByName(rows.join(both, row_id))
+    # a row's count is its place less the rows before its window: one sum over its two marks
+    sign = F.when(F.col("_counts") == 1, F.col("_n")).otherwise(-F.col("_n"))
+    both = counted.groupBy("_row").agg(F.sum(sign).cast("bigint").alias(name))
+    return cold.unionByName(rows.join(both, "_row").drop("_row"))
+
+
+def positions(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """Add the place (from 1) of every row in the given order, without gathering the rows in one task.
+
+    The rows are range-partitioned and sorted once and written; one count per range is added up.
+    """
+    cut = durable(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                  .withColumn("_range", F.spark_partition_id())
+                  .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)     # one row per range
+    starts = counts.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    return (cut.join(F.broadcast(starts), "_range")
+            .withColumn(name, F.col("_start") + F.col("_place") + 1).drop("_range", "_place", "_start"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -25,6 +26,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def durable(df):
-    """Write ``df`` to the checkpoint folder and return a DataFrame that reads it back."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` as Parquet to the checkpoint folder and return a DataFrame that reads it back.
+
+    Nothing of the old plan is carried along, neither lineage nor constraints on columns that later
+    steps leave out.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/vigil-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
