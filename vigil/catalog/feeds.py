@@ -16,15 +16,26 @@ _SPARK = {"micros": lambda c: f"unix_micros(CAST({c} AS TIMESTAMP))",
           "div": lambda a, b: f"(({a}) div ({b}))",
           "text": lambda a: f"CAST({a} AS STRING)",
           "array": lambda *a: f"array({', '.join(a)})",
+          "hex": lambda a: f"CAST(conv({a}, 16, 10) AS BIGINT)",
           "quote": lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"}
 _DUCK = {"micros": lambda c: f"epoch_us({c})",
          "clock": lambda c, f: "strftime(%s, '%s')" % (c, _strftime(f)),
          "div": lambda a, b: f"(({a}) // ({b}))",
          "text": lambda a: f"CAST({a} AS VARCHAR)",
          "array": lambda *a: f"[{', '.join(a)}]",
+         "hex": lambda a: f"CAST('0x' || {a} AS BIGINT)",
          "quote": lambda s: "'" + s.replace("'", "''") + "'"}
 
 
+def line_id(d) -> str:
+    """Number of a row of ``lineitem`` from all that tells its rows apart: 60 bits of their digest."""
+    t = d["text"]
+    parts = [t(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    parts += [t(f"CAST(round({c} * 100) AS BIGINT)") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+    parts += ["l_returnflag", "l_linestatus", t(d["micros"]("l_shipdate"))]
+    return d["hex"](f"substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15)")
+
+
 def _strftime(pattern: str) -> str:
     for spark, c in (("yyyy", "%Y"), ("MMM", "%b"), ("MM", "%m"), ("dd", "%d"), ("HH", "%H"), ("mm", "%M"),
                      ("ss", "%S"), ("''", "")):
@@ -152,7 +163,7 @@ def packets(d, name_other: bool = True) -> str:
     none = "CAST(array() AS ARRAY<STRING>)" if d is _SPARK else "CAST([] AS VARCHAR[])"
     return f"""SELECT *, CASE WHEN src_zone_no = 4 THEN 'FORWARD' WHEN src_zone_no = 0 THEN 'INBOUND' ELSE 'OUTBOUND' END AS direction,
   {'array_join(tcp_flags, ' + "'-'" + ')' if d is _SPARK else "array_to_string(tcp_flags, '-')"} AS flags FROM (
- SELECT (l_orderkey * 8 + l_linenumber) * 10000000 + (l_partkey * 1009 + l_suppkey) % 10000000 AS packet_id,
+ SELECT {line_id(d)} AS packet_id,
   1704067200000000 + {c} * 1000000 + l_linenumber * 100000 + l_partkey % 50000 AS us,
   CASE WHEN {reply} THEN {b} ELSE {a} END AS src_ip, CASE WHEN {reply} THEN {a} ELSE {b} END AS dst_ip,
   CAST(CASE WHEN {reply} THEN {bport} ELSE {aport} END AS INT) AS src_port,
@@ -169,7 +180,7 @@ def commands(d) -> str:
     order = [100, 101, 102, 103, 200, 201, 202, 203, 300, 301, 302, 303, 400, 401, 402, 999]
     return f"""SELECT command_id, us, function_code, address, source_ip,
   CASE WHEN address IN (100, 201) THEN amount * 12 WHEN address IN (400, 402) THEN amount % 3 ELSE amount * 2 END AS value FROM (
- SELECT (l_orderkey * 8 + l_linenumber) * 10000000 + (l_partkey * 1009 + l_suppkey) % 10000000 AS command_id,
+ SELECT {line_id(d)} AS command_id,
   1704067200000000 + l_orderkey * 2000000 + l_linenumber * 250000 AS us,
   CAST(CASE WHEN l_linenumber <= 3 THEN 6 WHEN l_linenumber = 4 THEN 16 ELSE 3 END AS INT) AS function_code,
   CAST(CASE WHEN l_partkey % 3 = 0 THEN 100 ELSE {choose('l_partkey % 16', order, q)} END AS INT) AS address,
