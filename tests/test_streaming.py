@@ -143,5 +143,6 @@ def test_retraining(spark, tmp_path):
     assert twins.retraining_due(50, 0, 301) and not twins.retraining_due(49, 0, 999) and not twins.retraining_due(80, 0, 300)
     df = minute_events(spark).select("event_id", "status_code")
     twins.feature_stream(stream(spark, df, tmp_path, order="event_id"), str(tmp_path / "features"), str(tmp_path / "check")).awaitTermination(240)
-    newest = twins.newest_features(spark, str(tmp_path / "features"), "event_id", 10)
+    assert twins.stored_features(spark, str(tmp_path / "features")).count() == df.count()
+    newest = twins.stored_features(spark, str(tmp_path / "features"), "event_id", 10)
     assert sorted(r[0] for r in newest.select("event_id").collect()) == sorted(r[0] for r in df.orderBy(F.desc("event_id")).limit(10).select("event_id").collect())

@@ -42,7 +42,7 @@ def _(view):
 
 
 _ALL_NETS = "SELECT cidr, CAST(row_id AS INTEGER) AS rank FROM @networks WHERE " + VALID_CIDR.format("cidr") + \
-    " AND CAST(split_part(cidr, '/', 2) AS INT) BETWEEN 4 AND 32"
+    " AND CAST(split_part(cidr, '/', 2) AS INT) BETWEEN 0 AND 32"
 
 
 @query("d2_many_networks", f"""WITH nets AS (SELECT n - n % size AS lo, n - n % size + size - 1 AS hi, length, rank FROM (
@@ -51,7 +51,7 @@ _ALL_NETS = "SELECT cidr, CAST(row_id AS INTEGER) AS rank FROM @networks WHERE "
  addr AS (SELECT row_id, {NUM.format('ip')} AS n FROM @networks)
  SELECT row_id, (SELECT max(rank) FROM nets WHERE addr.n BETWEEN lo AND hi) AS rank FROM addr""")
 def _(view):
-    nets = view("networks").where(X.is_valid_cidr("cidr") & X.prefix_length("cidr").between(4, 32)) \
+    nets = view("networks").where(X.is_valid_cidr("cidr") & X.prefix_length("cidr").between(0, 32)) \
         .select("cidr", F.col("row_id").cast("int").alias("rank"))
     return match_networks(view("networks").select("row_id", "ip"), "ip", nets, ["rank"], "rank").select("row_id", "rank")
 
@@ -195,9 +195,9 @@ def _(view):
     return S.distinct_targets(view("networks"))
 
 
-@query("s4_hosts_in_order", f"SELECT row_id, ip, row_number() OVER (ORDER BY {NUM.format('ip')}, row_id) AS position FROM @networks ORDER BY position LIMIT 100")
+@query("s4_hosts_in_order", f"SELECT row_id, ip, row_number() OVER (ORDER BY {NUM.format('ip')}, row_id) AS position FROM @networks")
 def _(view):
-    return S.hosts_in_order(view("networks").select("row_id", "ip"), 100)
+    return S.hosts_in_order(view("networks").select("row_id", "ip"))
 
 
 # ------------------------------------------------------------------ search and newest rows

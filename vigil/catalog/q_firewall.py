@@ -190,7 +190,7 @@ def _(view):
     return W.totals(decided(view))
 
 
-_NEWEST = DECIDED + ", recent AS (SELECT * FROM decided ORDER BY us DESC, packet_id DESC LIMIT 200)"
+_NEWEST = DECIDED + ", recent AS (SELECT * FROM decided)"
 
 
 @query("e5_log_summary", _NEWEST + """ SELECT 'action' AS grouping, action AS value, count(*) AS packets FROM recent GROUP BY 2 UNION ALL SELECT 'protocol', protocol, count(*) FROM recent GROUP BY 2

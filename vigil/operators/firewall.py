@@ -37,7 +37,7 @@ def zone_matrix(traffic: DataFrame, zones: DataFrame | None = None) -> DataFrame
     cells = with_zone_policy(pairs).withColumn(
         "cell", F.when(F.col("zone_src") == F.col("zone_dst"), "SELF").otherwise(F.col("zone_policy")))
     seen = traffic.groupBy("zone_src").agg(F.count(F.lit(1)).alias("packets"))
-    matrix = cells.groupBy("zone_src").pivot("zone_dst", [z[0] for z in fixed.ZONES]).agg(F.first("cell"))
+    matrix = cells.groupBy("zone_src").pivot("zone_dst", names).agg(F.first("cell"))
     return matrix.join(seen, "zone_src", "left").fillna(0, ["packets"])
 
 
@@ -93,9 +93,13 @@ def newest(df: DataFrame, n: int, us: str = "us", row_id: str = "packet_id") ->
     return df.orderBy(F.desc(us), F.desc(row_id)).limit(n)
 
 
-def log_summary(decided: DataFrame, rows: int = 200) -> DataFrame:
-    """Counts by action, by protocol and by zone pair over the newest rows, in one pass."""
-    recent = newest(decided, rows).select(
+def _recent(decided: DataFrame, rows: int | None) -> DataFrame:
+    return decided if rows is None else newest(decided, rows)
+
+
+def log_summary(decided: DataFrame, rows: int | None = None) -> DataFrame:
+    """Counts by action, by protocol and by zone pair over all or the newest ``rows`` rows, in one pass."""
+    recent = _recent(decided, rows).select(
         "action", "protocol", F.concat("zone_src", F.lit(" -> "), "zone_dst").alias("zone_pair"))
     sets = [["action"], ["protocol"], ["zone_pair"]]
     grouped = recent.groupingSets([[F.col(c) for c in s] for s in sets], "action", "protocol", "zone_pair")
@@ -105,9 +109,12 @@ def log_summary(decided: DataFrame, rows: int = 200) -> DataFrame:
         F.coalesce("action", "protocol", "zone_pair").alias("value"), "packets")
 
 
-def top_talkers(decided: DataFrame, rows: int = 200, n: int = 10) -> DataFrame:
-    """Ten busiest sources and ten busiest ``port/protocol`` targets of the newest rows."""
-    recent = newest(decided, rows)
+def top_talkers(decided: DataFrame, rows: int | None = None, n: int = 10) -> DataFrame:
+    """Ten busiest sources and ten busiest ``port/protocol`` targets of all or the newest ``rows`` rows.
+
+    Sources and targets carry no verdict, so the decision columns are never computed for them.
+    """
+    recent = _recent(decided, rows)
 
     def top(kind, value):
         return (recent.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("packets"))
@@ -117,9 +124,9 @@ def top_talkers(decided: DataFrame, rows: int = 200, n: int = 10) -> DataFrame:
     return top("src_ip", F.col("src_ip")).unionByName(top("dst_port", port))
 
 
-def recent_denies(decided: DataFrame, rows: int = 200, n: int = 20) -> DataFrame:
-    """Last blocked packets among the newest rows."""
-    blocked = newest(decided, rows).where(F.col("action").isin("DENY", "DROP"))
+def recent_denies(decided: DataFrame, rows: int | None = None, n: int = 20) -> DataFrame:
+    """Last blocked packets among all or the newest ``rows`` rows."""
+    blocked = _recent(decided, rows).where(F.col("action").isin("DENY", "DROP"))
     end = lambda a, b: F.concat(F.col(a), F.lit(":"), F.col(b).cast("string"))
     return newest(blocked, n).select("packet_id", "us", end("src_ip", "src_port").alias("src"),
                                      end("dst_ip", "dst_port").alias("dst"), "protocol", "reason")

@@ -154,14 +154,16 @@ def fit_forest(df: DataFrame, features: list[str], row_id: str, trees: int = 100
                contamination: float = 0.1, minimum: int = MINIMUM_ROWS) -> Forest:
     """Isolation forest: every tree is grown in its own task from its own small sample.
 
-    The pool the samples are drawn from is the rows with the smallest hashes, which each task
-    selects for itself; the same data always gives the same forest.
+    Each tree's sample are the rows with the smallest hashes of (row, tree) among all rows.  A row only
+    enters a tree's draw below a cut that leaves about eight times the sample, so few leave their task;
+    the same data always gives the same forest.
     """
     require_rows(df, minimum)
-    pool = (df.select(row_id, *features).orderBy(F.xxhash64(F.col(row_id), F.lit(17)), row_id)
-            .limit(sample * 20))
-    drawn = (pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-             .withColumn("_h", F.xxhash64(F.col(row_id), F.col("tree"))))
+    rows = df.count()
+    cut = int(-(1 << 63) + min(1.0, 8 * sample / max(rows, 1)) * ((1 << 64) - 1))
+    low = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+        t.alias("tree"), F.xxhash64(F.col(row_id), t).alias("_h"))), lambda x: x["_h"] <= F.lit(min(cut, (1 << 63) - 1)))
+    drawn = df.select(row_id, *features, F.inline(low))
     depth = math.ceil(math.log2(sample))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

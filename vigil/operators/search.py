@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from vigil.functions.network import ip_to_num
+from vigil.operators.skew import positions
 
 
 def newest(df: DataFrame, n: int, us: str = "us", row_id: str = "event_id") -> DataFrame:
@@ -23,9 +24,9 @@ def alerts_by_severity(alerts: DataFrame, severity: str | None = None, n: int =
 
 
 def logs_by_source(events: DataFrame, source: str | None = None, n: int = 100) -> DataFrame:
-    """Newest events, of one source or of all; at most 100."""
+    """The ``n`` newest events, of one source or of all."""
     rows = events if not source else equal_to(events, "source_type", source)
-    return newest(rows, min(n, 100))
+    return newest(rows, n)
 
 
 def search_logs(events: DataFrame, text: str = "", source: str = "", severity_min: int = 0,
@@ -52,11 +53,12 @@ def distinct_targets(df: DataFrame, target: str = "target") -> DataFrame:
     return df.select(F.explode(F.transform(F.split(target, ","), lambda x: F.trim(x))).alias(target)).distinct()
 
 
-def hosts_in_order(df: DataFrame, n: int, ip: str = "ip", row_id: str = "row_id") -> DataFrame:
-    """The first ``n`` hosts in numeric address order, with their position."""
-    first = (df.withColumn("_number", ip_to_num(ip)).orderBy("_number", row_id).limit(n))
-    place = Window.orderBy("_number", row_id)           # over n rows
-    return first.withColumn("position", F.row_number().over(place).cast("bigint")).drop("_number")
+def hosts_in_order(df: DataFrame, n: int | None = None, ip: str = "ip", row_id: str = "row_id") -> DataFrame:
+    """All hosts, or the first ``n``, with their position in numeric address order."""
+    rows = df.withColumn("_number", ip_to_num(ip))
+    if n is not None:
+        rows = rows.orderBy("_number", row_id).limit(n)
+    return positions(rows, ["_number", row_id]).drop("_number")
 
 
 def ports_in_order(services: DataFrame) -> DataFrame:

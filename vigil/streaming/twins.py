@@ -136,20 +136,23 @@ _IDLE = {"SYN_SENT": fixed.TCP_SYN_TIMEOUT, "SYN_RECV": fixed.TCP_SYN_TIMEOUT,
          "FIN_WAIT": fixed.TCP_FIN_TIMEOUT, "CLOSE_WAIT": fixed.TCP_FIN_TIMEOUT}
 
 
+#: (state, from the answering side or not or either, flags that must be set, flags that must not, next state).
+#: The first row that fits holds; a state without a fitting row stays.
+TCP_STEPS = [
+    (None, None, {"RST"}, set(), "CLOSED"),
+    ("SYN_SENT", True, {"SYN", "ACK"}, set(), "SYN_RECV"),
+    ("SYN_RECV", False, {"ACK"}, set(), "ESTABLISHED"),
+    ("ESTABLISHED", None, {"FIN"}, set(), "FIN_WAIT"),
+    ("FIN_WAIT", None, {"ACK", "FIN"}, set(), "CLOSED"),
+    ("FIN_WAIT", None, {"ACK"}, {"FIN"}, "CLOSE_WAIT"),
+    ("CLOSE_WAIT", None, {"FIN"}, set(), "CLOSED"),
+]
+
+
 def next_tcp_state(state: str, reply: bool, flags: set) -> str:
-    if "RST" in flags:
-        return "CLOSED"
-    if state == "SYN_SENT" and reply and {"SYN", "ACK"} <= flags:
-        return "SYN_RECV"
-    if state == "SYN_RECV" and not reply and "ACK" in flags:
-        return "ESTABLISHED"
-    if state == "ESTABLISHED" and "FIN" in flags:
-        return "FIN_WAIT"
-    if state == "FIN_WAIT" and "ACK" in flags:
-        return "CLOSED" if "FIN" in flags else "CLOSE_WAIT"
-    if state == "CLOSE_WAIT" and "FIN" in flags:
-        return "CLOSED"
-    return state
+    fits = (after for before, side, needed, barred, after in TCP_STEPS
+            if before in (None, state) and side in (None, reply) and needed <= flags and not barred & flags)
+    return next(fits, state)
 
 
 class Connections(InOrder):
@@ -358,7 +361,7 @@ def retraining_due(rows: int, last_fit_seconds: float, now_seconds: float, neede
 
 
 def feature_stream(features: DataFrame, table: str, checkpoint: str):
-    """Append feature rows to a table; a fit reads its newest thousand."""
+    """Append feature rows to a table for the next fit."""
     def batch(rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
@@ -366,5 +369,7 @@ def feature_stream(features: DataFrame, table: str, checkpoint: str):
             .trigger(availableNow=True).start())
 
 
-def newest_features(spark, table: str, order: str, n: int = 1000) -> DataFrame:
-    return spark.read.parquet(table).drop("batch").orderBy(F.desc(order)).limit(n)
+def stored_features(spark, table: str, order: str | None = None, n: int | None = None) -> DataFrame:
+    """Feature rows to fit on: all of them, or the newest ``n`` by ``order``."""
+    rows = spark.read.parquet(table).drop("batch")
+    return rows if n is None else rows.orderBy(F.desc(order)).limit(n)
