@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from vigil import catalog
 from compare import compare, oracle
 from conftest import SF
 
-NAMES = sorted(entry.oracle_sql())
+NAMES = sorted(catalog.oracles())
 
 
 @pytest.fixture(scope="module")

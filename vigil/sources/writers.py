@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 from vigil.operators.firewall import log_lines
 
 
+MAX_DAYS = 1_000
+
+
 def _existing(df: DataFrame, path: str, key: str) -> DataFrame | None:
     try:
         return df.sparkSession.read.parquet(path).select(key, "event_date")
@@ -18,13 +21,19 @@ def _existing(df: DataFrame, path: str, key: str) -> DataFrame | None:
 def append_unique(df: DataFrame, path: str, key: str, time: str = "event_time") -> None:
     """Append rows whose key is not there yet, partitioned by day.
 
-    Only the days that occur in the batch are read back: the day is part of the join, so the other
-    partitions are pruned at run time.
+    Only the days that occur in the batch are read back, as a filter on the partition column, unless
+    the batch spans more than ``MAX_DAYS`` days.  Rows without a time form a day of their own.
     """
     rows = df.withColumn("event_date", F.to_date(time)).dropDuplicates([key])
     old = _existing(df, path, key)
     if old is not None:
-        rows = rows.join(old, [key, "event_date"], "left_anti")
+        days = [r[0] for r in rows.select("event_date").distinct().limit(MAX_DAYS + 1).collect()]
+        if len(days) <= MAX_DAYS:
+            known = [d for d in days if d is not None]
+            wanted = F.col("event_date").isin(known) if known else F.lit(False)
+            old = old.where(wanted | F.col("event_date").isNull() if None in days else wanted)
+        old = old.select(F.col(key).alias("_key"), F.col("event_date").alias("_day"))
+        rows = rows.join(old, F.col(key).eqNullSafe(F.col("_key")) & F.col("event_date").eqNullSafe(F.col("_day")), "left_anti")
     (rows.sortWithinPartitions("event_date", time).write.mode("append").partitionBy("event_date").parquet(path))
 
 
