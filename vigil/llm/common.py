@@ -45,6 +45,27 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def before(values: Column, combine, zero: int = 0, chunk: int = 128) -> Column:
+    """For each element of an array of ints, ``combine`` over all elements in front of it.
+
+    Arrays cannot grow in place, so the scan runs inside chunks first and over the chunks then.
+    """
+    state = F.struct(F.lit(zero).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(s, value):
+        return F.struct(combine(s["at"], value).cast("int").alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+
+    def scanned(v):
+        return F.transform(F.sequence(F.lit(0), ((F.size(v) - 1) / chunk).cast("int")), lambda k: F.aggregate(
+            F.slice(v, k * chunk + 1, F.lit(chunk)), state, step))
+
+    def joined(chunks):
+        starts = F.aggregate(chunks, state, lambda s, c: step(s, c["at"]), lambda s: s["out"])
+        return let(starts, lambda at: F.flatten(F.transform(chunks, lambda c, k: F.transform(
+            c["out"], lambda x: combine(F.get(at, k), x).cast("int")))))
+    return let(values, lambda v: F.when(F.size(v) > 0, let(scanned(v), joined)).otherwise(F.array().cast("array<int>")))
+
+
 def numbered(df: DataFrame, *order: Column, name: str = "position") -> DataFrame:
     """Add the row number (from 0) in the given order without gathering the rows in one task.
 

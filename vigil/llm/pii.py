@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import SPACE, SPACES, let, stored, text_of, words_of
+from vigil.llm.common import SPACE, SPACES, before, let, stored, text_of, words_of
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -27,7 +27,6 @@ MARKS = "#*$%&|<>!?,;:\"'."
 CANDIDATE = rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
 
 SPAN = "array<struct<kind:int,start:int,end:int>>"
-FOUND = "array<struct<start:int,end:int,text:string,gap:string>>"
 
 
 def positions(text: Column, pattern: str) -> Column:
@@ -36,16 +35,11 @@ def positions(text: Column, pattern: str) -> Column:
                     F.split(text, pattern, -1).alias("gaps"))
 
     def placed(b):
-        pairs = F.transform(b["found"], lambda m, i: F.struct(m.alias("text"), F.get(b["gaps"], i).alias("gap")))
-        return F.aggregate(
-            pairs, F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("out")),
-            lambda s, m: F.struct(
-                (s["at"] + F.length(m["gap"]) + F.length(m["text"])).alias("at"),
-                F.concat(s["out"], F.array(F.struct(
-                    (s["at"] + F.length(m["gap"])).alias("start"),
-                    (s["at"] + F.length(m["gap"]) + F.length(m["text"])).alias("end"),
-                    m["text"].alias("text"), m["gap"].alias("gap")))).alias("out")),
-            lambda s: s["out"])
+        sizes = F.transform(b["found"], lambda m, i: F.length(m) + F.length(F.get(b["gaps"], i)))
+        return let(before(sizes, lambda x, y: x + y), lambda at: F.transform(b["found"], lambda m, i: F.struct(
+            (F.get(at, i) + F.length(F.get(b["gaps"], i))).alias("start"),
+            (F.get(at, i) + F.length(F.get(b["gaps"], i)) + F.length(m)).alias("end"),
+            m.alias("text"), F.get(b["gaps"], i).alias("gap"))))
     return let(both, placed)
 
 
@@ -99,12 +93,12 @@ def candidates(text: Column, spans: Column) -> Column:
     """
     def one(found):
         def entry(m, i):
-            before = F.when(F.btrim(m["gap"], F.lit(SPACES)) == "", F.get(found, i - 1)["text"]).otherwise(F.try_element_at(
+            front = F.when(F.btrim(m["gap"], F.lit(SPACES)) == "", F.get(found, i - 1)["text"]).otherwise(F.try_element_at(
                 words_of(F.right(m["gap"], F.lit(CONTEXT))), F.lit(-1)))
             core = F.btrim(m["text"], F.lit(MARKS))
             lead = F.length(m["text"]) - F.length(F.ltrim(m["text"], F.lit(MARKS)))
             return F.struct((m["start"] + lead).alias("start"), (m["start"] + lead + F.length(core)).alias("end"),
-                            _general(F.coalesce(before, F.lit(""))).alias("context"), F.lower(core).alias("instance"))
+                            _general(F.coalesce(front, F.lit(""))).alias("context"), F.lower(core).alias("instance"))
 
         def known(c):
             met = F.filter(spans, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
@@ -187,12 +181,14 @@ def masked(text: Column, spans: Column) -> Column:
     """``text`` with every span replaced by its kind in brackets; of overlapping spans the first by start stays."""
     ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"])))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    joined = F.aggregate(
-        ordered, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(
-            F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.element_at(names, s["kind"] + 1))).alias("out"))).otherwise(
-                F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))),
-        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+
+    def parts(o):
+        ends = before(F.transform(o, lambda s: s["end"]), F.greatest)
+        pieces = let(ends, lambda at: F.transform(o, lambda s, i: F.when(s["start"] >= F.get(at, i), F.concat(
+            F.substring(text, F.get(at, i) + 1, s["start"] - F.get(at, i)), F.element_at(names, s["kind"] + 1))).otherwise("")))
+        rest = F.substring(text, F.array_max(F.transform(o, lambda s: s["end"])) + 1, F.length(text))
+        return F.concat(F.array_join(pieces, ""), rest)
+    joined = let(ordered, parts)
     return F.when(F.size(spans) > 0, joined).otherwise(text)
 
 
