@@ -6,6 +6,8 @@ from collections import defaultdict, deque
 import pytest
 from pyspark.sql import functions as F
 
+from compare import compare, oracle
+from conftest import SF
 from vigil.operators import conntrack, correlate, ids, ot, skew, thresholds
 
 
@@ -239,3 +241,38 @@ def test_ot_verdicts_cut(spark, hot):
     spark.conf.unset("spark.vigil.rowsPerTask")
     whole = sorted(map(tuple, ot.verdicts(df).select("command_id", "check", "message").collect()))
     assert cut == whole and {"rate_of_change", "write_frequency", "range_violation"} <= {c[1] for c in cut}
+
+
+# ------------------------------------------------------------------ registered queries with hot keys
+
+SKEWED = ["e17_ot_counters", "f13_write_frequency", "h1_unauthorized_writers", "h2_readonly_writes", "h3_range_violations",
+          "h4_accepted_history", "h5_rapid_changes", "h6_frequent_writes", "h8_shutdown_latch", "h8_trip_counts", "h10_change_log",
+          "h12_event_list", "h13_alert_records", "j5_command_verdicts", "j8_unified_alerts"]
+
+
+@pytest.mark.parametrize("limit", ["200", "2000"])
+@pytest.mark.parametrize("name", SKEWED)
+def test_registered_queries_with_hot_keys(spark, name, limit):
+    """The rows equal the oracle's whichever keys are cut into pieces."""
+    spark.conf.set("spark.vigil.rowsPerTask", limit)
+    try:
+        ok, message, _, _ = compare(name, spark, oracle(SF), SF)
+    finally:
+        spark.conf.unset("spark.vigil.rowsPerTask")
+    assert ok, message
+
+
+def test_repeated_ids_keep_their_rows(spark, hot):
+    """A hot key whose ids repeat keeps one row per row, with the counts of a plain replay."""
+    rows = [("a", i // 2, 1_000_000 * (i // 3)) for i in range(60)] + [("b", 0, 5)]
+    df = spark.createDataFrame(rows, "k string, event_id long, us long")
+    got = sorted((r.k, r.event_id, r.us, r.n) for r in skew.rows_in_window(df, "k", 4_000_000, "n").collect())
+    ordered, want = sorted(rows, key=lambda r: (r[0], r[2], r[1])), []
+    for i, (k, e, us) in enumerate(ordered):
+        want.append((k, e, us, sum(x[0] == k and us - 4_000_000 <= x[2] for x in ordered[:i + 1])))
+    assert got == sorted(want)
+
+
+def test_positions_count_all_rows(spark):
+    df = spark.createDataFrame([(i * 7 % 101,) for i in range(101)], "v int")
+    assert [tuple(r) for r in skew.positions(df, ["v"]).orderBy("v").collect()] == [(v, v + 1) for v in range(101)]

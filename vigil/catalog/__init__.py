@@ -4,7 +4,7 @@ import importlib
 
 from vigil.catalog import registry
 
-MODULES = ["q_normalize", "q_enrich", "q_detect", "q_firewall", "q_ot", "q_vuln", "q_ids", "q_stream"]
+MODULES = ["q_normalize", "q_enrich", "q_detect", "q_firewall", "q_ot", "q_vuln", "q_ids", "q_stream", "q_io"]
 
 
 def queries():
