@@ -221,7 +221,17 @@ def _(view):
     return fire.select("src_ip", F.size(ids).alias("event_count"), F.array_join(ids.cast("array<string>"), ",").alias("source_event_ids"))
 
 
-@query("f1_all_fires")
+def all_fires(n, seconds, where, source="@events"):
+    """Every fire when the window empties after each: from a fire on to the first candidate n rows later."""
+    return f"""WITH RECURSIVE numbered AS (SELECT src_ip, us, event_id, row_number() OVER w AS i, lag(us, {n - 1}) OVER w AS since
+   FROM {source} WHERE {where} AND src_ip <> '' WINDOW w AS (PARTITION BY src_ip ORDER BY us, event_id)),
+  candidates AS (SELECT * FROM numbered WHERE us - since <= {int(seconds * 1000000)}),
+  steps AS (SELECT a.src_ip, a.i, min(b.i) AS after FROM candidates a JOIN candidates b ON b.src_ip = a.src_ip AND b.i >= a.i + {n} GROUP BY 1, 2),
+  fires AS (SELECT src_ip, min(i) AS i FROM candidates GROUP BY 1 UNION ALL SELECT f.src_ip, s.after FROM fires f JOIN steps s ON s.src_ip = f.src_ip AND s.i = f.i)
+ SELECT c.src_ip, c.us, c.event_id, CAST({n} AS INTEGER) AS event_count FROM candidates c JOIN fires f ON f.src_ip = c.src_ip AND f.i = c.i"""
+
+
+@query("f1_all_fires", all_fires(*BRUTE, "event_type = 'failed_logon'"))
 def _(view):
     return H.all_fires(view("events").where(F.col("event_type") == "failed_logon"), "src_ip", BRUTE[0], int(BRUTE[1] * 1_000_000))
 

@@ -80,12 +80,17 @@ _T = "make_timestamp(us)"
 _TIMES = {"hour": f"hour({_T})", "weekday": f"(isodow({_T}) - 1)", "day": f"day({_T})", "month": f"month({_T})"}
 
 
-@query("m1_event_features", "SELECT event_id, " + ", ".join(f"{_D(e)} AS {n}" for n, e in {
+_BUCKET = "CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT) % 1000 / 1000.0::DOUBLE"
+_EVENT_FEATURES = "SELECT event_id, " + ", ".join(f"{_D(e)} AS {n}" for n, e in {
     "severity": "severity", "has_src_ip": "src_ip <> ''", "has_dst_ip": "dst_ip <> ''", "src_port": "src_port", "dst_port": "dst_port",
     "protocol": _codes("protocol", fixed.PROTOCOL_CODES), "action": _codes("action", fixed.ACTION_CODES), "has_username": "username NOT IN ('', '-')",
-    "metadata_length": "length(concat_ws(',', uri, domain, status_code, bytes))", "status_code": "status_code", "bytes": "bytes", **_TIMES}.items()) + " FROM @events")
+    "metadata_length": "length(concat_ws(',', uri, domain, status_code, bytes))", "status_code": "status_code", "bytes": "bytes",
+    "event_type_hash": _BUCKET.format("event_type"), "source_type_hash": _BUCKET.format("source_type"), **_TIMES}.items()) + " FROM @events"
+
+
+@query("m1_event_features", _EVENT_FEATURES)
 def _(view):
-    return M.event_features(timed(view, "events")).drop("event_type_hash", "source_type_hash")
+    return M.event_features(timed(view, "events"))
 
 
 _INT = "regexp_matches({0}, '^(10\\.|192\\.168\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.)')"
@@ -119,10 +124,12 @@ def event_matrix(view):
     return M.event_features(timed(view, "events"))
 
 
-@query("m4_scaled_features")
+@query("m4_scaled_features", f"""WITH f AS ({_EVENT_FEATURES}) SELECT event_id, {', '.join(
+    f"round(({n} - avg({n}) OVER ()) / CASE WHEN stddev_pop({n}) OVER () = 0 THEN 1 ELSE stddev_pop({n}) OVER () END, 6) + 0.0 AS {n}" for n in fixed.EVENT_FEATURES)} FROM f""")
 def _(view):
     rows_ = event_matrix(view)
-    return M.scale(rows_, M.scaling(rows_, fixed.EVENT_FEATURES))
+    scaled = M.scale(rows_, M.scaling(rows_, fixed.EVENT_FEATURES))
+    return scaled.select("event_id", *[(F.round(n, 6) + 0.0).alias(n) for n in fixed.EVENT_FEATURES])
 
 
 @query("m5_boundary")

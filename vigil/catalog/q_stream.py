@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from vigil.catalog.q_detect import BRUTE, _METRICS
+from vigil.catalog.q_detect import BRUTE, _METRICS, all_fires
 from vigil.catalog.q_enrich import THREATS
 from vigil.catalog.q_firewall import signed, tracked
 from vigil.catalog.q_ot import STAGED
@@ -15,7 +15,7 @@ def _(view):
     return S.run_available(S.connection_stream(view("stream:packets")))
 
 
-@query("g4_stream_thresholds")
+@query("g4_stream_thresholds", "SELECT src_ip AS key, us, event_id AS row_id, event_count FROM (" + all_fires(*BRUTE, "event_type = 'failed_logon'") + ") f")
 def _(view):
     failed = view("stream:events").where(F.col("event_type") == "failed_logon")
     return S.run_available(S.threshold_stream(failed, "src_ip", BRUTE[0], BRUTE[1]))

@@ -65,6 +65,8 @@ def _expand(sql: str) -> str:
     views = ", ".join(f"v_{n} AS ({oracle_view(n)})" for n in used)
     if not views:
         return body
+    if re.match(r"(?i)with\s+recursive\s", body):
+        return f"WITH RECURSIVE {views}, " + re.sub(r"(?i)^with\s+recursive\s+", "", body)
     if re.match(r"(?i)with\s", body):
         return f"WITH {views}, " + body[4:].lstrip()
     return f"WITH {views} {body}"

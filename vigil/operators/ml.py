@@ -29,7 +29,7 @@ def _given(column: str) -> Column:
 
 def _bucket(column: str) -> Column:
     """Stable stand-in for a text: one of a thousand steps in [0, 1)."""
-    return F.pmod(F.xxhash64(column), F.lit(1000)) / 1000.0
+    return F.conv(F.substring(F.md5(F.coalesce(column, F.lit(""))), 1, 8), 16, 10).cast("long") % 1000 / 1000.0
 
 
 def event_features(events: DataFrame, time: str = "event_time") -> DataFrame:
