@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from vigil import fixed
+from vigil import fixed, tables
 from vigil.operators.enrich import ip_reputation, with_mitre
 from vigil.operators.thresholds import SECOND, first_fire
 
@@ -205,8 +205,7 @@ def without_first_listed(events: DataFrame) -> DataFrame:
     """Drop the first event of every listed source: it ends at the intelligence layer."""
     first = (ip_reputation(events.select("src_ip", "us", "event_id")).where(~F.col("safe"))
              .groupBy(F.col("src_ip").alias("_ip")).agg(F.min(F.struct("us", "event_id")).alias("_first")))
-    # listed sources are at most as many as the intelligence table has rows
-    return (events.join(F.broadcast(first), F.col("src_ip") == F.col("_ip"), "left")
+    return (events.join(tables.bounded_broadcast(first), F.col("src_ip") == F.col("_ip"), "left")
             .where("_first IS NULL OR _first <> struct(us, event_id)").drop("_ip", "_first"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vigil.functions.network import cidr_high, cidr_low, ip_to_num, literal_range, prefix_length
+from vigil.session import durable
 from vigil.tables import BROADCAST_ROWS
 
 # Up to this many networks become a CASE expression instead of a join.
@@ -52,13 +53,9 @@ def match_networks(df: DataFrame, ip: str, networks: DataFrame, columns: list[st
               .groupBy("_level", "_key")
               .agg(F.max(F.struct(F.col(rank).alias("rank"), F.col("_length").alias("length"),
                                   F.struct(*columns).alias("match"))).alias("_match")))
-    found = blocks.limit(BROADCAST_ROWS + 1).collect()
-    if len(found) <= BROADCAST_ROWS:
-        # bounded: the blocks are worked out once and not once per length
-        blocks = df.sparkSession.createDataFrame(found, blocks.schema)
-        sizes = {n: 0 for n in {r["_level"] for r in found}}
-    else:
-        sizes = {r[0]: r[1] for r in blocks.groupBy("_level").count().collect()}
+    # worked out once and not once per length; only one count per length comes to the driver
+    blocks = durable(blocks)
+    sizes = {r[0]: r[1] for r in blocks.groupBy("_level").count().collect()}
     out = df.withColumn("_number", ip_to_num(ip))
     for n, rows in sorted(sizes.items()):
         side = blocks.where(F.col("_level") == n).select("_key", F.col("_match").alias(f"_m{n}"))

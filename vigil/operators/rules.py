@@ -10,6 +10,7 @@ from vigil import fixed, tables
 from vigil.functions.network import cidr_high, cidr_low, in_network, ip_to_num
 
 COMPILED_RULES = 500
+MAX_PATTERNS = 2_000
 
 
 def _all(conditions) -> Column:
@@ -124,13 +125,21 @@ def _signature_condition(s) -> Column:
     return _all(tests)
 
 
+def _listed(table: DataFrame, order: str) -> list:
+    """The rows of a pattern table, which become one expression each; more than the limit is an error."""
+    rows = table.orderBy(order).limit(MAX_PATTERNS + 1).collect()
+    if len(rows) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} patterns: split the table and match in turn")
+    return rows
+
+
 def match_signatures(packets: DataFrame, signatures: DataFrame | None = None) -> DataFrame:
     """Add ``signature``: struct of the first matching payload signature, NULL without one.
 
     The cheap protocol and port tests come first; a pattern is a literal, compiled once.
     """
     signatures = tables.signatures(packets.sparkSession) if signatures is None else signatures
-    listed = signatures.orderBy("seq").collect()
+    listed = _listed(signatures, "seq")
     place = None
     for n, s in enumerate(listed, 1):
         place = F.when(_signature_condition(s), n) if place is None else place.when(_signature_condition(s), n)
@@ -145,7 +154,7 @@ def match_signatures(packets: DataFrame, signatures: DataFrame | None = None) ->
 def match_content(packets: DataFrame, contents: DataFrame | None = None) -> DataFrame:
     """Add ``content_id, content_action, content_message`` of the first contained text."""
     rows = fixed.CONTENT_SIGNATURES if contents is None else \
-        [(r["id"], r["action"], r["protocol"], r["content"], r["msg"]) for r in contents.orderBy("id").collect()]
+        [(r["id"], r["action"], r["protocol"], r["content"], r["msg"]) for r in _listed(contents, "id")]
     match = None
     for number, action, protocol, content, message in rows:
         answer = F.struct(F.lit(number).alias("id"), F.lit(action).alias("action"), F.lit(message).alias("msg"))

@@ -8,6 +8,7 @@ from vigil import fixed
 
 # A dimension passed in by the user is broadcast only up to this many rows.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 _TYPES = {"s": T.StringType(), "i": T.IntegerType(), "l": T.LongType(), "d": T.DoubleType(),
           "b": T.BooleanType(), "as": T.ArrayType(T.StringType()), "ai": T.ArrayType(T.IntegerType())}
@@ -44,14 +45,14 @@ def dimension(spark: SparkSession, columns: str, rows, numbered: bool = False) -
     return table.select([F.col(name).cast(_TYPES[kind]).alias(name) for name, kind in fields])
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when it is shown to hold at most ``max_rows`` rows.
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast when it is shown to hold at most ``max_rows`` rows and ``max_bytes`` bytes.
 
     A larger table is returned unchanged and joins by shuffle.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    size = F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))
+    rows, held = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and held <= max_bytes else df
 
 
 def threat_ips(spark):
