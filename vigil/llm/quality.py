@@ -130,8 +130,13 @@ def _grow(rows, bad, table, cuts):
                             best = (gain, Condition(feature, above, cut))
         if best[1] is None:
             break
-        rule.append(best[1])
-        rows = [i for i in rows if (table[best[1].feature][i] > best[1].threshold) == best[1].above]
+        found = best[1]
+        column = table[found.feature]
+        # half-way to the next value, so that rows a little beyond the cut are treated like their nearest
+        under = max((column[i] for i in rows if column[i] <= found.threshold), default=found.threshold)
+        over = min((column[i] for i in rows if column[i] > found.threshold), default=found.threshold)
+        rule.append(Condition(found.feature, found.above, (under + over) / 2))
+        rows = [i for i in rows if (column[i] > rule[-1].threshold) == found.above]
     return rule
 
 
