@@ -84,11 +84,11 @@ def test_lines(spark, kind, raw, want):
 def test_line_details(spark):
     df = normalize.normalize_logs(spark.createDataFrame([(k, r) for k, r, _ in LINES], "log_type string, raw string"))
     rows = {r["raw_log"]: r for r in df.collect()}
-    assert rows[LINES[2][1]]["username"] == "" and rows[LINES[3][1]]["username"] == "bob"
+    assert rows[LINES[2][1]]["username"] == "" and rows[LINES[3][1]]["username"] == "eve"
     assert rows[LINES[6][1]]["metadata"] == {"tunnel": "default"}
     assert rows[LINES[7][1]]["metadata"]["facility"] == "16"
     assert rows[LINES[1][1]]["metadata"] == {"windows_event_id": "4625", "logon_type": ""}
-    assert str(rows[LINES[2][1]]["event_time"]) == "2026-04-05 10:00:01"
+    assert str(rows[LINES[2][1]]["event_time"]) == "2025-03-11 08:17:03"
 
 
 def test_unparsed_lines(spark):
