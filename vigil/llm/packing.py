@@ -78,25 +78,27 @@ def _runs(word: str) -> tuple:
     return (word,)
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per Python worker and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> Encoder:
+    """One encoder per Python worker, file and size of cache."""
+    if (path, cache_words) not in _encoders:
+        _encoders[path, cache_words] = Encoder(path, cache_words)
+    return _encoders[path, cache_words]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
+           cache_words: int = CACHE_WORDS) -> DataFrame:
     """Token pieces (doc_id, start, length, doc_tokens, ids): whole windows first, then the rest.
 
     ``ids`` holds little-endian unsigned 32-bit ids.  A document is its text's ids (null: none) and
-    ``end_id``; it is cut every ``capacity`` ids, so each has at most one piece that is not full.
+    ``end_id``; it is cut every ``capacity`` ids, so each has at most one piece that is not full.  Each
+    Python worker keeps the ids of up to ``cache_words`` words and as many runs of letters.
     """
     id_type = docs.schema["doc_id"].dataType
 
     def run(batches):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer_path, cache_words), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             kind, first = batch.schema.field(0).type, 0
             texts = batch.column(1)
