@@ -18,23 +18,23 @@ FRONTIER = 1 << 21
 
 # ---------------------------------------------------------------- fingerprints
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """Majority bits of the XXH64 (seed 42) of all word shingles of a text, A-Z lower-cased."""
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """The XXH64 (seed 42) of all word shingles of a text, A-Z lower-cased."""
     import xxhash
     words = text.encode().lower().split()
-    if not words:
-        return 0
-    hashed, line = xxhash.xxh64_intdigest, b" ".join(words)
+    line, reach = b" ".join(words), min(shingle, len(words)) - 1
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
-    reach = min(shingle, len(words)) - 1
-    spans = list(zip(starts, ends[reach:].tolist()))
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(spans), 65536):
-        part = spans[i:i + 65536]
-        values = np.fromiter((hashed(line[a:b], 42) for a, b in part), np.uint64, len(part))
-        ones += np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(spans), bitorder="little").view(np.uint64)[0])
+    starts = np.concatenate(([0], ends[:-1] + 1)).tolist() if words else []
+    spans = list(zip(starts, ends[max(reach, 0):].tolist()))
+    return np.fromiter((xxhash.xxh64_intdigest(line[a:b], 42) for a, b in spans), np.uint64, len(spans))
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """Majority bits of the XXH64 (seed 42) of all word shingles of a text, A-Z lower-cased."""
+    values, ones = shingle_hashes(text, shingle), np.zeros(64, np.int64)
+    for i in range(0, len(values), 65536):
+        ones += np.unpackbits(values[i:i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(values), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -261,8 +261,12 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     Among repeated rows of one doc_id the one whose text hashes lowest stays.
     """
-    found = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_kept")).distinct()
+    return keep_first(docs, near_duplicates(docs, **options))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is its own component_id in ``found``, each id once."""
+    found = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     return (rows.select("doc_id", F.struct("*").alias("_row"), F.xxhash64(text_of()).alias("_order"))
             .groupBy("doc_id").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*"))
