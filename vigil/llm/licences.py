@@ -71,17 +71,34 @@ RULES = [
 ]
 
 WRAP = r"([a-z,])\n[ \t*#/]*([a-z(])"
+#: The plain cut of the oracle text, which knows no break inside a sentence.
 STOP = rf"([.!?:;])[{SPACE}]+"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text: lower-case letters and digits, other characters as one blank.
+#: Stops in a normalised text: the end of a sentence or paragraph, a colon, semicolon or "v.", a line break.
+BREAKS = [(rf"(?<=\bv)\.[{SPACE}]+|[:;][{SPACE}]+", " C "), (rf"[.!?][{SPACE}]+", " P "), (r"\n[ \t\r*#/]*\n", " P "), (r"\n", " L ")]
 
-    A line break inside a sentence (a small letter on either side) is no boundary; other line breaks and
-    stops followed by white space are.
+
+def normalised(text: Column) -> Column:
+    """Lower-case words of letters and digits with the breaks between them as P, C or L, one at either end.
+
+    A line break between small letters is none.
+    """
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    out = F.translate(F.regexp_replace(text, WRAP, "$1 $2"), upper, upper.lower())
+    for pattern, mark in BREAKS:
+        out = F.regexp_replace(out, pattern, mark)
+    return F.regexp_replace(F.concat(F.lit(" P "), out, F.lit(" P ")), "[^a-z0-9PCL]+", " ")
+
+
+def _any_of(known) -> str:
+    """Pattern of a whole known sentence between two breaks; inside it words may stand apart by C and L.
+
+    Published texts have a colon, a semicolon or a line break before a capital inside a sentence, and text
+    files wrap anywhere.  The longest sentence is tried first.
     """
-    cut = F.split(F.regexp_replace(F.regexp_replace(text, WRAP, "$1 $2"), STOP, "$1\n"), "\n")
-    return F.transform(cut, lambda s: F.lower(F.btrim(F.regexp_replace(s, "[^A-Za-z0-9]+", " "))))
+    listed = sorted((s for _, s in known), key=len, reverse=True)
+    return "(?<=[PCL] )(?:" + "|".join(s.replace(" ", "(?: [CL])*+ ") for s in listed) + ")(?= [PCL])"
 
 
 def _mark(identifiers) -> str:
@@ -116,8 +133,8 @@ def recognise(docs: DataFrame, known=tuple(SENTENCES), rules=tuple(RULES)) -> Da
             F.coalesce(F.length(s["left"]) - F.length(F.replace(s["left"], F.lit("["), F.lit(""))), F.lit(0))
             .cast("long").alias("n_unread")))
 
-    places = F.transform(sentences(F.col("_t")), lambda s: F.array_position(names, s).cast("int"))
-    found = F.transform(F.filter(places, lambda p: p > 0), lambda p: F.element_at(ids, p))
+    said = F.regexp_extract_all(normalised(F.col("_t")), F.lit(_any_of(known)), F.lit(0))
+    found = F.transform(said, lambda s: F.element_at(ids, F.array_position(names, F.regexp_replace(s, "[PCL ]+", " ")).cast("int")))
     return docs.select("doc_id", text_of().alias("_t")).select("doc_id", F.inline(F.array(let(found, whole))))
 
 
