@@ -125,12 +125,15 @@ def _signature_condition(s) -> Column:
     return _all(tests)
 
 
-def _listed(table: DataFrame, order: str) -> list:
-    """The rows of a pattern table, which become one expression each; more than the limit is an error."""
-    rows = table.orderBy(order).limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} patterns: split the table and match in turn")
-    return rows
+def _first(tests: list[Column]) -> Column:
+    """Place (from 1) of the first test that holds, NULL without one: an expression per ``MAX_PATTERNS`` tests."""
+    parts = []
+    for start in range(0, len(tests), MAX_PATTERNS):
+        part = None
+        for n, test in enumerate(tests[start:start + MAX_PATTERNS], start + 1):
+            part = F.when(test, n) if part is None else part.when(test, n)
+        parts.append(part)
+    return F.least(*parts) if len(parts) > 1 else parts[0]
 
 
 def match_signatures(packets: DataFrame, signatures: DataFrame | None = None) -> DataFrame:
@@ -139,10 +142,8 @@ def match_signatures(packets: DataFrame, signatures: DataFrame | None = None) ->
     The cheap protocol and port tests come first; a pattern is a literal, compiled once.
     """
     signatures = tables.signatures(packets.sparkSession) if signatures is None else signatures
-    listed = _listed(signatures, "seq")
-    place = None
-    for n, s in enumerate(listed, 1):
-        place = F.when(_signature_condition(s), n) if place is None else place.when(_signature_condition(s), n)
+    listed = signatures.orderBy("seq").collect()
+    place = _first([_signature_condition(s) for s in listed])
     pick = lambda name: F.element_at(F.array(*[F.lit(s[name]) for s in listed]), F.col("_place")).alias(name)
     details = F.concat(F.lit("Matched: "), F.substring("payload", 1, 80)).alias("details")
     fields = [pick(n) for n in ("sid", "name", "severity", "action", "category", "mitre")]
@@ -154,14 +155,11 @@ def match_signatures(packets: DataFrame, signatures: DataFrame | None = None) ->
 def match_content(packets: DataFrame, contents: DataFrame | None = None) -> DataFrame:
     """Add ``content_id, content_action, content_message`` of the first contained text."""
     rows = fixed.CONTENT_SIGNATURES if contents is None else \
-        [(r["id"], r["action"], r["protocol"], r["content"], r["msg"]) for r in _listed(contents, "id")]
-    match = None
-    for number, action, protocol, content, message in rows:
-        answer = F.struct(F.lit(number).alias("id"), F.lit(action).alias("action"), F.lit(message).alias("msg"))
-        test = (F.col("protocol") == protocol) & F.col("payload").contains(content)
-        match = F.when(test, answer) if match is None else match.when(test, answer)
-    return packets.withColumns({"content_id": match["id"], "content_action": match["action"],
-                                "content_message": match["msg"]})
+        [(r["id"], r["action"], r["protocol"], r["content"], r["msg"]) for r in contents.orderBy("id").collect()]
+    place = _first([(F.col("protocol") == protocol) & F.col("payload").contains(content) for _, _, protocol, content, _ in rows])
+    pick = lambda field: F.when(F.col("_place").isNotNull(), F.element_at(F.array(*[F.lit(r[field]) for r in rows]), F.col("_place")))
+    return (packets.withColumn("_place", place)
+            .withColumns({"content_id": pick(0), "content_action": pick(1), "content_message": pick(4)}).drop("_place"))
 
 
 def signature_catalogue(detected: DataFrame) -> DataFrame:
