@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import chat, lattice, licences, mixing, packing, pii, quality, recompression, simhash, topk
+from vigil.llm import chat, jaccard, lattice, licences, mixing, packing, pii, quality, recompression, simhash, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +46,31 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+SIMILAR_ORACLE = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                         ELSE list_distinct([array_to_string(w[p:p + 2], ' ') FOR p IN range(1, len(w) - 1)]) END AS s
+  FROM docs),
+classes AS (SELECT s, min(r) AS node, len(s) AS n FROM sets GROUP BY s),
+grams AS (SELECT node, n, unnest(s) AS g FROM classes),
+met AS (SELECT a.node AS a, b.node AS b, a.n AS na, b.n AS nb, count(*) AS shared
+        FROM grams a JOIN grams b ON a.g = b.g AND a.node < b.node GROUP BY ALL),
+links AS (SELECT a, b FROM met WHERE 100 * shared >= 90 * (na + nb - shared)),
+walk AS (
+  SELECT node AS a, node AS b FROM classes WHERE n > 0
+  UNION
+  SELECT walk.a, l.b FROM walk JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON l.a = walk.b),
+members AS (SELECT c.node, s.doc_id FROM classes c JOIN sets s USING (s)),
+least AS (SELECT walk.a AS node, min(m.doc_id) AS component_id FROM walk JOIN members m ON m.node = walk.b GROUP BY 1)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE l.component_id END AS component_id
+FROM sets s JOIN classes c USING (s) LEFT JOIN least l ON l.node = c.node
+"""
+
+
 def query(name: str, sql: str | None = None):
     def add(function):
         QUERIES[name] = function
@@ -133,6 +158,11 @@ def op10(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query("op13_ngram_join", SIMILAR_ORACLE)
+def op13(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return dict(QUERIES)
 
