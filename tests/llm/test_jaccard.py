@@ -103,7 +103,7 @@ def test_filters_keep_every_similar_pair():
         y = set(rnd.sample(sorted(x), rnd.randrange(max(1, len(x) * 8 // 10), len(x) + 1))) | {rnd.getrandbits(64) for _ in range(rnd.randrange(3))}
         if 10 * len(x & y) >= 9 * len(x | y):
             a, b = (np.array(sorted(s), np.uint64) for s in (x, y))
-            assert 19 * int(np.minimum(J._range_counts(a), J._range_counts(b)).sum()) >= 9 * (len(x) + len(y))
+            assert 19 * int(np.minimum(J.ranges_of(a), J.ranges_of(b)).sum()) >= 9 * (len(x) + len(y))
             first = [set(sorted(s)[:J.prefix_length(len(s), (9, 10))]) for s in (x, y)]
             assert first[0] & first[1]
 

@@ -26,7 +26,7 @@ CHUNK = 1 << 10
 
 # ---------------------------------------------------------------- n-gram sets
 
-def _pieces(text: str) -> Iterator[str]:
+def pieces(text: str) -> Iterator[str]:
     """``text`` in pieces of at least ``PIECE`` characters that end between words."""
     start = 0
     while len(text) - start > PIECE:
@@ -42,7 +42,7 @@ def word_hashes(text: str) -> np.ndarray:
     """XXH3 of every word, A-Z lower-cased."""
     import xxhash
     digest, parts = xxhash.xxh3_64_intdigest, []
-    for piece in _pieces(text):
+    for piece in pieces(text):
         words = piece.encode().lower().split()
         parts.append(np.fromiter(map(digest, words), np.uint64, len(words)))
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
@@ -135,17 +135,30 @@ def prefix_length(n: int, least: tuple[int, int]) -> int:
     return n + (-n * a) // b + 1 if n else 0
 
 
-def prefixes(docs: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
-    """(doc_id, digest, n, prefix): of every n-gram set its digest, its size and its rarest members in order."""
+def ranges_of(values: np.ndarray) -> np.ndarray:
+    """How many members of a set lie in each of ``RANGES`` ranges of hashes."""
+    return np.bincount((values >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64), minlength=RANGES)
+
+
+#: Columns that describe a set, behind its digest, and their Arrow types.
+PRINT = "digest binary, n int, prefix array<bigint>, ranges array<int>"
+PRINT_TYPES = [pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+
+
+def described(values: np.ndarray, weight: np.ndarray, least: tuple[int, int]) -> tuple:
+    """Digest, size, first members by weight, and range counts of a set."""
     import xxhash
-    table = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, shingle))
+    first = values[np.argsort(weight, kind="stable")[:prefix_length(len(values), least)]]
+    return xxhash.xxh3_128_digest(values.tobytes()), len(values), first.view(np.int64), ranges_of(values)
+
+
+def prefixes(docs: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
+    """(doc_id, digest, n, prefix, ranges): of every n-gram set its digest, size, rarest members and range counts."""
+    table = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, shingle))      # ``BUCKETS`` numbers
 
     def make(values):
-        counts = table.value
-        order = np.argsort(counts[(values & np.uint64(len(counts) - 1)).astype(np.int64)], kind="stable")
-        return xxhash.xxh3_128_digest(values.tobytes()), len(values), values[order[:prefix_length(len(values), least)]].view(np.int64)
-    return sets_of(docs.select("doc_id", "text"), shingle, "digest binary, n int, prefix array<bigint>", make,
-                   [pa.binary(), pa.int32(), pa.list_(pa.int64())])
+        return described(values, table.value[(values & np.uint64(len(table.value) - 1)).astype(np.int64)], least)
+    return sets_of(docs.select("doc_id", "text"), shingle, PRINT, make, PRINT_TYPES)
 
 
 # ---------------------------------------------------------------- the join
@@ -164,60 +177,43 @@ def _possible(n: Column, place: Column, m: Column, at: Column, least: tuple[int,
     return reached(F.least(n - place, m - at), n, m, least)
 
 
-def _range_counts(values: np.ndarray) -> np.ndarray:
-    return np.bincount((values >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64), minlength=RANGES)
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+def _similar(pairs: DataFrame, rows: DataFrame, whole: Callable[[DataFrame], DataFrame], least: tuple[int, int]) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) whose whole sets have the similarity.
 
-    Suffix filter first: sets cannot share more than the sum of the lesser counts per range of hashes.
-    Only pairs that pass are joined with the sets.
+    Suffix filter first: sets cannot share more than the lesser counts of all ranges added up.  Sets are made for
+    the pairs that pass, once per node, and each pair is verified once.
     """
-    a, b = least
-    short = sets.select("node", "n", "ranges")
-    left = short.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("ranges").alias("ra"))
-    right = short.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("ranges").alias("rb"))
-    most = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    left_over = (pairs.join(left, "a").join(right, "b")
-                 .where(reached(F.least("na", "nb"), F.col("na"), F.col("nb"), least))
-                 .where(reached(most, F.col("na"), F.col("nb"), least)).select("a", "b", "na", "nb"))
-    keys = sets.select("node", "keys")
-    met = (stored(left_over).join(keys.select(F.col("node").alias("a"), F.col("keys").alias("x")), "a")
-           .join(keys.select(F.col("node").alias("b"), F.col("keys").alias("y")), "b"))
-    return met.where(reached(F.size(F.array_intersect("x", "y")), F.col("na"), F.col("nb"), least)).select("a", "b")
+    def side(name):
+        return rows.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("ranges").alias(f"r_{name}"))
+    most = F.aggregate(F.zip_with("r_a", "r_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    left = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(reached(most, F.col("n_a"), F.col("n_b"), least))
+                  .select("a", "b", "n_a", "n_b"))
+    sets = stored(whole(left.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    met = (left.join(sets.select(F.col("node").alias("a"), F.col("keys").alias("x")), "a")
+           .join(sets.select(F.col("node").alias("b"), F.col("keys").alias("y")), "b"))
+    return met.where(reached(F.size(F.array_intersect("x", "y")), F.col("n_a"), F.col("n_b"), least)).select("a", "b")
 
 
 def connected(rows: DataFrame, whole: Callable[[DataFrame], DataFrame], least: tuple[int, int]) -> DataFrame:
     """(node, root) of all nodes with a partner: who is linked with whom over pairs that reach ``least``.
 
-    ``rows`` holds (node, n, prefix), one row per distinct set; ``whole`` gives (node, keys) for a table of
-    nodes.  Prefix members that one set alone has go first: they are counted by 8-byte keys, combined before the
-    shuffle.  Every node is then compared with the smallest and the largest node at each member it shares,
-    which joins most of a group of similar sets without its pairs; in the end all pairs of nodes that are
-    still apart and meet are compared, so that no link is lost.
+    ``rows`` holds (node, n, prefix, ranges), one row per distinct set; ``whole`` gives (node, keys) for a table of
+    nodes.  Prefix members that one set alone has go first, found by two numbers a member.  Every node is then
+    compared with the smallest and the largest node at each member it shares, which joins most of a group
+    of similar sets without its pairs; in the end all pairs of nodes that are still apart and meet are compared, so
+    that no link is lost.
     """
-    prefix = rows.select("node", "n", F.posexplode("prefix").alias("place", "key"))
-    me = F.struct("node", "n", "place")
-    ends = (prefix.groupBy("key").agg(F.min(me).alias("low"), F.max(me).alias("high"))
-            .where(F.col("low.node") < F.col("high.node")))
-    shared = stored(prefix.join(ends, "key"))
-
-    end = F.col("end")
-    close = (shared.select("node", "n", "place", F.explode(F.array("low", "high")).alias("end"))
+    keys = rows.select("node", F.explode("prefix").alias("key"))
+    met = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") < F.col("high"))
+    place = (F.array_position("prefix", F.col("key")) - 1).cast("int").alias("place")
+    shared = stored(keys.join(met.select("key"), "key", "left_semi").join(rows, "node").select("key", "node", "n", place))
+
+    me, end = F.struct("node", "n", "place"), F.col("end")
+    ends = shared.groupBy("key").agg(F.min(me).alias("low"), F.max(me).alias("high"))
+    close = stored(shared.join(ends, "key").select("node", "n", "place", F.explode(F.array("low", "high")).alias("end"))
              .where((F.col("node") != end["node"]) & _possible(F.col("n"), F.col("place"), end["n"], end["place"], least))
              .select(F.least("node", end["node"]).alias("a"), F.greatest("node", end["node"]).alias("b")).distinct())
-    shared = shared.drop("low", "high")
-    def range_counts(batches):
-        for batch in batches:
-            counts = [_range_counts(np.asarray(k.values).view(np.uint64)) if len(k.values) else np.zeros(RANGES, np.int64)
-                      for k in batch.column(1)]
-            sizes = pa.array([len(k.values) for k in batch.column(1)], pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, sizes, pa.array(counts, pa.list_(pa.int32()))],
-                                             names=["node", "keys", "n", "ranges"])
-    sets = stored(whole(shared.select("node").distinct()).select("node", "keys").mapInArrow(
-        range_counts, "node bigint, keys array<bigint>, n int, ranges array<int>"))
-    linked = stored(_similar(close, sets, least))
+    linked = stored(_similar(close, rows, whole, least))
 
     placed = shared.join(components(linked), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where(F.col("low") < F.col("high"))
@@ -225,13 +221,15 @@ def connected(rows: DataFrame, whole: Callable[[DataFrame], DataFrame], least: t
     other = apart.select("key", F.col("part").alias("other"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"))
     rest = (apart.join(other, "key").where((F.col("part") < F.col("other")) & _possible(
         F.col("n"), F.col("place"), F.col("m"), F.col("at"), least)).select(F.col("node").alias("a"), "b").distinct())
-    return components(linked.unionByName(_similar(rest, sets, least)))
+    done = close.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.*")
+    rest = rest.join(done, ["a", "b"], "left_anti")
+    return components(linked.unionByName(_similar(rest, rows, whole, least)))
 
 
 def classes(docs: DataFrame, prints: DataFrame, make: Callable[[DataFrame], DataFrame], least: tuple[int, int]) -> DataFrame:
-    """(doc_id, n, component_id) from stored ``prints`` (row, doc_id, digest, n, prefix).
+    """(doc_id, n, component_id) from stored ``prints`` (row, doc_id, digest, n, prefix, ranges).
 
-    ``make`` gives (digest, keys) for rows of documents; it runs only over those that share a rare member.
+    ``make`` gives (digest, keys) for rows of documents; it runs only over those in pairs that pass all filters.
     """
     nodes = stored(prints.groupBy("digest").agg(F.min(F.struct("row", "doc_id")).alias("r"), F.min("doc_id").alias("first_id"))
                    .select("digest", "first_id", F.col("r.row").alias("node"), F.col("r.doc_id").alias("shown_by")))
@@ -241,7 +239,8 @@ def classes(docs: DataFrame, prints: DataFrame, make: Callable[[DataFrame], Data
         rows = docs.select("doc_id", "text").join(wanted.select("_shown").distinct(), F.col("doc_id").eqNullSafe(F.col("_shown")), "left_semi")
         found = make(rows.select("text")).join(wanted.select("digest", "node"), "digest")
         return found.groupBy("node").agg(F.first("keys").alias("keys"))       # rows repeated under one doc_id
-    rows = prints.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n", "prefix")
+    rows = stored(prints.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
+                  .select(F.col("row").alias("node"), "n", "prefix", "ranges"))
     tree = connected(rows, whole, least)
     rooted = nodes.join(tree, "node", "left").select("digest", "first_id", F.coalesce("root", "node").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("digest", "component_id")
