@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import chat, jaccard, lattice, licences, mixing, packing, pii, quality, recompression, simhash, topk
+from vigil.llm import chat, jaccard, lattice, licences, mixing, packing, pii, quality, recompression, simhash, spelling, topk, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -158,6 +159,19 @@ def op10(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query("op11_whitening")
+def op11(spark, sf_dir):
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    whole = F.when(F.col("deviation") < F.lit(Decimal(1 << 63)), F.col("deviation")).otherwise(
+        F.raise_error(F.lit("a deviation does not fit in a long")).cast("decimal(38,0)"))
+    return white.withColumn("deviation", whole.cast("long"))
+
+
+@query("op12_spelling_variants")
+def op12(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 @query("op13_ngram_join", SIMILAR_ORACLE)
 def op13(spark, sf_dir):
     return jaccard.join(table(spark, sf_dir, "documents"))
