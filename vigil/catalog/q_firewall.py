@@ -7,6 +7,7 @@ from vigil.catalog.q_enrich import NUM
 from vigil.catalog.registry import query, quote, rows
 from vigil.functions.network import literal_range
 from vigil.operators import conntrack as K
+from vigil.operators import expiry as X
 from vigil.operators import firewall as W
 from vigil.operators import rules as R
 
@@ -156,6 +157,47 @@ def _(view):
     return aged(view).where("expired").select("conn_key", "state", "protocol")
 
 
+# packets seven hundred times as far apart, so that silences of all lengths occur
+SLOW = "SELECT * REPLACE (1704067200000000 + (us - 1704067200000000) * 700 AS us) FROM @packets"
+_FLAGS = ", ".join(f"{has(f)} AS {f.lower()}" for f in X.FLAGS)
+#: Packet by packet: what a connection is after the one before decides what the next one does.
+REPLAY = f"""RECURSIVE slow AS ({SLOW}), p AS (SELECT *, row_number() OVER (PARTITION BY conn_key ORDER BY us, packet_id) AS n FROM (
+   SELECT packet_id, us, {KEY} AS conn_key, protocol, src_ip, src_port, dst_ip, dst_port, size, {_FLAGS} FROM slow) k),
+ walk AS (
+  SELECT conn_key, 0::BIGINT AS n, NULL::BIGINT AS packet_id, 0::BIGINT AS us, NULL::VARCHAR AS protocol, NULL::VARCHAR AS stored_state, NULL::VARCHAR AS peer, NULL::INTEGER AS peer_port,
+   NULL::VARCHAR AS conn_state, false AS is_reply, NULL::BIGINT AS opened_us, NULL::BIGINT AS opened_id, 0::INTEGER AS size FROM p WHERE n = 1
+  UNION ALL
+  SELECT conn_key, n, packet_id, us, protocol, CASE WHEN alive THEN after WHEN opens THEN (CASE WHEN protocol = 'TCP' THEN 'SYN_SENT' ELSE 'NEW' END) END,
+   CASE WHEN alive THEN peer WHEN opens THEN dst_ip END, CASE WHEN alive THEN peer_port WHEN opens AND protocol = 'ICMP' THEN 0 WHEN opens THEN dst_port END::INTEGER,
+   CASE WHEN alive THEN after WHEN opens OR protocol <> 'TCP' THEN 'NEW' ELSE 'INVALID' END, alive AND reply,
+   CASE WHEN alive THEN opened_us WHEN opens THEN us END, CASE WHEN alive THEN opened_id WHEN opens THEN packet_id END, size
+  FROM (SELECT *, CASE WHEN protocol <> 'TCP' THEN (CASE WHEN reply THEN 'ESTABLISHED' ELSE state END) WHEN rst THEN 'CLOSED' WHEN state = 'SYN_SENT' AND reply AND syn AND ack THEN 'SYN_RECV'
+    WHEN state = 'SYN_RECV' AND NOT reply AND ack THEN 'ESTABLISHED' WHEN state = 'ESTABLISHED' AND fin THEN 'FIN_WAIT' WHEN state = 'FIN_WAIT' AND ack AND fin THEN 'CLOSED'
+    WHEN state = 'FIN_WAIT' AND ack THEN 'CLOSE_WAIT' WHEN state = 'CLOSE_WAIT' AND fin THEN 'CLOSED' ELSE state END AS after
+   FROM (SELECT p.*, w.stored_state AS state, w.peer, w.peer_port, w.opened_us, w.opened_id, coalesce(p.src_ip = w.peer AND p.src_port = w.peer_port, false) AS reply,
+     CASE p.protocol WHEN 'TCP' THEN syn AND NOT ack WHEN 'UDP' THEN true WHEN 'ICMP' THEN true ELSE false END AS opens,
+     w.stored_state IS NOT NULL AND p.us - w.us <= 1000000::BIGINT * (CASE WHEN p.protocol <> 'TCP' THEN 180 WHEN w.stored_state = 'CLOSED' THEN 0 WHEN w.stored_state IN ('SYN_SENT', 'SYN_RECV') THEN 30
+       WHEN w.stored_state IN ('FIN_WAIT', 'CLOSE_WAIT') THEN 60 ELSE 3600 END) AS alive
+    FROM walk w JOIN p ON p.conn_key = w.conn_key AND p.n = w.n + 1) s) t)"""
+
+
+def expiring(view):
+    base = 1704067200000000
+    return K.track(view("packets").withColumn("us", base + (F.col("us") - base) * 700), expire=True)
+
+
+@query("g2_states_with_expiry", f"WITH {REPLAY} SELECT packet_id, conn_key, conn_state, stored_state, is_reply, opened_us, opened_id FROM walk WHERE n > 0")
+def _(view):
+    return expiring(view).select("packet_id", "conn_key", "conn_state", "stored_state", "is_reply", "opened_us", "opened_id")
+
+
+@query("g2_connections_with_expiry", f"""WITH {REPLAY} SELECT conn_key, protocol, opened_us, opened_id, arg_max(stored_state, n) AS state, max(us) AS last_seen_us, count(*) FILTER (WHERE is_reply) AS packets_in,
+ count(*) FILTER (WHERE NOT is_reply) AS packets_out, CAST(sum(CASE WHEN is_reply THEN size ELSE 0 END) AS BIGINT) AS bytes_in, CAST(sum(CASE WHEN is_reply THEN 0 ELSE size END) AS BIGINT) AS bytes_out
+ FROM walk WHERE stored_state IS NOT NULL GROUP BY 1, 2, 3, 4""")
+def _(view):
+    return X.connections(expiring(view))
+
+
 @query("g3_connection_ages", f"SELECT conn_key, state, round(age, 1) AS age_seconds, round(silent, 1) AS last_seen_ago, packets_in, packets_out FROM ({_AGED}) a")
 def _(view):
     return aged(view).select("conn_key", "state", "age_seconds", "last_seen_ago", "packets_in", "packets_out")

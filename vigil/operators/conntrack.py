@@ -22,14 +22,20 @@ def forward_key() -> Column:
                     F.col("dst_port").cast("string"), F.lit("-"), "protocol")
 
 
-def track(packets: DataFrame, us: str = "us", packet_id: str = "packet_id") -> DataFrame:
+def track(packets: DataFrame, us: str = "us", packet_id: str = "packet_id", expire: bool = False) -> DataFrame:
     """Add ``conn_key``, ``conn_state`` (answer for the packet), ``tracked`` and ``is_reply``.
 
+    With ``expire`` a connection that was silent for too long is gone when the next packet comes; see
+    :func:`vigil.operators.expiry.track`.  Otherwise a connection lasts for ever.
+
     The states of a connection only ever move forward, so a connection is described by the moments
     at which it reaches each of them, and a moment is the earliest packet that fits after the one
     before: a chain of per-key minima.  No packet sequence has to be replayed, and a connection of
     any size is handled by aggregation (see :func:`vigil.operators.skew.per_key`).
     """
+    if expire:
+        from vigil.operators import expiry
+        return expiry.track(packets, us, packet_id)
     flag = {f: F.array_contains("tcp_flags", f) for f in ("SYN", "ACK", "FIN", "RST")}
     at = F.col("_at")
     tcp = F.col("protocol") == "TCP"
