@@ -3,6 +3,7 @@
 import os
 import random
 
+import pytest
 from pyspark.sql import Window, functions as F
 
 from vigil.operators import baseline, conntrack, ids, ot, thresholds
@@ -102,12 +103,13 @@ def minute_events(spark, minutes=40):
     return spark.createDataFrame(data, schema).withColumn("event_time", F.timestamp_micros("us"))
 
 
-def test_minute_metrics(spark, tmp_path):
+@pytest.mark.parametrize("files", [1, 10])
+def test_minute_metrics(spark, tmp_path, files):
+    """All metrics of all minutes, the last ones too, however many batches the rows come in."""
     df = minute_events(spark)
-    out = run(spark, twins.minute_metrics_stream(stream(spark, df, tmp_path)), tmp_path, "minutes")
-    closed = [r["bucket"] for r in out.collect()]
-    want = baseline.minute_metrics(df).where(F.col("bucket").isin(closed))
-    assert rows(out, "bucket", *baseline.METRICS) == rows(want, "bucket", *baseline.METRICS) and len(closed) > 30
+    out = twins.run_to_end(stream(spark, df, tmp_path, files=files), "event_time", twins.minute_metrics_stream)
+    want = baseline.minute_metrics(df)
+    assert rows(out, "bucket", *baseline.METRICS) == rows(want, "bucket", *baseline.METRICS) and out.count() == 40
 
 
 def test_baseline(spark, tmp_path):
@@ -133,10 +135,22 @@ def test_normalized(spark, tmp_path):
     assert rows(out, "event_type", "severity", "threat_type") == [("vpn_auth_fail", 7, "brute_force")]
 
 
-def test_trailing_counts(spark, tmp_path):
-    df = minute_events(spark)
-    out = run(spark, twins.trailing_counts(stream(spark, df, tmp_path)), tmp_path, "trailing")
-    assert out.where("n >= 5").count() > 0
+@pytest.mark.parametrize("files", [1, 10])
+def test_trailing_counts(spark, tmp_path, files):
+    """Every row with the rows of the five minutes up to it, also across cells, batches and equal moments."""
+    df = minute_events(spark).withColumn("us", F.col("us") - F.col("us") % 500_000).withColumn("event_time", F.timestamp_micros("us"))
+    found = twins.run_to_end(stream(spark, df, tmp_path, files=files), "event_time", lambda e: twins.trailing_counts(e, ("src_ip",)))
+    data = sorted((r.us, r.event_id, r.src_ip) for r in df.collect())
+    want = [(ip, us, i, sum(o[2] == ip and us - 300_000_000 <= o[0] for o in data[:n + 1])) for n, (us, i, ip) in enumerate(data)]
+    assert rows(found, "src_ip", "us", "row_id", "n") == sorted(want)
+
+
+def test_trailing_counts_in_any_order(spark, tmp_path):
+    """Rows that come late, but not later than the watermark allows, count as if they had come in time."""
+    df = minute_events(spark).withColumn("arrival", F.col("us") + F.pmod(F.xxhash64("event_id"), F.lit(200)) * 1_000_000)
+    found = twins.run_to_end(stream(spark, df, tmp_path, files=8, order="arrival"), "event_time", lambda e: twins.trailing_counts(e, ("src_ip",), delay="10 minutes"))
+    whole = twins.run_to_end(stream(spark, df, tmp_path / "whole", files=1), "event_time", lambda e: twins.trailing_counts(e, ("src_ip",)))
+    assert rows(found, "src_ip", "us", "row_id", "n") == rows(whole, "src_ip", "us", "row_id", "n") and found.count() == df.count()
 
 
 def test_retraining(spark, tmp_path):

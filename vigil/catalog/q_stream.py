@@ -29,11 +29,13 @@ def _(view):
     return S.run_available(S.block_list_stream(marked))
 
 
-# the last minutes are not closed when the input ends
-@query("g6_stream_minutes", f"SELECT * EXCLUDE (unique_src_ips) FROM ({_METRICS.format(w=60_000_000)}) m WHERE bucket + 60000000 <= (SELECT max(us) // 1000 * 1000 FROM @events) - 120000000")
+def timed(view, name="events"):
+    return view(f"stream:{name}").withColumn("event_time", F.timestamp_micros("us"))
+
+
+@query("g6_stream_minutes", _METRICS.format(w=60_000_000))
 def _(view):
-    timed = view("stream:events").withColumn("event_time", F.timestamp_micros("us"))
-    return S.run_available(S.minute_metrics_stream(timed)).drop("unique_src_ips")
+    return S.run_to_end(timed(view), "event_time", S.minute_metrics_stream)
 
 
 @query("g8_stream_first_incidents", f"""SELECT attack_type, src_ip FROM (SELECT 'malicious_ip' AS attack_type, src_ip FROM @events WHERE src_ip IN (SELECT ip FROM (VALUES {THREATS}) t(ip, score, kind, country, region, isp, actor, a, b, c, d))
@@ -43,10 +45,10 @@ def _(view):
     return S.run_available(S.distinct_incidents(found, quiet="60 days")).select("attack_type", "src_ip")
 
 
-@query("g9_stream_trailing_counts")
+@query("g9_stream_trailing_counts", """SELECT src_ip, action, us, event_id AS row_id, CAST(count(*) OVER (PARTITION BY src_ip, action ORDER BY us RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW)
+ - (count(*) OVER (PARTITION BY src_ip, action, us) - row_number() OVER (PARTITION BY src_ip, action, us ORDER BY event_id)) AS INTEGER) AS n FROM @events""")
 def _(view):
-    timed = view("stream:events").withColumn("event_time", F.timestamp_micros("us"))
-    return S.run_available(S.trailing_counts(timed)).select(F.unix_micros("window.start").alias("window_us"), "src_ip", "action", "n")
+    return S.run_to_end(timed(view), "event_time", S.trailing_counts)
 
 
 @query("g10_stream_normalized")

@@ -7,6 +7,7 @@ few values.  Rows later than the watermark are dropped by Spark before they get
 from __future__ import annotations
 
 import uuid
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -54,13 +55,14 @@ class InOrder(StatefulProcessor):
         pass
 
 
-def run_available(out: DataFrame, mode: str = "append") -> DataFrame:
+def run_available(out: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Run a stream over everything that is there and return what it wrote.
 
-    Result, offsets and state go to a folder of their own below the checkpoint folder.
+    Result, offsets and state go to a folder of their own below the checkpoint folder; with ``folder`` an earlier run
+    goes on.
     """
     spark = out.sparkSession
-    folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    folder = folder or f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -73,6 +75,33 @@ def run_available(out: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(out.schema).parquet(f"{folder}/rows")
 
 
+#: Event time of the row that ends an input; nothing else happens so late.
+END = "9999-01-01 00:00:00"
+
+
+def before_end(rows: DataFrame, time: str) -> DataFrame:
+    """Without the row that ends the input, which has moved the watermark by then."""
+    return rows.where(F.col(time) < F.lit(END).cast("timestamp"))
+
+
+def run_to_end(events: DataFrame, time: str, build) -> DataFrame:
+    """Run ``build(events)`` over everything that is there, then end the input so that nothing stays open.
+
+    The rows come with a second source, a folder that holds nothing until all rows are read.  Then one row of the
+    time ``END`` is put there and the stream goes on from its checkpoint: the watermark passes everything, and
+    every window and timer fires.  A stream that goes on for ever needs no end; a replay or a test does.
+    """
+    spark = events.sparkSession
+    folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    marks = spark.range(1).select(F.lit(END).cast("timestamp").alias(time))
+    marks.limit(0).write.parquet(f"{folder}/end")
+    ends = spark.readStream.schema(marks.schema).parquet(f"{folder}/end")
+    out = build(events.unionByName(ends, allowMissingColumns=True))
+    run_available(out, folder=folder)
+    marks.write.mode("append").parquet(f"{folder}/end")
+    return run_available(out, folder=folder)
+
+
 # ------------------------------------------------------------------ thresholds
 
 class Threshold(InOrder):
@@ -123,10 +152,59 @@ def distinct_threshold_stream(events: DataFrame, key: str, item: str, n: int, se
         DistinctThreshold(n, int(seconds * SECOND)), "key string, us bigint, row_id bigint, distinct_values int", "Append", "None")
 
 
-def trailing_counts(events: DataFrame, time: str = "event_time", delay: str = "5 minutes") -> DataFrame:
-    """Cheaper form of the trailing five minutes: counts per source in windows that slide by a minute."""
-    return (events.withWatermark(time, delay)
-            .groupBy(F.window(time, "5 minutes", "1 minute"), "src_ip", "action").agg(F.count(F.lit(1)).alias("n")))
+class Trailing(StatefulProcessor):
+    """Rows of one key and time cell, kept until the watermark has passed the cell and then answered in order."""
+
+    def __init__(self, keys: int, window_us: int):
+        self.keys, self.window = keys, window_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "us bigint, row_id bigint, own boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.rows.exists()
+        pdf = pd.concat(list(rows))
+        self.rows.appendList(list(zip(pdf["us"].tolist(), pdf["row_id"].tolist(), pdf["own"].tolist())))
+        if not known:
+            self.handle.registerTimer((key[self.keys] + 1) * self.window // 1000)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        kept, out = deque(), []
+        for us, row_id, own in sorted(self.rows.get()):
+            kept.append(us)
+            while us - kept[0] > self.window:
+                kept.popleft()
+            if own:
+                out.append((*key[:self.keys], us, row_id, len(kept)))
+        self.rows.clear()
+        names = [*[f"k{n}" for n in range(self.keys)], "us", "row_id", "n"]
+        yield pd.DataFrame(out, columns=names)
+
+    def close(self) -> None:
+        pass
+
+
+def trailing_counts(events: DataFrame, keys=("src_ip", "action"), seconds: int = 300, time: str = "event_time", delay: str = "5 minutes",
+                    row_id: str = "event_id") -> DataFrame:
+    """(keys, us, row_id, n): at every row, the rows of its key in the ``seconds`` up to it, the row itself included.
+
+    Time is cut into cells of that length, and a row goes to its own cell and to the next one, which needs it to look
+    back.  State is kept by key and cell, so that it ends with its cell and a busy source is as many states as it
+    has cells.  A cell is answered when the watermark passes it, whatever batches its rows came in and in
+    whatever order; later rows are dropped by the watermark and counted in the progress of the query.
+    """
+    window = seconds * SECOND
+    rows = before_end(events.withWatermark(time, delay), time)
+    cell = F.floor(F.col("us") / window).cast("bigint")
+    rows = rows.select(*[F.col(k).cast("string").alias(f"k{n}") for n, k in enumerate(keys)], "us", F.col(row_id).cast("bigint").alias("row_id"),
+                       time, F.explode(F.array(F.struct(cell.alias("cell"), F.lit(True).alias("own")),
+                                               F.struct((cell + 1).alias("cell"), F.lit(False).alias("own")))).alias("_c"))
+    group = [f"k{n}" for n in range(len(keys))]
+    found = rows.select(*group, "us", "row_id", time, "_c.cell", "_c.own").groupBy(*group, "cell").transformWithStateInPandas(
+        Trailing(len(keys), window), ", ".join([*[f"{g} string" for g in group], "us bigint, row_id bigint, n int"]), "Append", "EventTime")
+    return found.select(*[F.col(g).alias(k) for g, k in zip(group, keys)], "us", "row_id", "n")
 
 
 # ------------------------------------------------------------------ connections
@@ -307,15 +385,19 @@ def rate_of_change_stream(commands: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ metrics, incidents, stateless part
 
 def minute_metrics_stream(events: DataFrame, time: str = "event_time", delay: str = "2 minutes") -> DataFrame:
-    """Metrics of closed minutes; distinct sources are approximate here."""
+    """Metrics of closed minutes (streaming twin of :func:`vigil.operators.baseline.minute_metrics`).
+
+    Two aggregations in a row: per minute and source first, whose rows then make the minute, so that distinct
+    sources are exact and no task counts a whole minute.  Both keep open minutes only.
+    """
     count = lambda c: F.count_if(c)
-    out = (events.withWatermark(time, delay).groupBy(F.window(time, "1 minute"))
-           .agg(F.count(F.lit(1)).alias("events_per_minute"),
-                count(F.col("event_type").isin("failed_logon", "successful_logon")).alias("logins_per_minute"),
-                count(F.col("action").isin(fixed.BLOCK_ACTIONS)).alias("denies_per_minute"),
-                F.approx_count_distinct("src_ip").alias("unique_src_ips"),
-                count(F.col("status_code") >= 500).alias("error_rate")))
-    return out.select(F.unix_micros(F.col("window.start")).alias("bucket"), *baseline.METRICS)
+    per_source = before_end(events.withWatermark(time, delay), time).groupBy(F.window(time, "1 minute"), "src_ip").agg(
+        F.count(F.lit(1)).alias("n"), count(F.col("event_type").isin("failed_logon", "successful_logon")).alias("logins"),
+        count(F.col("action").isin(fixed.BLOCK_ACTIONS)).alias("denies"), count(F.col("status_code") >= 500).alias("errors"))
+    out = per_source.groupBy(F.window(F.window_time("window"), "1 minute").alias("minute")).agg(
+        F.sum("n").alias("events_per_minute"), F.sum("logins").alias("logins_per_minute"), F.sum("denies").alias("denies_per_minute"),
+        count(F.col("src_ip") != "").alias("unique_src_ips"), F.sum("errors").alias("error_rate"))
+    return out.select(F.unix_micros(F.col("minute.start")).alias("bucket"), *baseline.METRICS)
 
 
 def baseline_stream(events: DataFrame, table: str, checkpoint: str, on_anomalies, window: int = 60, **options):
