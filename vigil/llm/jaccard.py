@@ -152,6 +152,13 @@ def described(values: np.ndarray, weight: np.ndarray, least: tuple[int, int]) ->
     return xxhash.xxh3_128_digest(values.tobytes()), len(values), first.view(np.int64), ranges_of(values)
 
 
+def keyed_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """(digest, keys): the whole set of every text."""
+    import xxhash
+    return sets_of(rows.select("text"), shingle, "digest binary, keys array<bigint>",
+                   lambda s: (xxhash.xxh3_128_digest(s.tobytes()), s.view(np.int64)), [pa.binary(), pa.list_(pa.int64())])
+
+
 def prefixes(docs: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
     """(doc_id, digest, n, prefix, ranges): of every n-gram set its digest, size, rarest members and range counts."""
     table = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, shingle))      # ``BUCKETS`` numbers
@@ -186,7 +193,7 @@ def _similar(pairs: DataFrame, rows: DataFrame, whole: Callable[[DataFrame], Dat
     def side(name):
         return rows.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("ranges").alias(f"r_{name}"))
     most = F.aggregate(F.zip_with("r_a", "r_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    left = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(reached(most, F.col("n_a"), F.col("n_b"), least))
+    left = stored(pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").where(reached(most, F.col("n_a"), F.col("n_b"), least))
                   .select("a", "b", "n_a", "n_b"))
     sets = stored(whole(left.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
     met = (left.join(sets.select(F.col("node").alias("a"), F.col("keys").alias("x")), "a")
@@ -206,7 +213,7 @@ def connected(rows: DataFrame, whole: Callable[[DataFrame], DataFrame], least: t
     keys = rows.select("node", F.explode("prefix").alias("key"))
     met = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") < F.col("high"))
     place = (F.array_position("prefix", F.col("key")) - 1).cast("int").alias("place")
-    shared = stored(keys.join(met.select("key"), "key", "left_semi").join(rows, "node").select("key", "node", "n", place))
+    shared = stored(keys.join(met.select("key").hint("merge"), "key", "left_semi").join(rows.hint("merge"), "node").select("key", "node", "n", place))
 
     me, end = F.struct("node", "n", "place"), F.col("end")
     ends = shared.groupBy("key").agg(F.min(me).alias("low"), F.max(me).alias("high"))
@@ -239,12 +246,12 @@ def classes(docs: DataFrame, prints: DataFrame, make: Callable[[DataFrame], Data
         rows = docs.select("doc_id", "text").join(wanted.select("_shown").distinct(), F.col("doc_id").eqNullSafe(F.col("_shown")), "left_semi")
         found = make(rows.select("text")).join(wanted.select("digest", "node"), "digest")
         return found.groupBy("node").agg(F.first("keys").alias("keys"))       # rows repeated under one doc_id
-    rows = stored(prints.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
+    rows = stored(prints.join(nodes.select(F.col("node").alias("row")).hint("merge"), "row", "left_semi")
                   .select(F.col("row").alias("node"), "n", "prefix", "ranges"))
     tree = connected(rows, whole, least)
     rooted = nodes.join(tree, "node", "left").select("digest", "first_id", F.coalesce("root", "node").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("digest", "component_id")
-    return prints.select("doc_id", "digest", "n").join(named, "digest").select("doc_id", "n", "component_id")
+    return prints.select("doc_id", "digest", "n").join(named.hint("merge"), "digest").select("doc_id", "n", "component_id")
 
 
 def join(docs: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
@@ -261,12 +268,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = LEAST
     unless all are null.  Extra columns are ignored; an empty table gives no rows.
     """
     prints = stored(prefixes(docs, shingle, least).withColumn("row", F.monotonically_increasing_id()))
-    import xxhash
-
-    def make(rows):
-        return sets_of(rows, shingle, "digest binary, keys array<bigint>",
-                       lambda s: (xxhash.xxh3_128_digest(s.tobytes()), s.view(np.int64)), [pa.binary(), pa.list_(pa.int64())])
-    found = classes(docs, prints.where("n > 0"), make, least)
+    found = classes(docs, prints.where("n > 0"), lambda rows: keyed_sets(rows, shingle), least)
     alone = prints.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
