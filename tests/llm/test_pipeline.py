@@ -9,9 +9,10 @@ if importlib.util.find_spec("corpus_pipeline") is None:
     pytest.skip("no pipeline here", allow_module_level=True)
 
 import corpus_pipeline as pipeline
-from llm_brute import WORD, base_counts, base_spans, components, fingerprint, texts
+from llm_brute import WORD, base_counts, base_spans, texts
 from llm_fixtures import none, odd, plain  # noqa: F401
 from pyspark.sql import functions as F
+from test_resemblance import first_ids
 
 from vigil.llm import quality
 from vigil.llm.common import stored
@@ -34,8 +35,7 @@ def test_stages(spark, plain):
             and not any(all(c.holds(rows[d].asDict()) for c in rule) for rule in rules)}
     assert {d for d, _ in texts(inputs["near_duplicates"])} == kept
 
-    prints = [(d, fingerprint(t, pipeline.SHINGLE)) for d, t in texts(inputs["near_duplicates"])]
-    first = {d for (d, _), c in zip(prints, components(prints)) if d == c}
+    first = {d for d, c in first_ids(texts(inputs["near_duplicates"])) if d == c}
     assert Counter(d for d, _ in texts(inputs["personal_data"])) == Counter(first)
 
     before, after = dict(texts(inputs["personal_data"])), dict(texts(inputs["mixture"]))
