@@ -21,7 +21,7 @@ LEAST_COUNT = 3
 #: Words of a block, the unit that one tree holds in one task, and the characters it may hold.
 BLOCK = 20_000
 BLOCK_CHARACTERS = 1 << 25
-#: Words, those of the smallest hashes, from which the cuts between blocks of a large length are taken.
+#: About so many words, chosen by their hashes, give the cuts between the blocks of large lengths.
 FIT_WORDS = 100_000
 LEAF = 16
 DIMENSIONS = 32
@@ -213,13 +213,14 @@ def _room(length) -> int:
 
 
 def _cuts(table: DataFrame) -> dict[int, Tree]:
-    """Trees that cut large lengths into blocks, fitted on at most ``FIT_WORDS`` words."""
+    """Trees that cut large lengths into blocks, fitted on about ``FIT_WORDS`` words of these lengths."""
     room = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_CHARACTERS) / F.col("length"))))
     sizes = {r.length: r.n for r in table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > room).collect()}
     if not sizes:
         return {}
     large = table.where(F.col("length").isin(list(sizes)))
-    fit = large.orderBy(F.xxhash64("word"), "word").limit(FIT_WORDS).select("length", "word").collect()
+    share = int(min(1.0, FIT_WORDS / sum(sizes.values())) * (1 << 30))
+    fit = large.where(F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < share).select("length", "word").collect()
     trees = {}
     for length, n in sizes.items():
         column = [r.word for r in fit if r.length == length]
