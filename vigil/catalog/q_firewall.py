@@ -111,6 +111,37 @@ def _(view):
     return R.apply_rules(zoned).select("packet_id", "rule_id", "rule_name", "rule_action")
 
 
+# a rule per customer, over the addresses and ports that the packets have; both engines read the expressions alike
+_MANY = {
+    "rule_id": "CAST(row_id AS INTEGER)", "name": "'rule ' || row_id", "priority": "CAST((row_id * 37) % 1009 AS INTEGER)",
+    "action": "CASE row_id % 3 WHEN 0 THEN 'ALLOW' WHEN 1 THEN 'DENY' ELSE 'DROP' END",
+    "protocol": "CASE row_id % 4 WHEN 0 THEN 'ANY' WHEN 1 THEN 'UDP' ELSE 'TCP' END",
+    "src_ip": """CASE WHEN row_id % 11 = 0 THEN 'any' WHEN row_id % 5 = 0 THEN '203.0.113.' || (row_id % 250) || '/' || (21 + row_id % 12)
+ WHEN row_id % 5 = 1 THEN '172.16.0.' || (row_id % 250 + 1) WHEN row_id % 5 = 2 THEN '192.168.1.' || (row_id % 250) || '/' || (24 + row_id % 9)
+ WHEN row_id % 5 = 3 THEN '10.10.' || (row_id % 16) || '.0/' || (17 + row_id % 8) ELSE '10.0.0.' || (row_id % 250 + 1) END""",
+    "dst_ip": """CASE WHEN row_id % 2 = 0 THEN 'any' WHEN row_id % 7 = 1 THEN '8.8.8.0/24' WHEN row_id % 7 = 2 THEN '198.51.100.' || (row_id % 200 + 1)
+ WHEN row_id % 7 = 3 THEN '10.10.2.0/' || (20 + row_id % 10) WHEN row_id % 7 = 4 THEN 'nowhere' ELSE '192.168.0.0/16' END""",
+    "src_port": "CAST(0 AS INTEGER)",
+    "dst_port": "CAST(CASE row_id % 6 WHEN 0 THEN 0 WHEN 1 THEN 80 WHEN 2 THEN 443 WHEN 3 THEN 22 WHEN 4 THEN 53 ELSE 8080 END AS INTEGER)",
+    "direction": "CASE row_id % 3 WHEN 0 THEN 'ANY' WHEN 1 THEN 'INBOUND' ELSE 'OUTBOUND' END",
+    "zone_src": "''", "zone_dst": "''", "enabled": "row_id % 13 <> 0", "seq": "CAST(row_id AS INTEGER)", "syn": "row_id % 10 = 9"}
+MANY_RULES = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in _MANY.items()) + " FROM @networks"
+_NUMBER = lambda ip: NUM.format(f"split_part({ip}, '/', 1)")
+_RANGE = lambda ip: (f"CASE WHEN contains({ip}, '.') THEN CAST(power(2, 32 - CAST(CASE WHEN contains({ip}, '/') THEN split_part({ip}, '/', 2) ELSE '32' END AS INTEGER)) AS BIGINT) END AS {ip}_size, "
+                     f"CASE WHEN contains({ip}, '.') THEN {_NUMBER(ip)} END AS {ip}_n")
+_WITHIN = lambda ip: f"(r.{ip} = 'any' OR p.{ip} = r.{ip} OR coalesce({NUM.format('p.' + ip)} // r.{ip}_size = r.{ip}_n // r.{ip}_size, false))"
+
+
+@query("d8_many_rules", f"""WITH r0 AS ({MANY_RULES}), r AS (SELECT *, {_RANGE('src_ip')}, {_RANGE('dst_ip')} FROM r0 WHERE enabled),
+ m AS (SELECT p.packet_id, arg_min(r.rule_id, r.priority * 1000000000::BIGINT + r.seq) AS rule_id FROM @packets p JOIN r ON (r.direction = 'ANY' OR r.direction = p.direction) AND (r.protocol = 'ANY' OR r.protocol = p.protocol)
+  AND (r.dst_port = 0 OR r.dst_port = p.dst_port) AND {_WITHIN('src_ip')} AND {_WITHIN('dst_ip')} AND (NOT r.syn OR list_contains(p.tcp_flags, 'SYN')) GROUP BY 1)
+ SELECT p.packet_id, coalesce(m.rule_id, -1) AS rule_id, coalesce(r0.name, '') AS rule_name, coalesce(r0.action, 'DENY') AS rule_action FROM @packets p LEFT JOIN m USING (packet_id) LEFT JOIN r0 ON r0.rule_id = m.rule_id""")
+def _(view):
+    rules = view("networks").selectExpr(*[f"{e} AS {n}" for n, e in _MANY.items()]).withColumn(
+        "tcp_flags", F.when(F.col("syn"), F.array(F.lit("SYN"))).otherwise(F.array().cast("array<string>")))
+    return R.apply_rules(view("packets"), rules).select("packet_id", "rule_id", "rule_name", "rule_action")
+
+
 @query("c4_rule_predicate", f"SELECT packet_id, ({rule_sql(fixed.FIREWALL_RULES[1])} AND {has('SYN')}) AS allow_https_syn FROM @packets")
 def _(view):
     rule = {**tables.firewall_rules(view("packets").sparkSession).where("rule_id = 3").collect()[0].asDict(), "tcp_flags": ["SYN"]}

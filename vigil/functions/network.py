@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -80,6 +81,8 @@ def in_network(ip, cidr: str, number: Column | None = None) -> Column:
     """
     if cidr in ("any", "0.0.0.0/0"):
         return F.lit(True)
+    if not (re.search(CIDR, cidr) or re.search(IPV4, cidr)):
+        return _c(ip) == F.lit(cidr)
     low, high = literal_range(cidr)
     number = ip_to_num(ip) if number is None else number
     return F.coalesce(number.between(low, high), _c(ip) == F.lit(cidr))

@@ -1,4 +1,4 @@
-"""First-match rules: a short rule table becomes one CASE expression, a long one an array to look through."""
+"""First-match rules: a short table becomes one CASE expression, a long one an index."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vigil import fixed, tables
-from vigil.functions.network import cidr_high, cidr_low, in_network, ip_to_num
+from vigil.functions.network import in_network, ip_to_num
+from vigil.operators.ruleindex import apply_index
 
 COMPILED_RULES = 500
 MAX_PATTERNS = 2_000
@@ -43,28 +44,13 @@ def rule_condition(rule: dict, numbers: dict[str, Column] | None = None) -> Colu
     return _all(tests)
 
 
-def _listed_condition(rule: Column) -> Column:
-    """The same condition with the rule as a struct whose networks are given as ranges."""
-    zone = lambda name: F.coalesce(F.col(name), F.lit(""))
-
-    def inside(name: str) -> Column:
-        number, text = F.col(f"_{name}"), rule[name]
-        return (text.isin("any", "0.0.0.0/0") | F.coalesce(number.between(rule[f"{name}_low"], rule[f"{name}_high"]), F.lit(False))
-                | (F.col(name) == text))
-
-    return _all([(rule[n] == "ANY") | (rule[n] == F.col(n)) for n in ("direction", "protocol")]
-                + [inside(n) for n in ("src_ip", "dst_ip")]
-                + [(rule[n] == 0) | (rule[n] == F.col(n)) for n in ("src_port", "dst_port")]
-                + [F.size(F.array_except(rule["tcp_flags"], F.col("tcp_flags"))) == 0]
-                + [(rule[n] == "") | (zone(n) == "") | (rule[n] == zone(n)) for n in ("zone_src", "zone_dst")])
-
-
 def apply_rules(packets: DataFrame, rules: DataFrame | None = None,
                 default_policy: str = fixed.DEFAULT_POLICY) -> DataFrame:
     """Add ``rule_id, rule_name, rule_action`` of the first enabled rule that matches.
 
     Lowest priority first, table order (``seq``) among equals.  Without a match the rule id is -1
     and the action is the default policy.  Packets without zone columns match every zone.
+    Tables above ``COMPILED_RULES`` go through :func:`vigil.operators.ruleindex.apply_index`.
     """
     rules = tables.firewall_rules(packets.sparkSession) if rules is None else rules
     for name in ("zone_src", "zone_dst"):
@@ -86,19 +72,7 @@ def apply_rules(packets: DataFrame, rules: DataFrame | None = None,
                               "rule_name": pick([r["name"] for r in few] + [""]),
                               "rule_action": pick([r["action"] for r in few] + [default_policy])})
                 .drop("_place", "_src_ip", "_dst_ip"))
-    # a long table stays one sorted array that every packet looks through: one row in, one row out
-    ranges = {f"{n}_{end}": f(n) for n in ("src_ip", "dst_ip") for end, f in (("low", cidr_low), ("high", cidr_high))}
-    ordered = enabled.withColumns(ranges).select(F.struct("priority", "seq", "rule_id", "name", "action", "direction", "protocol",
-                                                          "src_ip", "dst_ip", "src_port", "dst_port", "tcp_flags", "zone_src",
-                                                          "zone_dst", *ranges).alias("r"))
-    listed = ordered.agg(F.sort_array(F.collect_list("r")).alias("rules")).scalar()
-    return (packets.withColumns({f"_{n}": ip_to_num(n) for n in ("src_ip", "dst_ip")})
-            .withColumn("_rules", listed)
-            .withColumn("_match", F.get(F.filter("_rules", _listed_condition), F.lit(0)))
-            .withColumns({"rule_id": F.coalesce("_match.rule_id", F.lit(-1)),
-                          "rule_name": F.coalesce("_match.name", F.lit("")),
-                          "rule_action": F.coalesce("_match.action", F.lit(default_policy))})
-            .drop("_match", "_rules", "_src_ip", "_dst_ip"))
+    return apply_index(packets, rules, default_policy)
 
 
 def rule_hits(decided: DataFrame) -> DataFrame:
