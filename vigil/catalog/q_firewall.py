@@ -337,6 +337,24 @@ def _(view):
         "signature.mitre", "signature.details")
 
 
+# a signature per service: most stand for nothing that occurs, some for what the payloads hold
+_SIGNS = {
+    "sid": "CAST(service_id AS INTEGER)", "name": "'sign ' || service_id", "seq": "CAST((service_id * 37) % 1009 * 100000 + service_id AS BIGINT)",
+    "protocol": "CASE service_id % 3 WHEN 0 THEN 'ANY' WHEN 1 THEN 'TCP' ELSE 'UDP' END",
+    "pattern": """CASE service_id % 40 WHEN 0 THEN '[0-9]=[0-9]' WHEN 7 THEN 'union[ ]+all' WHEN 11 THEN 'etc/(passwd|shadow)' WHEN 13 THEN 'on[a-z]+ ?= ?x' WHEN 17 THEN 'SSH-2.0|telnet-' WHEN 19 THEN '^beacon to .*-c2'
+ WHEN 23 THEN 'http/1[.][01]$' WHEN 29 THEN 'reply (10|11)[.]' WHEN 31 THEN 'tunnel[.]tk' ELSE 'zq' || service_id || 'q+[0-9]' END""",
+    "severity": "'high'", "action": "'alert'", "category": "'made'", "mitre": "''"}
+_SIGNED = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in _SIGNS.items()) + " FROM @services"
+
+
+@query("d9_many_signatures", f"""WITH s AS ({_SIGNED}), kinds AS (SELECT DISTINCT protocol, payload FROM @ids_packets),
+ m AS (SELECT k.protocol, k.payload, arg_min(s.sid, s.seq) AS sid FROM kinds k JOIN s ON s.protocol IN ('ANY', k.protocol) AND regexp_matches(k.payload, s.pattern, 'i') GROUP BY 1, 2)
+ SELECT packet_id, m.sid FROM @ids_packets p LEFT JOIN m ON m.protocol = p.protocol AND m.payload = p.payload""")
+def _(view):
+    table = view("services").selectExpr(*[f"{e} AS {n}" for n, e in _SIGNS.items()], "CAST(array() AS ARRAY<INT>) AS dst_port")
+    return R.match_signatures(view("ids_packets"), table).select("packet_id", "signature.sid")
+
+
 @query("d9_page_signatures", f"SELECT packet_id, sid, severity FROM ({signed('@pages')}) s")
 def _(view):
     return R.match_signatures(view("pages")).select("packet_id", "signature.sid", "signature.severity")

@@ -5,13 +5,15 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType
 
 from vigil import fixed, tables
 from vigil.functions.network import in_network, ip_to_num
+from vigil.operators.patternindex import first_hits
 from vigil.operators.ruleindex import apply_index
 
 COMPILED_RULES = 500
-MAX_PATTERNS = 2_000
+MAX_PATTERNS = 500
 
 
 def _all(conditions) -> Column:
@@ -99,41 +101,62 @@ def _signature_condition(s) -> Column:
     return _all(tests)
 
 
-def _first(tests: list[Column]) -> Column:
-    """Place (from 1) of the first test that holds, NULL without one: an expression per ``MAX_PATTERNS`` tests."""
-    parts = []
-    for start in range(0, len(tests), MAX_PATTERNS):
-        part = None
-        for n, test in enumerate(tests[start:start + MAX_PATTERNS], start + 1):
-            part = F.when(test, n) if part is None else part.when(test, n)
-        parts.append(part)
-    return F.least(*parts) if len(parts) > 1 else parts[0]
+def first_of(tests: list[Column], values: list) -> Column:
+    """The value of the first test that holds, NULL without one."""
+    place = None
+    for test, value in zip(tests, values):
+        place = F.when(test, value) if place is None else place.when(test, value)
+    return F.lit(None) if place is None else place
+
+
+def _picked(packets: DataFrame, ranked: DataFrame, columns: list[Column]) -> DataFrame:
+    """Packets with ``columns`` of the pattern of rank ``_best``; a column may use the packet's too."""
+    named = tables.bounded_broadcast(ranked.select(F.col("rank").alias("_rank"), F.struct(*[c for c in ranked.columns if c != "rank"]).alias("_hit")))
+    return packets.join(named, F.col("_best") == F.col("_rank"), "left").select(*[c for c in packets.columns if c != "_best"], *columns)
 
 
 def match_signatures(packets: DataFrame, signatures: DataFrame | None = None) -> DataFrame:
     """Add ``signature``: struct of the first matching payload signature, NULL without one.
 
-    The cheap protocol and port tests come first; a pattern is a literal, compiled once.
+    A short table is one expression with the cheap protocol and port tests first and patterns as literals; above
+    ``MAX_PATTERNS`` an index of required letters finds the patterns to try (:mod:`vigil.operators.patternindex`).
     """
     signatures = tables.signatures(packets.sparkSession) if signatures is None else signatures
-    listed = signatures.orderBy("seq").collect()
-    place = _first([_signature_condition(s) for s in listed])
-    pick = lambda name: F.element_at(F.array(*[F.lit(s[name]) for s in listed]), F.col("_place")).alias(name)
+    names = ("sid", "name", "severity", "action", "category", "mitre")
     details = F.concat(F.lit("Matched: "), F.substring("payload", 1, 80)).alias("details")
-    fields = [pick(n) for n in ("sid", "name", "severity", "action", "category", "mitre")]
-    return (packets.withColumn("_place", place)
-            .withColumn("signature", F.when(F.col("_place").isNotNull(), F.struct(*fields, details)))
+    listed = signatures.orderBy("seq").limit(MAX_PATTERNS + 1).collect()
+    if len(listed) > MAX_PATTERNS:
+        def holds(payload):
+            if payload:
+                return F.rlike("payload", F.concat(F.lit("(?i)"), F.col("r_pattern")))
+            return (F.col("r_protocol").isin("ANY") | (F.col("r_protocol") == F.col("protocol"))) & (
+                (F.coalesce(F.size("r_dst_port"), F.lit(0)) <= 0) | F.array_contains("r_dst_port", F.col("dst_port")))
+        found, ranked = first_hits(packets, signatures, "pattern", ["seq"], True, holds, _signature_condition)
+        hit = F.when(F.col("_hit").isNotNull(), F.struct(*[F.col(f"_hit.{n}").alias(n) for n in names], details))
+        return _picked(found, ranked, [hit.alias("signature")])
+    pick = lambda name: F.element_at(F.array(*[F.lit(s[name]) for s in listed]).cast(ArrayType(signatures.schema[name].dataType)), F.col("_place")).alias(name)
+    return (packets.withColumn("_place", first_of([_signature_condition(s) for s in listed], range(1, len(listed) + 1)).cast("int"))
+            .withColumn("signature", F.when(F.col("_place").isNotNull(), F.struct(*[pick(n) for n in names], details)))
             .drop("_place"))
 
 
 def match_content(packets: DataFrame, contents: DataFrame | None = None) -> DataFrame:
-    """Add ``content_id, content_action, content_message`` of the first contained text."""
-    rows = fixed.CONTENT_SIGNATURES if contents is None else \
-        [(r["id"], r["action"], r["protocol"], r["content"], r["msg"]) for r in contents.orderBy("id").collect()]
-    place = _first([(F.col("protocol") == protocol) & F.col("payload").contains(content) for _, _, protocol, content, _ in rows])
-    pick = lambda field: F.when(F.col("_place").isNotNull(), F.element_at(F.array(*[F.lit(r[field]) for r in rows]), F.col("_place")))
-    return (packets.withColumn("_place", place)
-            .withColumns({"content_id": pick(0), "content_action": pick(1), "content_message": pick(4)}).drop("_place"))
+    """Add ``content_id, content_action, content_message`` of the first contained text.
+
+    A short table is one expression, one above ``MAX_PATTERNS`` is looked up as :func:`match_signatures` does.
+    """
+    contents = tables.contents(packets.sparkSession) if contents is None else contents
+    shown = {"content_id": "id", "content_action": "action", "content_message": "msg"}
+    listed = contents.orderBy("id").limit(MAX_PATTERNS + 1).collect()
+    test = lambda r: (F.col("protocol") == r["protocol"]) & F.col("payload").contains(r["content"])
+    if len(listed) > MAX_PATTERNS:
+        def holds(payload):
+            return F.contains("payload", "r_content") if payload else F.col("r_protocol") == F.col("protocol")
+        found, ranked = first_hits(packets, contents, "content", ["id"], False, holds, test)
+        return _picked(found, ranked, [F.col(f"_hit.{c}").alias(name) for name, c in shown.items()])
+    pick = lambda c: F.element_at(F.array(*[F.lit(r[c]) for r in listed]).cast(ArrayType(contents.schema[c].dataType)), F.col("_place"))
+    return (packets.withColumn("_place", first_of([test(r) for r in listed], range(1, len(listed) + 1)).cast("int"))
+            .withColumns({name: F.when(F.col("_place").isNotNull(), pick(c)) for name, c in shown.items()}).drop("_place"))
 
 
 def signature_catalogue(detected: DataFrame) -> DataFrame:

@@ -101,6 +101,10 @@ def signatures(spark):
                             "category:s mitre:s", fixed.SIGNATURES, numbered=True)
 
 
+def contents(spark):
+    return dimension(spark, "id:i action:s protocol:s content:s msg:s", fixed.CONTENT_SIGNATURES)
+
+
 def cves(spark):
     return dimension(spark, "software:s cve_id:s cvss:d severity:s description:s "
                             "affected_versions:as fixed_version:s exploit_available:b published:s",
