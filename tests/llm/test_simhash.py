@@ -62,3 +62,11 @@ def test_one_of_each_group_stays(odd, none):
     rows = [(d, fingerprint(t)) for d, t in texts(odd)]
     assert sorted(map(repr, ids)) == sorted({repr(d) for (d, _), c in zip(rows, components(rows)) if d == c})
     assert S.keep_one(none).count() == 0
+
+
+def test_kept_rows_with_clashing_columns(spark, odd):
+    docs = odd.select("*", *[F.lit(1).alias(c) for c in ("_kept", "_row", "_order", "component_id", "node")])
+    kept = S.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(repr, kept.select("doc_id").collect())) == sorted(map(repr, S.keep_one(odd).select("doc_id").collect()))
+    assert kept.count() == kept.select("doc_id").distinct().count()

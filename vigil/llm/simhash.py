@@ -265,8 +265,16 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its own component_id in ``found``, each id once."""
-    found = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return (rows.select("doc_id", F.struct("*").alias("_row"), F.xxhash64(text_of()).alias("_order"))
-            .groupBy("doc_id").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*"))
+    """The rows of ``docs`` whose doc_id is its own component_id in ``found``, each id once.
+
+    Texts are grouped only for ids that occur more than once; the others pass by a join with the ids.
+    """
+    own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    own = stored(own.select(F.col("doc_id").alias("_kept"), "n"))
+
+    def rows(times):
+        ids = own.where(times).select("_kept")
+        return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
+    again = (rows("n > 1").select("doc_id", F.struct("*").alias("_row"), F.xxhash64(text_of()).alias("_order"))
+             .groupBy("doc_id").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*"))
+    return rows("n = 1").unionByName(again)
