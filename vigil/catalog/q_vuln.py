@@ -137,26 +137,15 @@ def _any(text, words):
     return "(" + " OR ".join(f"contains({text}, {quote(w)})" for w in words) + ")"
 
 
-def _steps(pairs, other):
-    return "CASE " + " ".join(f"WHEN {c} THEN {a}" for c, a in pairs) + f" ELSE {other} END"
-
-
 def os_sql():
-    """The same ladder of questions as SQL over s (service), b (banner), v (version) and port."""
-    steps = [(_any("s", [p]), _steps([(_any("b", words), quote(a)) for words, a in hints], quote(other)))
-             for p, hints, other in T.PRODUCT_HINTS]
-    steps.append((_any("s", ["iis", "http"]), f"CASE WHEN NOT {_any('b', ['windows', 'iis'])} AND contains(v, '10.0') "
-                  "THEN 'Windows Server 2016/Windows 10 with IIS' ELSE 'Windows with IIS' END"))
-    steps.append((_any("b", ["windows", "microsoft"]), _steps([(_any("v", w), quote(a)) for w, a in T.WINDOWS_VERSIONS], "'Windows'")))
-    steps.append((_any("b", ["linux", "ubuntu", "debian", "centos"]), _steps(
-        [(_any("b", ["ubuntu"]), "'Linux (Ubuntu)'"), (_any("b", ["debian"]), "'Linux (Debian)'"), (_any("b", ["centos"]), "'Linux (CentOS)'")], "'Linux'")))
-    steps += [(_any("b", [w]), quote(a)) for w, a in T.UNIX_WORDS]
-    ports = ", ".join(map(str, T.WINDOWS_PORTS))
-    steps.append((f"port IN ({ports}) OR s IN ('ms-rpc', 'smb', 'rdp', 'netbios-ss')", _steps(
-        [(f"port = {n} OR {_any('s', [w])}", f"'Windows ({name} service)'") for n, w, name in
-         ((445, "smb", "SMB"), (3389, "rdp", "RDP"), (135, "ms-rpc", "MS-RPC"), (139, "netbios", "NetBIOS"))], "'Windows'")))
-    steps.append((_any("s", ["microsoft"]), "'Windows'"))
-    return _steps(steps, "''")
+    """The same table as SQL over s (service), b (banner and text), v (version) and port; there is no description."""
+    of = {"service": "s", "banner": "b", "text": "b", "version": "v"}
+
+    def hit(marks):
+        tests = [f"port IN ({', '.join(map(str, found))})" if kind == "port" else f"s IN ({', '.join(map(quote, found))})" if kind == "named" else _any(of[kind], found)
+                 for kind, found in marks.items() if kind != "description"]
+        return "(" + " OR ".join(tests) + ")"
+    return "CASE " + " ".join(f"WHEN {' AND '.join(map(hit, row))} THEN {quote(answer)}" for answer, *row in fixed.OS_MARKS) + " ELSE '' END"
 
 
 @query("x11_os_guess", f"SELECT service_id, {os_sql()} AS os FROM (SELECT service_id, port, lower(service) AS s, lower(banner) || ' ' AS b, lower(version) AS v FROM @services) g")
