@@ -160,3 +160,28 @@ def test_retraining(spark, tmp_path):
     assert twins.stored_features(spark, str(tmp_path / "features")).count() == df.count()
     newest = twins.stored_features(spark, str(tmp_path / "features"), "event_id", 10)
     assert sorted(r[0] for r in newest.select("event_id").collect()) == sorted(r[0] for r in df.orderBy(F.desc("event_id")).limit(10).select("event_id").collect())
+
+
+def test_state_ends_and_late_rows_are_counted(spark, tmp_path):
+    """Sources come and go for hours: only those of the last window are remembered, and a row from long ago is dropped."""
+    data = [(f"s{i // 3}", (i + 1) * 60_000_000, i) for i in range(360)] + [("late", 60_000_000, 999), ("s119", 361 * 60_000_000, 1000)]
+    df = spark.createDataFrame(data, "src_ip string, us bigint, event_id bigint").withColumn("arrival", F.when(F.col("event_id") > 900, 1 << 40).otherwise(F.col("us")))
+    rows_in = stream(spark, df, tmp_path, files=12, order="arrival").drop("arrival")
+    query = (twins.threshold_stream(rows_in, "src_ip", 3, 150).writeStream.format("memory").queryName("bounded").outputMode("append")
+             .option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start())
+    assert query.awaitTermination(240) is not False
+    assert {r.key for r in spark.table("bounded").collect()} == {f"s{k}" for k in range(120)}
+    totals = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(totals) < 2 * 60 and totals[-1] < 60
+    assert twins.late_rows(query) == 1
+
+
+def test_blocks_end(spark, tmp_path):
+    """A source that is not blocked any more is not remembered."""
+    data = [(f"b{i}", i * 60_000_000, i, True) for i in range(1, 200)]
+    df = spark.createDataFrame(data, "src_ip string, us bigint, packet_id bigint, detected boolean")
+    query = (twins.block_list_stream(stream(spark, df, tmp_path, files=10), delay="1 minute").writeStream.format("memory").queryName("blocks_end")
+             .outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start())
+    assert query.awaitTermination(240) is not False
+    assert spark.table("blocks_end").where("blocked").count() == 199
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] < 40

@@ -2,11 +2,17 @@
 
 from pyspark.sql import functions as F
 
-from vigil.catalog.q_detect import BRUTE, _METRICS, all_fires
+from vigil import fixed
+from vigil.catalog.q_detect import _METRICS, BRUTE, DENIED, SCAN, VPN, WEB, WEBBED, all_fires
 from vigil.catalog.q_enrich import THREATS
 from vigil.catalog.q_firewall import signed, tracked
 from vigil.catalog.q_ot import STAGED
+from vigil.catalog.q_ids import RATE
 from vigil.catalog.registry import query
+from vigil.operators import correlate
+from vigil.operators import ids as I
+from vigil.operators import ot as O
+from vigil.operators.rules import match_signatures
 from vigil.streaming import twins as S
 
 
@@ -21,10 +27,47 @@ def _(view):
     return S.run_available(S.threshold_stream(failed, "src_ip", BRUTE[0], BRUTE[1]))
 
 
+def _fires(name, condition, where, n, seconds):
+    sql = all_fires(n, seconds, where)
+
+    @query(f"g4_stream_{name}", f"SELECT src_ip AS key, us, event_id AS row_id, event_count FROM ({sql}) f")
+    def _(view):
+        return S.run_available(S.threshold_stream(view("stream:events").where(condition()), "src_ip", n, seconds))
+
+
+_fires("port_scan", correlate.is_denied, DENIED, *SCAN)
+_fires("vpn_brute_force", lambda: F.col("event_type") == "vpn_auth_fail", "event_type = 'vpn_auth_fail'", *VPN)
+_fires("web_attack", correlate.is_web_attack, WEBBED, *WEB)
+
+
+def rates(view):
+    return I.rate_rows(match_signatures(view("stream:ids_packets")))
+
+
+@query("g4_stream_syn_flood", f"SELECT src_ip AS key, us, event_id AS row_id, event_count FROM ({all_fires(*fixed.SYN_FLOOD, 'true', source=f'({RATE})')}) f")
+def _(view):
+    return S.run_available(S.threshold_stream(rates(view), "src_ip", *fixed.SYN_FLOOD, row_id="packet_id"))
+
+
+# the first fire of a source; the window empties after it
+@query("g4_stream_ids_port_scan", f"""SELECT src_ip AS key, us, event_id AS row_id FROM (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY us, event_id) AS nth FROM (
+ SELECT *, len(list_distinct(list(dst_port) OVER (PARTITION BY src_ip ORDER BY us RANGE BETWEEN 30000000 PRECEDING AND CURRENT ROW))) AS n FROM ({RATE}) r WHERE dst_port <> 0) a WHERE n >= 10) b WHERE nth = 1""")
+def _(view):
+    found = S.run_available(S.distinct_threshold_stream(rates(view).where("dst_port <> 0"), "src_ip", "dst_port", *fixed.IDS_PORT_SCAN))
+    return found.groupBy("key").agg(F.min(F.struct("us", "row_id")).alias("f")).select("key", "f.*")
+
+
+@query("g4_stream_write_frequency", f"WITH {STAGED} SELECT CAST(address AS VARCHAR) AS address, command_id AS row_id, writes AS n FROM counted WHERE writes > 10")
+def _(view):
+    passed = O.validate_writes(O.writes(timed(view, "commands")).where(F.col("source_ip").isin(fixed.OT_WRITERS)))
+    passed = passed.where(F.col("success") | ~F.col("known") & F.col("value").between(0, 65535)).select("address", "us", "command_id", "event_time")
+    counts = S.run_to_end(passed, "event_time", lambda rows: S.trailing_counts(rows, ("address",), 60, row_id="command_id"))
+    return counts.where("n > 10").select("address", "row_id", F.col("n").cast("bigint").alias("n"))
+
+
 @query("g5_stream_block_list", f"""WITH d AS (SELECT src_ip, us FROM ({signed('@ids_packets')}) s WHERE sid IS NOT NULL)
  SELECT p.src_ip, p.packet_id AS row_id, p.us, EXISTS (SELECT 1 FROM d WHERE d.src_ip = p.src_ip AND p.us >= d.us AND p.us < d.us + 15000000) AS blocked FROM @ids_packets p""")
 def _(view):
-    from vigil.operators.rules import match_signatures
     marked = match_signatures(view("stream:ids_packets")).withColumn("detected", F.col("signature").isNotNull())
     return S.run_available(S.block_list_stream(marked))
 

@@ -1,7 +1,9 @@
 """Structured Streaming forms of the stateful operators.
 
 Rows of a micro-batch are put in time order per key; what a key remembers between batches is a
-few values.  Rows later than the watermark are dropped by Spark before they get here.
+few values.  Every twin but the connections that never expire has a watermark on event time: rows later than
+it are dropped by Spark and counted in the progress of the query (:func:`late_rows`), and what a key remembers ends with
+a timer once it can tell nothing about rows to come.
 """
 
 from __future__ import annotations
@@ -22,8 +24,26 @@ from vigil.session import checkpoint_dir
 SECOND = 1_000_000
 
 
+#: How much later than the newest row a row may come.
+DELAY = "10 minutes"
+
+
+def on_event_time(rows: DataFrame, delay: str = DELAY) -> DataFrame:
+    """Rows with a watermark on ``us``.  Event time is a second ahead, as a row at the epoch would be late from the start."""
+    return rows.withColumn("event_time", F.timestamp_micros(F.col("us") + SECOND)).withWatermark("event_time", delay)
+
+
+def late_rows(query) -> int:
+    """Rows that a query has dropped because they came after the watermark."""
+    return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+
+
 class InOrder(StatefulProcessor):
-    """Runs ``step`` over the rows of a key in time order and keeps one value between batches."""
+    """Runs ``step`` over the rows of a key in time order and keeps one value between batches.
+
+    A key has one timer at most.  When it fires and the value still matters, it is set anew, otherwise the key is
+    forgotten.
+    """
 
     schema = ""             # of the value kept
     columns: list[str] = []  # of the output
@@ -33,11 +53,21 @@ class InOrder(StatefulProcessor):
         self.value = handle.getValueState("value", self.schema)
 
     def step(self, value, row):
-        """(value, outputs) after one row; ``value`` is None for a new key."""
+        """(value, outputs) after one row; ``value`` is None if there is nothing to remember."""
         raise NotImplementedError
 
+    def ends(self, value) -> int | None:
+        """The moment from which the value tells nothing any more; None if it always does."""
+        return None
+
+    def _timer(self, value) -> None:
+        end = self.ends(value)
+        if end is not None:
+            self.handle.registerTimer((end + SECOND) // 1000 + 1)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        value = self.value.get() if self.value.exists() else None
+        known = self.value.exists()
+        value = self.value.get() if known else None
         out = []
         pdf = pd.concat(list(rows)).sort_values(["us", "row_id"])
         for row in pdf.itertuples(index=False):
@@ -45,11 +75,23 @@ class InOrder(StatefulProcessor):
             out += [(key[0], *f) for f in found]
         if value is not None:
             self.value.update(value)
-            self.after(value, timerValues)
+            self.after(value, known)
+        elif known:
+            self.value.clear()
         yield pd.DataFrame(out, columns=self.columns)
 
-    def after(self, value, timerValues) -> None:
-        pass
+    def after(self, value, known: bool) -> None:
+        if not known:
+            self._timer(value)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.value.exists():
+            value = self.value.get()
+            if self.ends(value) + SECOND > timerValues.getCurrentWatermarkInMs() * 1000:
+                self._timer(value)
+            else:
+                self.value.clear()
+        yield pd.DataFrame([], columns=self.columns)
 
     def close(self) -> None:
         pass
@@ -116,15 +158,18 @@ class Threshold(InOrder):
     def step(self, value, row):
         times = [t for t in (value[0] if value else []) if row.us - t <= self.window] + [int(row.us)]
         if len(times) >= self.n:
-            return ([],), [(int(row.us), int(row.row_id), self.n)]
+            return None, [(int(row.us), int(row.row_id), self.n)]
         return (times,), []
 
+    def ends(self, value):
+        return value[0][-1] + self.window
 
-def threshold_stream(events: DataFrame, key: str, n: int, seconds: float, row_id: str = "event_id") -> DataFrame:
+
+def threshold_stream(events: DataFrame, key: str, n: int, seconds: float, row_id: str = "event_id", delay: str = DELAY) -> DataFrame:
     """Streaming twin of :func:`vigil.operators.thresholds.all_fires`; remembers at most N-1 times per key."""
-    rows = events.select(F.col(key).alias("key"), "us", F.col(row_id).cast("bigint").alias("row_id"))
+    rows = on_event_time(events.select(F.col(key).alias("key"), "us", F.col(row_id).cast("bigint").alias("row_id")), delay)
     return rows.groupBy("key").transformWithStateInPandas(
-        Threshold(n, int(seconds * SECOND)), "key string, us bigint, row_id bigint, event_count int", "Append", "None")
+        Threshold(n, int(seconds * SECOND)), "key string, us bigint, row_id bigint, event_count int", "Append", "EventTime")
 
 
 class DistinctThreshold(InOrder):
@@ -141,15 +186,19 @@ class DistinctThreshold(InOrder):
         last = {v: t for v, t in last.items() if row.us - t <= self.window}
         last[int(row.item)] = int(row.us)       # only the last time of a value matters
         if len(last) >= self.n:
-            return ([], []), [(int(row.us), int(row.row_id), len(last))]
+            return None, [(int(row.us), int(row.row_id), len(last))]
         return (list(last.values()), list(last)), []
 
+    def ends(self, value):
+        return max(value[0]) + self.window
+
 
 def distinct_threshold_stream(events: DataFrame, key: str, item: str, n: int, seconds: float,
-                              row_id: str = "packet_id") -> DataFrame:
-    rows = events.select(F.col(key).alias("key"), "us", F.col(row_id).cast("bigint").alias("row_id"), F.col(item).alias("item"))
+                              row_id: str = "packet_id", delay: str = DELAY) -> DataFrame:
+    """N different values within W seconds; remembers the last time of each value in the window."""
+    rows = on_event_time(events.select(F.col(key).alias("key"), "us", F.col(row_id).cast("bigint").alias("row_id"), F.col(item).alias("item")), delay)
     return rows.groupBy("key").transformWithStateInPandas(
-        DistinctThreshold(n, int(seconds * SECOND)), "key string, us bigint, row_id bigint, distinct_values int", "Append", "None")
+        DistinctThreshold(n, int(seconds * SECOND)), "key string, us bigint, row_id bigint, distinct_values int", "Append", "EventTime")
 
 
 class Trailing(StatefulProcessor):
@@ -268,15 +317,8 @@ class Connections(InOrder):
             state = "ESTABLISHED"
         return (state, peer, port, protocol, max(int(row.us), last)), answer(state)
 
-    def after(self, value, timerValues) -> None:
-        if self.expire:
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
-            self.handle.registerTimer(value[4] // 1000 + self.limit(value[0], value[3]) * 1000 + 1)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.value.clear()
-        yield pd.DataFrame([], columns=self.columns)
+    def ends(self, value):
+        return value[4] + self.limit(value[0], value[3]) * SECOND if self.expire else None
 
 
 def connection_stream(packets: DataFrame, expire: bool = False, time: str = "event_time", delay: str = "10 seconds") -> DataFrame:
@@ -319,15 +361,19 @@ class Verdicts(InOrder):
                 times, ports = list(last.values()), list(last)
         return (until, kind, syn, times, ports), [(int(row.row_id), now, name)]
 
+    def ends(self, value):
+        until, _, syn, times, _ = value
+        return max([until] + [t + fixed.SYN_FLOOD[1] * SECOND for t in syn[-1:]] + [t + fixed.IDS_PORT_SCAN[1] * SECOND for t in times])
+
 
-def verdict_stream(packets: DataFrame) -> DataFrame:
+def verdict_stream(packets: DataFrame, delay: str = DELAY) -> DataFrame:
     """Streaming twin of :func:`vigil.operators.ids.verdicts`: the rule that decided every packet."""
     from vigil.operators.rules import match_signatures
     signed = match_signatures(packets)
-    rows = signed.select("src_ip", F.col("packet_id").alias("row_id"), "us", "flags", "dst_port",
-                         F.coalesce(F.col("signature.name"), F.lit("")).alias("signature_name"))
+    rows = on_event_time(signed.select("src_ip", F.col("packet_id").alias("row_id"), "us", "flags", "dst_port",
+                                       F.coalesce(F.col("signature.name"), F.lit("")).alias("signature_name")), delay)
     return rows.groupBy("src_ip").transformWithStateInPandas(
-        Verdicts(), "src_ip string, row_id bigint, us bigint, rule_name string", "Append", "None")
+        Verdicts(), "src_ip string, row_id bigint, us bigint, rule_name string", "Append", "EventTime")
 
 
 class BlockList(InOrder):
@@ -343,20 +389,26 @@ class BlockList(InOrder):
         until = value[0] if value else 0
         if row.detected:
             until = int(row.us) + self.ttl
-        return (until,), [(int(row.row_id), int(row.us), bool(row.us < until))]
+        return (until,) if until > row.us else None, [(int(row.row_id), int(row.us), bool(row.us < until))]
 
+    def ends(self, value):
+        return value[0]
 
-def block_list_stream(packets: DataFrame, ttl_seconds: int = fixed.STANDALONE_BLOCK) -> DataFrame:
+
+def block_list_stream(packets: DataFrame, ttl_seconds: int = fixed.STANDALONE_BLOCK, delay: str = DELAY) -> DataFrame:
     """Streaming twin of :func:`vigil.operators.ids.apply_block_list`; input has a ``detected`` flag."""
-    rows = packets.select("src_ip", F.col("packet_id").alias("row_id"), "us", "detected")
+    rows = on_event_time(packets.select("src_ip", F.col("packet_id").alias("row_id"), "us", "detected"), delay)
     return rows.groupBy("src_ip").transformWithStateInPandas(
-        BlockList(ttl_seconds), "src_ip string, row_id bigint, us bigint, blocked boolean", "Append", "None")
+        BlockList(ttl_seconds), "src_ip string, row_id bigint, us bigint, blocked boolean", "Append", "EventTime")
 
 
 # ------------------------------------------------------------------ registers
 
 class RegisterHistory(InOrder):
-    """Last accepted value of a register and whether there were two."""
+    """Last accepted value of a register and whether there were two.
+
+    A register's last value holds until the next one, so nothing ends; there are as many states as known registers.
+    """
 
     schema = "last bigint, seen int"
     columns = ["address", "row_id", "us", "change_percent"]
@@ -371,15 +423,15 @@ class RegisterHistory(InOrder):
         return (int(row.value), min(seen + 1, 2)), out
 
 
-def rate_of_change_stream(commands: DataFrame) -> DataFrame:
+def rate_of_change_stream(commands: DataFrame, delay: str = DELAY) -> DataFrame:
     """Rapid changes among accepted writes (streaming twin of the rate check)."""
     from vigil.operators.ot import with_register, writes
     rows = with_register(writes(commands).where(F.col("source_ip").isin(fixed.OT_WRITERS)))
     rows = (rows.where(~F.col("readonly") & F.col("value").between(F.col("min_value"), F.col("max_value")) & F.col("known"))
             .select("address", F.col("command_id").alias("row_id"), "us", "value",
                     (F.col("max_value") - F.col("min_value")).alias("span")))
-    return rows.groupBy("address").transformWithStateInPandas(
-        RegisterHistory(), "address int, row_id bigint, us bigint, change_percent double", "Append", "None")
+    return on_event_time(rows, delay).groupBy("address").transformWithStateInPandas(
+        RegisterHistory(), "address int, row_id bigint, us bigint, change_percent double", "Append", "EventTime")
 
 
 # ------------------------------------------------------------------ metrics, incidents, stateless part
