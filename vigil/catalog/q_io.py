@@ -1,7 +1,9 @@
 """Sources and sinks: what is written from a view and read back equals the view."""
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil import fixed
@@ -18,17 +20,13 @@ def _folder(df) -> str:
     return f"{checkpoint_dir(df.sparkSession).rstrip('/')}/vigil-io-{uuid.uuid4().hex}"
 
 
-def _document(rows, path) -> None:
-    """A list of rows as one JSON document, as configuration files are."""
-    rows.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*rows.columns)))).alias("value")).write.text(path)
-
-
-@query("a1_read_logs", "SELECT log_type, raw FROM @raw_logs WHERE log_type = 'vpn'")
+@query("a1_read_logs", "SELECT log_type, raw FROM @raw_logs")
 def _(view):
-    lines = view("raw_logs").where(F.col("log_type") == "vpn")
+    lines = view("raw_logs")
     path = _folder(lines)
-    lines.select("raw").write.text(path)
-    return readers.read_raw_logs(lines.sparkSession, path, "vpn")
+    lines.select("log_type", "raw").write.partitionBy("log_type").text(path)
+    kinds = sorted(r.log_type for r in lines.select("log_type").distinct().collect())       # as many as there are formats
+    return reduce(DataFrame.unionByName, [readers.read_raw_logs(lines.sparkSession, f"{path}/log_type={kind}", kind) for kind in kinds])
 
 
 @query("a2_rule_file", """SELECT CAST(row_id + 1 AS INTEGER) AS rule_id, 'rule ' || row_id AS name, CAST(row_id % 7 AS INTEGER) AS priority, 'DENY' AS action, 'TCP' AS protocol,
@@ -53,9 +51,7 @@ def _(view):
         F.concat(F.lit("R"), "row_id").alias("id"), F.lit("threshold").alias("type"), F.create_map(F.lit("ip"), "ip").alias("condition"),
         F.lit("src_ip").alias("group_by"), (F.col("row_id") % 9 + 1).alias("threshold"), F.lit(60).alias("time_window_seconds"))
     path = _folder(rules)
-    # a map cannot be sorted by, so each rule is written in the order of its number
-    rules.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("id", F.to_json(F.struct(*rules.columns)).alias("r")))),
-                                    lambda x: F.from_json(x["r"], readers.DETECTION_RULE))).alias("value")).write.text(path)
+    writers.write_list(rules, path, ["id"])
     read = readers.read_detection_rules(rules.sparkSession, path)
     return read.select("id", F.explode("condition").alias("field", "value"), "threshold", "time_window_seconds")
 
@@ -66,7 +62,7 @@ def _(view):
         F.concat(F.lit("CVE-"), "service_id").alias("cve_id"), "service",
         F.array("version").alias("vulnerable_versions"), F.round(F.col("service_id") % 100 / 10, 1).alias("cvss_score"))
     path = _folder(listed)
-    _document(listed, path)
+    writers.write_list(listed, path, ["cve_id"])
     return readers.read_cve_db(listed.sparkSession, path).select(
         "cve_id", "service", F.col("vulnerable_versions")[0].alias("first_version"), "cvss_score")
 
@@ -76,7 +72,7 @@ def _(view):
     listed = view("networks").select(F.col("row_id").cast("int").alias("id"), F.lit("alert").alias("action"),
                                      F.lit("tcp").alias("protocol"), F.col("ip").alias("content"), F.col("cidr").alias("msg"))
     path = _folder(listed)
-    _document(listed, path)
+    writers.write_list(listed, path, ["id"])
     return readers.read_content_signatures(listed.sparkSession, path)
 
 
@@ -100,6 +96,30 @@ def _(view):
     return events.sparkSession.read.parquet(path).select("event_id", "us", "event_type", "src_ip")
 
 
+@query("a9_scan_report", """SELECT host AS target, 'scan' AS tool, '2026-01-01T00:00:00' AS generated_at, 'Network Scan Report' AS report_type, CAST(count(*) AS INTEGER) AS ports,
+ CAST(min(port) AS INTEGER) AS first_port FROM @services GROUP BY 1""")
+def _(view):
+    found = view("services").groupBy(F.col("host").alias("target")).agg(
+        F.collect_list(F.struct(F.col("port"), F.lit("open").alias("state"))).alias("open_ports"))
+    path = _folder(found)
+    writers.write_scan_json(found, path, "scan", "2026-01-01T00:00:00")
+    schema = ("report_metadata struct<tool: string, generated_at: string, report_type: string>, "
+              "scan_results struct<target: string, open_ports: array<struct<port: int, state: string>>>")
+    read = found.sparkSession.read.schema(schema).json(path)
+    return read.select("scan_results.target", "report_metadata.*", F.size("scan_results.open_ports").alias("ports"),
+                       F.array_min("scan_results.open_ports.port").alias("first_port"))
+
+
+@query("a11_rule_set", """SELECT document, count(*) AS rules, min(row_id) AS first_rule, 'DROP' AS default_policy FROM (
+ SELECT row_id, (row_number() OVER (ORDER BY row_id % 7, row_id) - 1) // 1000 AS document FROM @networks) d GROUP BY 1""")
+def _(view):
+    rules = view("networks").select((F.col("row_id") % 7).cast("int").alias("priority"), "row_id", F.col("row_id").alias("seq"))
+    path = _folder(rules)
+    writers.write_rules(rules, path, "DROP")
+    read = rules.sparkSession.read.schema("default_policy string, rules array<struct<row_id: bigint>>, document bigint").json(path)
+    return read.select("document", F.size("rules").cast("bigint").alias("rules"), F.array_min("rules.row_id").alias("first_rule"), "default_policy")
+
+
 @query("a12_saved_model", "SELECT count(*) AS packets, CAST(0 AS BIGINT) AS differing FROM @ids_packets")
 def _(view):
     features = fixed.PACKET_FEATURES

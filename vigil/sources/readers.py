@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from vigil.operators.skew import positions
+
 RULE = ("rule_id int, name string, priority int, action string, protocol string, src_ip string, dst_ip string, "
         "src_port int, dst_port int, direction string, tcp_flags array<string>, zone_src string, zone_dst string, "
         "log boolean, enabled boolean, description string")
@@ -32,8 +34,10 @@ def read_raw_logs(spark: SparkSession, path: str, log_type: str, stream: bool =
 
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file with its whole text; these are small configuration files."""
-    return spark.read.text(path, wholetext=True)
+    """One row per document with its text and place: a file that somebody wrote by hand, or the documents of a list."""
+    texts = spark.read.text(path, wholetext=True)
+    number = F.col("document").cast("bigint") if "document" in texts.columns else F.lit(0).cast("bigint")
+    return texts.select("value", number.alias("document"), F.col("_metadata.file_path").alias("file"))
 
 
 def _rows(text: Column, schema: str, member: str | None = None) -> Column:
@@ -62,28 +66,26 @@ def _struct(schema: str) -> str:
 def read_firewall_rules(spark: SparkSession, path: str) -> DataFrame:
     """Rules of a JSON file, a bare list or ``{default_policy, rules}``, with defaults filled in.
 
-    ``seq`` is the place in the file and ``default_policy`` the policy of the file (DENY).
+    ``seq`` is the place in the file, over all documents if the set is written in several, and ``default_policy`` the
+    policy of the document (DENY).  Rules without a number take the next free ones in that order.
     """
     text = F.col("value")
     policy = F.coalesce(F.upper(F.get_json_object(text, "$.default_policy")), F.lit("DENY"))
     rows = (_documents(spark, path)
-            .select(policy.alias("default_policy"), F.posexplode(_rows(text, RULE, "rules")).alias("_pos", "_r"))
-            .select("default_policy", F.col("_pos").alias("seq"), "_r.*"))
+            .select(policy.alias("default_policy"), "document", "file", F.posexplode(_rows(text, RULE, "rules")).alias("_pos", "_r"))
+            .select("default_policy", "document", "file", "_pos", "_r.*"))
     defaults = {"rule_id": 0, "name": "", "priority": 1000, "src_ip": "any", "dst_ip": "any", "src_port": 0,
                 "dst_port": 0, "zone_src": "", "zone_dst": "", "log": False, "enabled": True, "description": ""}
     rows = rows.withColumns({n: F.coalesce(F.col(n), F.lit(v)) for n, v in defaults.items()})
     upper = {"action": "DENY", "protocol": "ANY", "direction": "ANY"}
     rows = rows.withColumns({n: F.upper(F.coalesce(F.col(n), F.lit(v))) for n, v in upper.items()})
-    # rules without a number take the next free ones in file order
-    top = F.max("rule_id").over(_whole())
-    missing = F.sum(F.when(F.col("rule_id") == 0, 1).otherwise(0)).over(_whole().orderBy("seq"))
-    return (rows.withColumn("tcp_flags", F.coalesce("tcp_flags", F.array().cast("array<string>")))
-            .withColumn("rule_id", F.when(F.col("rule_id") == 0, (top + missing).cast("int")).otherwise(F.col("rule_id"))))
-
-
-def _whole():
-    from pyspark.sql import Window
-    return Window.partitionBy("default_policy")         # the rows of one rule file
+    rows = rows.withColumn("tcp_flags", F.coalesce("tcp_flags", F.array().cast("array<string>")))
+    rows = positions(rows, ["document", "file", "_pos"], "_at").withColumn("seq", (F.col("_at") - 1).cast("int"))
+    nameless = F.col("rule_id") == 0
+    top = rows.agg(F.max("rule_id")).first()[0] or 0
+    fresh = positions(rows.where(nameless), ["_at"], "_free").withColumn("rule_id", (F.col("_free") + top).cast("int")).drop("_free")
+    columns = ["default_policy", "seq", *[c for c in rows.columns if c not in ("default_policy", "seq", "document", "file", "_pos", "_at")]]
+    return rows.where(~nameless).select(columns).unionByName(fresh.select(columns))
 
 
 def read_detection_rules(spark: SparkSession, path: str) -> DataFrame:

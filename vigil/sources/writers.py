@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vigil.operators.firewall import log_lines
+from vigil.operators.skew import positions
 
+#: Rows of one JSON document of a list.
+DOCUMENT_ROWS = 1_000
 
 MAX_DAYS = 1_000
 
@@ -63,10 +68,21 @@ def write_decision_log(decided: DataFrame, path: str) -> None:
     log_lines(decided).select("line").write.mode("overwrite").text(path)
 
 
+def write_list(rows: DataFrame, path: str, order: list[str], record: Column | None = None, head: str = "[", tail: str = "]") -> None:
+    """A list of any length as JSON documents of at most ``DOCUMENT_ROWS`` rows, one file each, in the given order.
+
+    Rows are numbered by a range sort, so no task and no value ever holds more than one document.  ``record`` is the
+    JSON text of a row, by default of all its columns; ``head`` and ``tail`` go around the rows of each document.
+    """
+    record = F.to_json(F.struct(*rows.columns)) if record is None else record
+    placed = positions(rows.select(*order, record.alias("_record")), order, "_at")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("_at", "_record"))), lambda x: x["_record"])
+    documents = placed.groupBy(F.floor((F.col("_at") - 1) / DOCUMENT_ROWS).alias("document")).agg(
+        F.concat(F.lit(head), F.array_join(listed, ","), F.lit(tail)).alias("value"))
+    documents.write.mode("overwrite").partitionBy("document").text(path)
+
+
 def write_rules(rules: DataFrame, path: str, default_policy: str = "DENY") -> None:
-    """Rule set as one JSON document, in rule order; rule sets are small by nature."""
-    ordered = F.sort_array(F.collect_list(F.struct("priority", "seq", F.struct(
-        *[c for c in rules.columns if c not in ("seq", "default_policy")]).alias("r"))))
-    document = rules.agg(ordered.alias("_o")).select(F.to_json(F.struct(
-        F.lit(default_policy).alias("default_policy"), F.col("_o.r").alias("rules"))).alias("value"))
-    document.coalesce(1).write.mode("overwrite").text(path)
+    """Rule set as JSON documents in rule order, each with the policy and its share of the rules."""
+    record = F.to_json(F.struct(*[c for c in rules.columns if c not in ("seq", "default_policy")]))
+    write_list(rules, path, ["priority", "seq"], record, f'{{"default_policy": {json.dumps(default_policy)}, "rules": [', "]}")
