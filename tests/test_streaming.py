@@ -121,6 +121,16 @@ def test_baseline(spark, tmp_path):
     assert any(r["metric"] == "events_per_minute" and r["bucket"] == 36 * 60_000_000 for r in found)
 
 
+@pytest.mark.parametrize("files", [1, 7])
+def test_scored_minutes(spark, tmp_path, files):
+    """Every minute once, with the baseline of the batch operator, whatever the batches."""
+    df = minute_events(spark, 100)
+    out = twins.run_to_end(stream(spark, df, tmp_path, files=files), "event_time", lambda e: twins.scored_minutes_stream(e, 20))
+    want = baseline.score_baseline(baseline.long_metrics(baseline.minute_metrics(df)), window=20)
+    names = ("metric", "bucket", "value", "baseline_rows", "z_score", "is_anomaly", "severity")
+    assert rows(out, *names) == rows(want, *names) and out.count() == 500 and out.where("is_anomaly").count() > 3
+
+
 def test_incident_quiet_time(spark, tmp_path):
     data = [("scan", "1.1.1.1", 0), ("scan", "1.1.1.1", 60), ("scan", "2.2.2.2", 70), ("brute", "1.1.1.1", 80)]
     df = spark.createDataFrame(data, "attack_type string, src_ip string, s bigint").withColumn("event_time", F.timestamp_seconds("s")).coalesce(1)

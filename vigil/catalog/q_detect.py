@@ -241,8 +241,14 @@ def _(view):
 _METRICS = """SELECT us - us % {w} AS bucket, count(*) AS events_per_minute, count(*) FILTER (WHERE event_type IN ('failed_logon', 'successful_logon')) AS logins_per_minute,
  count(*) FILTER (WHERE action IN ('DENY', 'DROP', 'REJECT')) AS denies_per_minute, count(DISTINCT src_ip) FILTER (WHERE src_ip <> '') AS unique_src_ips,
  count(*) FILTER (WHERE status_code >= 500) AS error_rate FROM @events GROUP BY 1"""
-_LONG = "SELECT bucket, metric, CAST(value AS DOUBLE) AS value FROM (UNPIVOT (" + _METRICS.format(w=3_600_000_000) + \
-    ") ON events_per_minute, logins_per_minute, denies_per_minute, unique_src_ips, error_rate INTO NAME metric VALUE value) u"
+
+
+def long_sql(width):
+    return "SELECT bucket, metric, CAST(value AS DOUBLE) AS value FROM (UNPIVOT (" + _METRICS.format(w=width) + \
+        ") ON events_per_minute, logins_per_minute, denies_per_minute, unique_src_ips, error_rate INTO NAME metric VALUE value) u"
+
+
+_LONG = long_sql(3_600_000_000)
 
 
 @query("e15_minute_metrics", _METRICS.format(w=60_000_000))
@@ -254,7 +260,8 @@ def hourly(view):
     return B.long_metrics(B.minute_metrics(view("events"), 3600))
 
 
-_SCORED = f"""WITH s AS ({_LONG}), b AS (SELECT *, avg(value) OVER w AS m, coalesce(stddev_samp(value) OVER w, 0) AS sd, count(*) OVER w AS n FROM s
+def scored_sql(series):
+    return f"""WITH s AS ({series}), b AS (SELECT *, avg(value) OVER w AS m, coalesce(stddev_samp(value) OVER w, 0) AS sd, count(*) OVER w AS n FROM s
   WINDOW w AS (PARTITION BY metric ORDER BY bucket ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
  z AS (SELECT *, CASE WHEN n >= 10 AND sd > 0 THEN abs(value - m) / sd END AS raw FROM b)
  SELECT bucket, metric, value, round(m, 6) AS baseline_mean, round(sd, 6) AS baseline_std, n AS baseline_rows, coalesce(round(raw, 2), 0) AS z_score,
@@ -262,6 +269,9 @@ _SCORED = f"""WITH s AS ({_LONG}), b AS (SELECT *, avg(value) OVER w AS m, coale
   CASE WHEN coalesce(round(raw, 2), 0) > 3.5 THEN 'Critical' WHEN coalesce(round(raw, 2), 0) > 2.5 THEN 'High' ELSE 'Medium' END AS severity FROM z"""
 
 
+_SCORED = scored_sql(_LONG)
+
+
 @query("f14_rolling_baseline", _SCORED)
 def _(view):
     return B.score_baseline(hourly(view)).withColumns({"baseline_mean": F.round("baseline_mean", 6), "baseline_std": F.round("baseline_std", 6)})

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from vigil import fixed
-from vigil.catalog.q_detect import _METRICS, BRUTE, DENIED, SCAN, VPN, WEB, WEBBED, all_fires
+from vigil.catalog.q_detect import _METRICS, BRUTE, DENIED, SCAN, VPN, WEB, WEBBED, all_fires, long_sql, scored_sql
 from vigil.catalog.q_enrich import THREATS
 from vigil.catalog.q_firewall import signed, tracked
 from vigil.catalog.q_ot import STAGED
@@ -81,6 +81,12 @@ def _(view):
     return S.run_to_end(timed(view), "event_time", S.minute_metrics_stream)
 
 
+@query("g7_stream_baseline", scored_sql(long_sql(60_000_000)))
+def _(view):
+    scored = S.run_to_end(timed(view), "event_time", S.scored_minutes_stream)
+    return scored.withColumns({"baseline_mean": F.round("baseline_mean", 6), "baseline_std": F.round("baseline_std", 6)})
+
+
 @query("g8_stream_first_incidents", f"""SELECT attack_type, src_ip FROM (SELECT 'malicious_ip' AS attack_type, src_ip FROM @events WHERE src_ip IN (SELECT ip FROM (VALUES {THREATS}) t(ip, score, kind, country, region, isp, actor, a, b, c, d))
  UNION SELECT 'dns_tunnel', src_ip FROM @events WHERE event_type = 'dns_tunnel_suspect') u""")
 def _(view):

@@ -34,33 +34,40 @@ def long_metrics(metrics: DataFrame) -> DataFrame:
             .withColumn("value", F.col("value").cast("double")))
 
 
-def score_baseline(series: DataFrame, window: int = 60, sensitivity: float = 2.0, minimum: int = 10) -> DataFrame:
-    """Compare every value with the ``window`` values before it.
+def judged(series: DataFrame, sensitivity: float = 2.0, minimum: int = 10) -> DataFrame:
+    """Verdicts on rows that hold ``value``, ``baseline_mean``, ``baseline_std`` and ``baseline_rows``.
 
     Fewer than ``minimum`` earlier values are never anomalous.  Without spread any other value
     is, with z = 0.  ``z_score`` is rounded to 2 digits and the severity reads the rounded one.
     """
-    before = Window.partitionBy("metric").orderBy("bucket").rowsBetween(-window, -1)
-    mean, std, n = F.col("baseline_mean"), F.col("baseline_std"), F.col("_n")
-    flat = std == 0
+    mean, std = F.col("baseline_mean"), F.col("baseline_std")
+    flat, ready = std == 0, F.col("baseline_rows") >= minimum
     distance = F.when(~flat, F.abs(F.col("value") - mean) / std)
-    ready = n >= minimum
     z = F.when(ready & ~flat, F.round(distance, 2)).otherwise(F.lit(0.0))
     anomalous = ready & F.when(flat, F.col("value") != mean).otherwise(distance > sensitivity)
-    return (series.withColumns({"baseline_mean": F.avg("value").over(before),
-                                "baseline_std": F.coalesce(F.stddev_samp("value").over(before), F.lit(0.0)),
-                                "_n": F.count("value").over(before)})
-            .withColumns({"z_score": z, "is_anomaly": F.coalesce(anomalous, F.lit(False))})
+    return (series.withColumns({"z_score": z, "is_anomaly": F.coalesce(anomalous, F.lit(False))})
             .withColumn("severity", F.when(F.col("z_score") > 3.5, "Critical")
-                        .when(F.col("z_score") > 2.5, "High").otherwise("Medium"))
-            .withColumnRenamed("_n", "baseline_rows"))
+                        .when(F.col("z_score") > 2.5, "High").otherwise("Medium")))
 
 
-def anomalies(series: DataFrame, **options) -> DataFrame:
-    """Anomalous values only, with their description."""
+def score_baseline(series: DataFrame, window: int = 60, sensitivity: float = 2.0, minimum: int = 10) -> DataFrame:
+    """Compare every value with the ``window`` values before it; see :func:`judged`."""
+    before = Window.partitionBy("metric").orderBy("bucket").rowsBetween(-window, -1)
+    return judged(series.withColumns({"baseline_mean": F.avg("value").over(before),
+                                      "baseline_std": F.coalesce(F.stddev_samp("value").over(before), F.lit(0.0)),
+                                      "baseline_rows": F.count("value").over(before)}), sensitivity, minimum)
+
+
+def described(scored: DataFrame) -> DataFrame:
+    """Anomalous values of scored rows, with their description."""
     text = F.format_string("Anomaly detected in %s: %.1f (baseline: %.1f ± %.1f, Z=%s)", "metric", "value",
                            "baseline_mean", "baseline_std", F.col("z_score").cast("string"))
-    return score_baseline(series, **options).where("is_anomaly").withColumn("description", text)
+    return scored.where("is_anomaly").withColumn("description", text)
+
+
+def anomalies(series: DataFrame, **options) -> DataFrame:
+    """Anomalous values only, with their description."""
+    return described(score_baseline(series, **options))
 
 
 def baseline_status(series: DataFrame, window: int = 60) -> DataFrame:

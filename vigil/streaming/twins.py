@@ -452,23 +452,57 @@ def minute_metrics_stream(events: DataFrame, time: str = "event_time", delay: st
     return out.select(F.unix_micros(F.col("minute.start")).alias("bucket"), *baseline.METRICS)
 
 
+class Baseline(StatefulProcessor):
+    """The last values of one metric, which every new one is compared with before it joins them."""
+
+    columns = ["metric", "bucket", "value", "baseline_mean", "baseline_std", "baseline_rows"]
+
+    def __init__(self, window: int):
+        self.window = window
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", "values array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = deque(self.last.get()[0] if self.last.exists() else [], maxlen=self.window)
+        out = []
+        pdf = pd.concat(list(rows))
+        for bucket, value in sorted(zip(pdf["bucket"].tolist(), pdf["value"].tolist())):
+            mean, squares = 0.0, 0.0
+            for n, x in enumerate(last, 1):                      # as Spark updates its moments, row by row
+                step = x - mean
+                mean += step / n
+                squares += step * (step - step / n)
+            spread = (squares / (len(last) - 1)) ** 0.5 if len(last) > 1 else 0.0
+            out.append((key[0], bucket, value, sum(last) / len(last) if last else None, spread, len(last)))
+            last.append(value)
+        self.last.update((list(last),))
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def scored_minutes_stream(events: DataFrame, window: int = 60, time: str = "event_time", delay: str = "2 minutes", **options) -> DataFrame:
+    """Streaming twin of :func:`vigil.operators.baseline.score_baseline` over closed minutes.
+
+    Minutes go from the aggregation straight to the baseline of their metric, whose last ``window`` values are carried as
+    state from batch to batch; no table is read again, and a repeated batch starts from the state before it.
+    """
+    minutes = baseline.long_metrics(minute_metrics_stream(events, time, delay))
+    scored = minutes.groupBy("metric").transformWithStateInPandas(
+        Baseline(window), "metric string, bucket bigint, value double, baseline_mean double, baseline_std double, baseline_rows bigint", "Append", "None")
+    return baseline.judged(scored, **options)
+
+
 def baseline_stream(events: DataFrame, table: str, checkpoint: str, on_anomalies, window: int = 60, **options):
-    """Append closed minutes to a metrics table and score the new ones against the stored tail."""
-    def batch(minutes: DataFrame, batch_id: int) -> None:
-        if minutes.isEmpty():
-            return
-        spark = minutes.sparkSession
-        # a repeated batch overwrites its own part of the table
-        minutes.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
-        history = spark.read.parquet(table)
-        first = minutes.agg(F.min("bucket")).first()[0]
-        # the newest `window` minutes before the batch are all a score looks back on
-        before = history.where(F.col("bucket") < first).orderBy(F.desc("bucket")).limit(window)
-        rows = before.unionByName(history.where(F.col("bucket") >= first)).drop("batch")
-        scored = baseline.anomalies(baseline.long_metrics(rows), window=window, **options)
-        on_anomalies(scored.where(F.col("bucket") >= first))
-
-    return (minute_metrics_stream(events).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    """Append scored minutes to a table and hand over the anomalous ones; a repeated batch overwrites its own part."""
+    def batch(scored: DataFrame, batch_id: int) -> None:
+        path = f"{table}/batch={batch_id}"
+        scored.write.mode("overwrite").parquet(path)
+        on_anomalies(baseline.described(scored.sparkSession.read.schema(scored.schema).parquet(path)))
+
+    return (scored_minutes_stream(events, window, **options).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
