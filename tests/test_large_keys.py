@@ -247,7 +247,8 @@ def test_ot_verdicts_cut(spark, hot):
 
 SKEWED = ["e17_ot_counters", "f13_write_frequency", "h1_unauthorized_writers", "h2_readonly_writes", "h3_range_violations",
           "h4_accepted_history", "h5_rapid_changes", "h6_frequent_writes", "h8_shutdown_latch", "h8_trip_counts", "h10_change_log",
-          "h12_event_list", "h13_alert_records", "j5_command_verdicts", "j8_unified_alerts"]
+          "h12_event_list", "h13_alert_records", "j5_command_verdicts", "j8_unified_alerts",
+          "d20_suspicious_vectors", "f8_multi_vector", "f14_rolling_baseline", "f15_packet_baseline", "j3_siem_incidents"]
 
 
 @pytest.mark.parametrize("limit", ["200", "2000"])
@@ -276,3 +277,24 @@ def test_repeated_ids_keep_their_rows(spark, hot):
 def test_positions_count_all_rows(spark):
     df = spark.createDataFrame([(i * 7 % 101,) for i in range(101)], "v int")
     assert [tuple(r) for r in skew.positions(df, ["v"]).orderBy("v").collect()] == [(v, v + 1) for v in range(101)]
+
+
+def test_baselines_of_long_series(spark):
+    """Two measures over many seconds, cut into pieces shorter than the window, against one task per measure."""
+    from vigil.operators import baseline
+    rng = random.Random(6)
+    rows = [("m" if rng.random() < 0.7 else "n", k, float(rng.choice([1, 1, 2, 3, 50]))) for k in range(900)]
+    series = spark.createDataFrame(rows, "metric string, bucket bigint, value double")
+    packets = spark.createDataFrame([("s", k, *[float(rng.randrange(9)) for _ in baseline.PACKET_METRICS]) for k in range(700)],
+                                    "sensor string, bucket bigint, " + ", ".join(f"{m} double" for m in baseline.PACKET_METRICS))
+
+    def read():
+        a = baseline.score_baseline(series, window=60).select("metric", "bucket", "baseline_rows", "z_score", "is_anomaly", F.round("baseline_mean", 9))
+        b = baseline.score_packet_metrics(packets).select("sensor", "metric", "bucket", F.round("baseline_mean", 9), F.round("z_score", 6), "is_anomaly")
+        return sorted(map(tuple, a.collect())), sorted(map(tuple, b.collect()))
+    whole = read()
+    spark.conf.set("spark.vigil.rowsPerTask", "45")
+    try:
+        assert read() == whole
+    finally:
+        spark.conf.unset("spark.vigil.rowsPerTask")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigil import fixed
+from vigil.operators.skew import hot_keys, ordered_pieces, running, with_carry
+from vigil.session import durable
 
 METRICS = ["events_per_minute", "logins_per_minute", "denies_per_minute", "unique_src_ips", "error_rate"]
 
@@ -50,12 +52,26 @@ def judged(series: DataFrame, sensitivity: float = 2.0, minimum: int = 10) -> Da
                         .when(F.col("z_score") > 2.5, "High").otherwise("Medium")))
 
 
+def look_back(series: DataFrame, key: str, rows: int, columns, hot: dict) -> DataFrame:
+    """``columns(rows, window)`` per key in the order of ``bucket``, for expressions that look back on at most ``rows`` rows.
+
+    A series in ``hot`` is cut into range pieces, and each gets the ``rows`` rows before it.
+    """
+    if not hot:
+        return columns(series, Window.partitionBy(key).orderBy("bucket"))
+    pieces = with_carry(ordered_pieces(series, key, ["bucket"], hot), key, ["bucket"], rows)
+    return columns(pieces, Window.partitionBy(key, "piece").orderBy("bucket")).where(~F.col("carried")).drop("carried", "piece")
+
+
 def score_baseline(series: DataFrame, window: int = 60, sensitivity: float = 2.0, minimum: int = 10) -> DataFrame:
     """Compare every value with the ``window`` values before it; see :func:`judged`."""
-    before = Window.partitionBy("metric").orderBy("bucket").rowsBetween(-window, -1)
-    return judged(series.withColumns({"baseline_mean": F.avg("value").over(before),
-                                      "baseline_std": F.coalesce(F.stddev_samp("value").over(before), F.lit(0.0)),
-                                      "baseline_rows": F.count("value").over(before)}), sensitivity, minimum)
+    def compared(rows, order):
+        before = order.rowsBetween(-window, -1)
+        return rows.withColumns({"baseline_mean": F.avg("value").over(before),
+                                 "baseline_std": F.coalesce(F.stddev_samp("value").over(before), F.lit(0.0)),
+                                 "baseline_rows": F.count("value").over(before)})
+    series = durable(series)
+    return judged(look_back(series, "metric", window, compared, hot_keys(series, "metric")), sensitivity, minimum)
 
 
 def described(scored: DataFrame) -> DataFrame:
@@ -111,21 +127,24 @@ def score_packet_metrics(metrics: DataFrame, history: int = 200, refresh: int =
     The baseline is mean and population spread of up to ``history`` samples, taken at the last
     refresh before the sample; it starts as (0, 1), and a spread of 0 counts as 1.
     """
-    series = metrics.unpivot(["sensor", "bucket"], PACKET_METRICS, "metric", "value")
-    key = Window.partitionBy("sensor", "metric").orderBy("bucket")
-    recent = key.rowsBetween(-(history - 1), 0)
-    earlier = key.rowsBetween(Window.unboundedPreceding, -1)
-    spread = F.stddev_pop("value").over(recent)
-    at_refresh = F.when(F.col("_k") % refresh == 0,
-                        F.struct(F.col("_mean").alias("mean"), F.col("_std").alias("std")))
-    return (series.withColumns({"_k": F.row_number().over(key), "_mean": F.avg("value").over(recent),
-                                "_std": F.when(spread == 0, 1.0).otherwise(spread)})
-            .withColumn("_base", F.last(at_refresh, ignorenulls=True).over(earlier))
+    series = durable(metrics.unpivot(["sensor", "bucket"], PACKET_METRICS, "metric", "value").withColumn("_key", F.concat_ws("|", "sensor", "metric")))
+    hot = hot_keys(series, "_key")
+    numbered = running(series, "_key", ["bucket"], F.sum, {"_k": F.lit(1)}) if hot else \
+        series.withColumn("_k", F.row_number().over(Window.partitionBy("_key").orderBy("bucket")))
+
+    def compared(rows, order):
+        recent = order.rowsBetween(-(history - 1), 0)
+        spread = F.stddev_pop("value").over(recent)
+        at_refresh = F.when(F.col("_k") % refresh == 0, F.struct(F.col("_mean").alias("mean"), F.col("_std").alias("std")))
+        return (rows.withColumns({"_mean": F.avg("value").over(recent), "_std": F.when(spread == 0, 1.0).otherwise(spread)})
+                .withColumn("_base", F.last(at_refresh, ignorenulls=True).over(order.rowsBetween(-refresh, -1))))
+    # the refresh before a sample lies at most ``refresh`` rows back, and its samples ``history`` rows before that
+    return (look_back(numbered, "_key", history + refresh, compared, hot)
             .withColumns({"baseline_mean": F.coalesce("_base.mean", F.lit(0.0)),
                           "baseline_std": F.coalesce("_base.std", F.lit(1.0))})
             .withColumn("z_score", F.abs((F.col("value") - F.col("baseline_mean")) / F.col("baseline_std")))
             .withColumn("is_anomaly", F.col("z_score") > threshold)
-            .drop("_k", "_mean", "_std", "_base"))
+            .drop("_k", "_mean", "_std", "_base", "_key"))
 
 
 def packet_baseline_status(metrics: DataFrame, history: int = 200) -> DataFrame:

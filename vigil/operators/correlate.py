@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from vigil import fixed, tables
 from vigil.operators.enrich import ip_reputation, with_mitre
+from vigil.operators.skew import lag_columns, running
 from vigil.operators.thresholds import SECOND, first_fire
+from vigil.session import durable
 
 INCIDENT = ["attack_type", "severity", "src_ip", "target", "source", "country", "us", "event_id",
             "hits", "description"]
@@ -178,16 +180,17 @@ def multi_vector(events: DataFrame, needed: int = 3, layers=None) -> DataFrame:
     layers = layers or LAYERS
     head, tail = layer_rows(events, layers)
     columns = ["layer", "src_ip", "us", "event_id"]
-    kept = head.select(*columns).unionByName(tail.select(*columns)).distinct()
-    order = Window.partitionBy("layer", "src_ip").orderBy("us", "event_id")
-    since = _by_layer({n: F.lag("us", k - 1).over(order) if k > 1 else F.col("us") for n, k in VECTOR_ROWS.items()})
+    kept = durable(head.select(*columns).unionByName(tail.select(*columns)).distinct().withColumn("_key", F.concat_ws("|", "layer", "src_ip")))
+    back = lag_columns(kept, "_key", ["us", "event_id"], {f"_back{k}": ("us", k - 1) for k in set(VECTOR_ROWS.values()) if k > 1})
+    since = _by_layer({n: F.col(f"_back{k}") if k > 1 else F.col("us") for n, k in VECTOR_ROWS.items()})
     width = _by_layer({n: int(w * SECOND) for n, (_, w) in layers.items()})
-    spans = (kept.withColumn("_since", since).where(F.col("us") - F.col("_since") <= width)
-             .withColumn("_until", F.col("_since") + width))
-    upto = Window.partitionBy("src_ip").orderBy("us").rangeBetween(Window.unboundedPreceding, 0)
-    until = lambda name: F.last(F.when(F.col("layer") == name, F.col("_until")), ignorenulls=True).over(upto)
-    active = sum((F.coalesce((until(name) >= F.col("us")).cast("int"), F.lit(0)) for name in layers), F.lit(0))
-    hits = spans.withColumn("vectors", active).where(F.col("vectors") >= needed)
+    spans = (back.withColumn("_since", since).where(F.col("us") - F.col("_since") <= width)
+             .select(*columns, (F.col("_since") + width).alias("_until")))
+    # spans of a layer end in the order in which they start, so the last end so far is the largest
+    ends = running(spans, "src_ip", ["us", "event_id", "layer"], F.max, {f"_{n}": F.when(F.col("layer") == n, F.col("_until")) for n in layers})
+    moments = ends.groupBy("src_ip", "us").agg(F.min("event_id").alias("event_id"), *[F.max(f"_{n}").alias(f"_{n}") for n in layers])
+    active = sum((F.coalesce((F.col(f"_{n}") >= F.col("us")).cast("int"), F.lit(0)) for n in layers), F.lit(0))
+    hits = moments.withColumn("vectors", active).where(F.col("vectors") >= needed)
     return (hits.groupBy("src_ip").agg(F.min_by(F.struct("us", "event_id", "vectors"),
                                                 F.struct("us", "event_id")).alias("_f"))
             .select("src_ip", "_f.*"))
