@@ -1,5 +1,7 @@
 """Streaming twins, run over everything there is; most share the oracle of their batch operator."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vigil import fixed
@@ -11,8 +13,11 @@ from vigil.catalog.q_ids import RATE
 from vigil.catalog.registry import query
 from vigil.operators import correlate
 from vigil.operators import ids as I
+from vigil.operators import ml
 from vigil.operators import ot as O
 from vigil.operators.rules import match_signatures
+from vigil.session import checkpoint_dir
+from vigil.streaming import refit
 from vigil.streaming import twins as S
 
 
@@ -110,6 +115,18 @@ def _(view):
     return S.run_available(S.rate_of_change_stream(view("stream:commands"))).withColumn("change_percent", F.round("change_percent", 6))
 
 
+# all rows come in one batch: nothing scores it, and the newest thousand rows make the first model
+@query("g12_refit", "SELECT CAST(1 AS INTEGER) AS version, CAST(least(1000, count(*)) AS BIGINT) AS fitted_rows, count(*) AS scored_without FROM @ids_packets")
+def _(view):
+    rows = view("stream:ids_packets").withColumn("event_time", F.timestamp_micros("us"))
+    features = ml.packet_features(rows)
+    folder = f"{checkpoint_dir(features.sparkSession)}/refit-{uuid.uuid4().hex}"
+    refit.scored_and_refitted(features, fixed.PACKET_FEATURES, "packet_id", "packet_id", folder).awaitTermination()
+    scored = features.sparkSession.read.parquet(f"{folder}/scored").where("model_version = 0 AND NOT is_anomaly")
+    return refit.versions(features.sparkSession, f"{folder}/models").select("version", F.col("rows").alias("fitted_rows")).join(
+        scored.agg(F.count(F.lit(1)).alias("scored_without")), F.lit(True))
+
+
 @query("j1_stream_verdicts")
 def _(view):
     return S.run_available(S.verdict_stream(view("stream:ids_packets")))
