@@ -205,21 +205,20 @@ def connected(rows: DataFrame, whole: Callable[[DataFrame], DataFrame], least: t
     """(node, root) of all nodes with a partner: who is linked with whom over pairs that reach ``least``.
 
     ``rows`` holds (node, n, prefix, ranges), one row per distinct set; ``whole`` gives (node, keys) for a table of
-    nodes.  Prefix members that one set alone has go first, found by two numbers a member.  Every node is then
-    compared with the smallest and the largest node at each member it shares, which joins most of a group
-    of similar sets without its pairs; in the end all pairs of nodes that are still apart and meet are compared, so
-    that no link is lost.
+    nodes.  Prefix members that one set alone has go first.  Every node is then compared with the smallest and the
+    largest node at each member it shares, which joins most of a group of similar sets without its pairs; in the end
+    all pairs of nodes that are still apart and meet are compared, so that no link is lost.  Tables that grow with
+    the documents are joined by shuffle at every size.
     """
-    keys = rows.select("node", F.explode("prefix").alias("key"))
-    met = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") < F.col("high"))
-    place = (F.array_position("prefix", F.col("key")) - 1).cast("int").alias("place")
-    shared = stored(keys.join(met.select("key").hint("merge"), "key", "left_semi").join(rows.hint("merge"), "node").select("key", "node", "n", place))
-
+    # one shuffle by key serves the ends of each key and the rows that meet them; a set has one row per key
     me, end = F.struct("node", "n", "place"), F.col("end")
-    ends = shared.groupBy("key").agg(F.min(me).alias("low"), F.max(me).alias("high"))
-    close = stored(shared.join(ends, "key").select("node", "n", "place", F.explode(F.array("low", "high")).alias("end"))
-             .where((F.col("node") != end["node"]) & _possible(F.col("n"), F.col("place"), end["n"], end["place"], least))
-             .select(F.least("node", end["node"]).alias("a"), F.greatest("node", end["node"]).alias("b")).distinct())
+    keys = rows.select("node", "n", F.posexplode("prefix").alias("place", "key")).repartition("key")
+    ends = keys.groupBy("key").agg(F.min(me).alias("low"), F.max(me).alias("high")).where(F.col("low.node") < F.col("high.node"))
+    met = stored(keys.join(ends.hint("merge"), "key"))
+    close = stored(met.select("node", "n", "place", F.explode(F.array("low", "high")).alias("end"))
+                   .where((F.col("node") != end["node"]) & _possible(F.col("n"), F.col("place"), end["n"], end["place"], least))
+                   .select(F.least("node", end["node"]).alias("a"), F.greatest("node", end["node"]).alias("b")).distinct())
+    shared = met.drop("low", "high")
     linked = stored(_similar(close, rows, whole, least))
 
     placed = shared.join(components(linked), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
