@@ -26,6 +26,30 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that end with the block: ``with Scratch(spark) as scratch: ... scratch.stored(df)``.
+
+    What leaves the block must not read them any more, so it is stored by :func:`stored` before.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        path = scratch(self.spark)
+        self.paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *error) -> None:
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in map(hadoop.Path, self.paths):
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

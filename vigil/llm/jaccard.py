@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import SPACES, stored, text_of
+from vigil.llm.common import SPACES, Scratch, stored, text_of
 from vigil.llm.simhash import components, keep_first
 
 SHINGLE = 3
@@ -184,7 +184,7 @@ def _possible(n: Column, place: Column, m: Column, at: Column, least: tuple[int,
     return reached(F.least(n - place, m - at), n, m, least)
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, whole: Callable[[DataFrame], DataFrame], least: tuple[int, int]) -> DataFrame:
+def _similar(pairs: DataFrame, rows: DataFrame, whole: Callable[[DataFrame], DataFrame], least: tuple[int, int], stored) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) whose whole sets have the similarity.
 
     Suffix filter first: sets cannot share more than the lesser counts of all ranges added up.  Sets are made for
@@ -201,14 +201,15 @@ def _similar(pairs: DataFrame, rows: DataFrame, whole: Callable[[DataFrame], Dat
     return met.where(reached(F.size(F.array_intersect("x", "y")), F.col("n_a"), F.col("n_b"), least)).select("a", "b")
 
 
-def connected(rows: DataFrame, whole: Callable[[DataFrame], DataFrame], least: tuple[int, int]) -> DataFrame:
+def connected(rows: DataFrame, whole: Callable[[DataFrame], DataFrame], least: tuple[int, int], stored) -> DataFrame:
     """(node, root) of all nodes with a partner: who is linked with whom over pairs that reach ``least``.
 
     ``rows`` holds (node, n, prefix, ranges), one row per distinct set; ``whole`` gives (node, keys) for a table of
     nodes.  Prefix members that one set alone has go first, found by two numbers a member.  Every node is then
     compared with the smallest and the largest node at each member it shares, which joins most of a group
     of similar sets without its pairs; in the end all pairs of nodes that are still apart and meet are compared, so
-    that no link is lost.
+    that no link is lost.  Tables that grow with the documents are joined by shuffle at every size, and what
+    leaves does not read what ``stored`` has written.
     """
     keys = rows.select("node", F.explode("prefix").alias("key"))
     met = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") < F.col("high"))
@@ -220,7 +221,7 @@ def connected(rows: DataFrame, whole: Callable[[DataFrame], DataFrame], least: t
     close = stored(shared.join(ends, "key").select("node", "n", "place", F.explode(F.array("low", "high")).alias("end"))
              .where((F.col("node") != end["node"]) & _possible(F.col("n"), F.col("place"), end["n"], end["place"], least))
              .select(F.least("node", end["node"]).alias("a"), F.greatest("node", end["node"]).alias("b")).distinct())
-    linked = stored(_similar(close, rows, whole, least))
+    linked = stored(_similar(close, rows, whole, least, stored))
 
     placed = shared.join(components(linked), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where(F.col("low") < F.col("high"))
@@ -230,7 +231,7 @@ def connected(rows: DataFrame, whole: Callable[[DataFrame], DataFrame], least: t
         F.col("n"), F.col("place"), F.col("m"), F.col("at"), least)).select(F.col("node").alias("a"), "b").distinct())
     done = close.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.*")
     rest = rest.join(done, ["a", "b"], "left_anti")
-    return components(linked.unionByName(_similar(rest, rows, whole, least)))
+    return components(linked.unionByName(_similar(rest, rows, whole, least, stored)))
 
 
 def classes(docs: DataFrame, prints: DataFrame, make: Callable[[DataFrame], DataFrame], least: tuple[int, int]) -> DataFrame:
@@ -241,14 +242,15 @@ def classes(docs: DataFrame, prints: DataFrame, make: Callable[[DataFrame], Data
     nodes = stored(prints.groupBy("digest").agg(F.min(F.struct("row", "doc_id")).alias("r"), F.min("doc_id").alias("first_id"))
                    .select("digest", "first_id", F.col("r.row").alias("node"), F.col("r.doc_id").alias("shown_by")))
 
-    def whole(asked):
-        wanted = stored(nodes.join(asked, "node", "left_semi").select("node", "digest", F.col("shown_by").alias("_shown")))
-        rows = docs.select("doc_id", "text").join(wanted.select("_shown").distinct(), F.col("doc_id").eqNullSafe(F.col("_shown")), "left_semi")
-        found = make(rows.select("text")).join(wanted.select("digest", "node"), "digest")
-        return found.groupBy("node").agg(F.first("keys").alias("keys"))       # rows repeated under one doc_id
-    rows = stored(prints.join(nodes.select(F.col("node").alias("row")).hint("merge"), "row", "left_semi")
-                  .select(F.col("row").alias("node"), "n", "prefix", "ranges"))
-    tree = connected(rows, whole, least)
+    with Scratch(docs.sparkSession) as scratch:
+        def whole(asked):
+            wanted = scratch.stored(nodes.join(asked, "node", "left_semi").select("node", "digest", F.col("shown_by").alias("_shown")))
+            rows = docs.select("doc_id", "text").join(wanted.select("_shown").distinct(), F.col("doc_id").eqNullSafe(F.col("_shown")), "left_semi")
+            found = make(rows.select("text")).join(wanted.select("digest", "node"), "digest")
+            return found.groupBy("node").agg(F.first("keys").alias("keys"))       # rows repeated under one doc_id
+        rows = scratch.stored(prints.join(nodes.select(F.col("node").alias("row")).hint("merge"), "row", "left_semi")
+                              .select(F.col("row").alias("node"), "n", "prefix", "ranges"))
+        tree = connected(rows, whole, least, scratch.stored)
     rooted = nodes.join(tree, "node", "left").select("digest", "first_id", F.coalesce("root", "node").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("digest", "component_id")
     return prints.select("doc_id", "digest", "n").join(named.hint("merge"), "digest").select("doc_id", "n", "component_id")
