@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import Window, functions as F
@@ -195,3 +196,13 @@ def test_blocks_end(spark, tmp_path):
     assert query.awaitTermination(240) is not False
     assert spark.table("blocks_end").where("blocked").count() == 199
     assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] < 40
+
+
+def test_trailing_counts_of_many_sparse_keys(spark, tmp_path):
+    """Keys with one or two rows are answered many at a time; a call and a state of its own for each took minutes."""
+    df = spark.range(12_000).select(F.concat(F.lit("s"), F.floor(F.col("id") / 2).cast("string")).alias("src_ip"), (F.col("id") * 100_000_000).alias("us"),
+                                    F.col("id").alias("event_id")).withColumn("event_time", F.timestamp_micros("us"))
+    started = time.monotonic()
+    found = twins.run_to_end(stream(spark, df, tmp_path, files=1), "event_time", lambda e: twins.trailing_counts(e, ("src_ip",)))
+    assert rows(found, "row_id", "n") == [(k, 1 + k % 2) for k in range(12_000)]
+    assert time.monotonic() - started < 45

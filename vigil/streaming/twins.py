@@ -12,7 +12,10 @@ import uuid
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -201,58 +204,45 @@ def distinct_threshold_stream(events: DataFrame, key: str, item: str, n: int, se
         DistinctThreshold(n, int(seconds * SECOND)), "key string, us bigint, row_id bigint, distinct_values int", "Append", "EventTime")
 
 
-class Trailing(StatefulProcessor):
-    """Rows of one key and time cell, kept until the watermark has passed the cell and then answered in order."""
+def _answered(window: int):
+    """For batches of lists of (us, row_id): how many rows of the list stand in the ``window`` up to each row of the second half.
 
-    def __init__(self, keys: int, window_us: int):
-        self.keys, self.window = keys, window_us
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.rows = handle.getListState("rows", "us bigint, row_id bigint, own boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.rows.exists()
-        pdf = pd.concat(list(rows))
-        self.rows.appendList(list(zip(pdf["us"].tolist(), pdf["row_id"].tolist(), pdf["own"].tolist())))
-        if not known:
-            self.handle.registerTimer((key[self.keys] + 1) * self.window // 1000)
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        kept, out = deque(), []
-        for us, row_id, own in sorted(self.rows.get()):
-            kept.append(us)
-            while us - kept[0] > self.window:
-                kept.popleft()
-            if own:
-                out.append((*key[:self.keys], us, row_id, len(kept)))
-        self.rows.clear()
-        names = [*[f"k{n}" for n in range(self.keys)], "us", "row_id", "n"]
-        yield pd.DataFrame(out, columns=names)
-
-    def close(self) -> None:
-        pass
+    All lists of a batch are answered together, as one ascending row of numbers in which no list reaches into another.
+    """
+    def run(batches):
+        for batch in batches:
+            names = [*batch.schema.names[:-2], "us", "row_id", "n"]
+            lists = batch.column(batch.num_columns - 1)
+            of, items = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists)
+            us, row_id = (pc.struct_field(items, k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            start = batch.column(batch.num_columns - 2).to_numpy()[of]
+            order = np.lexsort((row_id, us, of))
+            place = (of * (4 * window) + us - start)[order]
+            n = np.arange(len(place)) - np.searchsorted(place, place - window) + 1
+            own = (us - start)[order] >= window
+            at = order[own]
+            keys = batch.select(batch.schema.names[:-2]).take(pa.array(of[at]))
+            yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(us[at]), pa.array(row_id[at]), pa.array(n[own], pa.int32())], names=names)
+    return run
 
 
 def trailing_counts(events: DataFrame, keys=("src_ip", "action"), seconds: int = 300, time: str = "event_time", delay: str = "5 minutes",
                     row_id: str = "event_id") -> DataFrame:
     """(keys, us, row_id, n): at every row, the rows of its key in the ``seconds`` up to it, the row itself included.
 
-    Time is cut into cells of that length, and a row goes to its own cell and to the next one, which needs it to look
-    back.  State is kept by key and cell, so that it ends with its cell and a busy source is as many states as it
+    Time is cut into cells of that length, and a sliding window of two cells holds what the rows of the second one look
+    back on.  State is the rows by key and window, so that it ends with its cell and a busy source is as many states as it
     has cells.  A cell is answered when the watermark passes it, whatever batches its rows came in and in
-    whatever order; later rows are dropped by the watermark and counted in the progress of the query.
+    whatever order; rows of a cell that was answered are dropped and counted in the progress of the query.  Closed lists are
+    answered many at a time, so that a key with few rows costs no call of its own.
     """
     window = seconds * SECOND
     rows = before_end(events.withWatermark(time, delay), time)
-    cell = F.floor(F.col("us") / window).cast("bigint")
-    rows = rows.select(*[F.col(k).cast("string").alias(f"k{n}") for n, k in enumerate(keys)], "us", F.col(row_id).cast("bigint").alias("row_id"),
-                       time, F.explode(F.array(F.struct(cell.alias("cell"), F.lit(True).alias("own")),
-                                               F.struct((cell + 1).alias("cell"), F.lit(False).alias("own")))).alias("_c"))
     group = [f"k{n}" for n in range(len(keys))]
-    found = rows.select(*group, "us", "row_id", time, "_c.cell", "_c.own").groupBy(*group, "cell").transformWithStateInPandas(
-        Trailing(len(keys), window), ", ".join([*[f"{g} string" for g in group], "us bigint, row_id bigint, n int"]), "Append", "EventTime")
+    rows = rows.select(*[F.col(k).cast("string").alias(g) for g, k in zip(group, keys)], time, F.struct("us", F.col(row_id).cast("bigint").alias("row_id")).alias("_row"))
+    lists = rows.groupBy(*group, F.window(time, f"{2 * seconds} seconds", f"{seconds} seconds")).agg(F.collect_list("_row").alias("rows"))
+    found = lists.select(*group, F.unix_micros("window.start").alias("start"), "rows").mapInArrow(
+        _answered(window), ", ".join([*[f"{g} string" for g in group], "us bigint, row_id bigint, n int"]))
     return found.select(*[F.col(g).alias(k) for g, k in zip(group, keys)], "us", "row_id", "n")
 
 
