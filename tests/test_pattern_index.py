@@ -80,3 +80,18 @@ def test_registered(spark, monkeypatch, limit):
     monkeypatch.setattr(rules, "MAX_PATTERNS", limit)
     ok, message, _, _ = compare("d9_many_signatures", spark, oracle(SF), SF)
     assert ok, message
+
+
+def test_copies_of_patterns_are_tried_once(spark):
+    """A thousand patterns that ask for the same are one, with the rank of the first."""
+    tried = []
+    frame = spark.createDataFrame([(1, "tcp", 80, "1=1"), (2, "tcp", 80, "1=1"), (3, "udp", 80, None)], PACKET)
+    table = [(k, k, f"s{k}", "ANY", [], "[0-9]=[0-9]", "high", "alert", "c", "") for k in range(1000, 0, -1)]
+    holds = lambda payload: F.lit(True)
+
+    def literal(row):
+        tried.append(row["rank"])
+        return F.coalesce(F.col("payload"), F.lit("")).rlike(row["pattern"])
+    found, ranked = patternindex.first_hits(frame, spark.createDataFrame(table, SIGNS), "pattern", ["seq"], True, holds, literal)
+    assert tried == [1] and [r.sid for r in ranked.collect()] == [1]
+    assert sorted((r.packet_id, r._best) for r in found.collect()) == [(1, 1), (2, 1), (3, None)]

@@ -8,6 +8,7 @@ only these are tried on it.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -113,27 +114,35 @@ def first_hits(packets: DataFrame, patterns: DataFrame, text: str, order: list[s
 
     ``holds()`` tests a row with the packet's columns and the pattern's, prefixed ``r_``; ``literal(row)`` is the same for one
     pattern as an expression, which is used for patterns that require no letters: those are tried on all packets
-    whatever the plan.  Packets are written once so that each has a number.
+    whatever the plan.  Of patterns that ask for the same the first alone is tried, and packets that a pattern cannot tell
+    apart are one row until the end, so that neither copies of patterns nor of payloads multiply.
     """
-    ranked = durable(positions(patterns, order, "rank"))
+    ranked = positions(patterns, order, "rank")
+    asked = [c for c in ("protocol", "dst_port", text) if c in ranked.columns]
+    rest = [c for c in ranked.columns if c not in asked]
+    ranked = durable(ranked.groupBy(*asked).agg(F.min_by(F.struct(*rest), "rank").alias("_first")).select(
+        *[F.col(c if c in asked else f"_first.{c}").alias(c) for c in ranked.columns]))
     anchors = _anchors(ranked, text, plain=not fold)
-    packets = durable(packets.withColumn("_row", F.monotonically_increasing_id()))
+    known = [c for c in ("protocol", "dst_port") if c in packets.columns]
+    kinds = durable(packets.select(*known, "payload").distinct().withColumn("_row", F.monotonically_increasing_id()))
     payload = F.coalesce(F.col("payload"), F.lit(""))
     sizes = sorted(r[0] for r in anchors.where("gram IS NOT NULL").select(F.length("gram")).distinct().collect())
     described = ranked.select("rank", *[F.col(c).alias(f"r_{c}") for c in ranked.columns if c != "rank"])
     best = packets.sparkSession.createDataFrame([], "_row bigint, _best bigint")
     if sizes:
         # what few bytes say about a packet goes with its letters, its payload only with the patterns that it meets
-        known = [c for c in ("protocol", "dst_port") if c in packets.columns]
         index = bounded_broadcast(durable(anchors.where("gram IS NOT NULL").join(described.drop(f"r_{text}"), "rank")))
-        met = packets.select("_row", *known, F.explode(_payload_grams(F.lower(payload) if fold else payload, sizes)).alias("gram")).join(index, "gram")
+        met = kinds.select("_row", *known, F.explode(_payload_grams(F.lower(payload) if fold else payload, sizes)).alias("gram")).join(index, "gram")
         met = met.where(holds(payload=False)).select("_row", "rank").distinct()
-        tried = met.join(described.select("rank", f"r_{text}"), "rank").join(packets.select("_row", payload.alias("payload")), "_row")
+        tried = met.join(described.select("rank", f"r_{text}"), "rank").join(kinds.select("_row", payload.alias("payload")), "_row")
         best = tried.where(holds(payload=True)).groupBy("_row").agg(F.min("rank").alias("_best"))
     rest = ranked.join(anchors.where("gram IS NULL").select("rank"), "rank", "left_semi").orderBy("rank").collect()
-    found = packets.join(best, "_row", "left").drop("_row")
+    judged = kinds.join(best, "_row", "left")
     if rest:
         from vigil.operators.rules import first_of
         everywhere = first_of([literal(row) for row in rest], [F.lit(row["rank"]).cast("bigint") for row in rest])
-        found = found.withColumn("_best", F.least("_best", everywhere))
+        judged = judged.withColumn("_best", F.least("_best", everywhere))
+    judged = durable(judged.select(*[F.col(c).alias(f"_k_{c}") for c in (*known, "payload")], "_best"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*known, "payload")])
+    found = packets.join(bounded_broadcast(judged), same, "left").select(*packets.columns, "_best")
     return found, ranked
