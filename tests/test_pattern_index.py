@@ -86,7 +86,7 @@ def test_copies_of_patterns_are_tried_once(spark):
     """A thousand patterns that ask for the same are one, with the rank of the first."""
     tried = []
     frame = spark.createDataFrame([(1, "tcp", 80, "1=1"), (2, "tcp", 80, "1=1"), (3, "udp", 80, None)], PACKET)
-    table = [(k, k, f"s{k}", "ANY", [], "[0-9]=[0-9]", "high", "alert", "c", "") for k in range(1000, 0, -1)]
+    table = [(k, k, f"s{k}", "ANY", [], "[0-9]+", "high", "alert", "c", "") for k in range(1000, 0, -1)]
     holds = lambda payload: F.lit(True)
 
     def literal(row):
