@@ -298,3 +298,12 @@ def test_baselines_of_long_series(spark):
         assert read() == whole
     finally:
         spark.conf.unset("spark.vigil.rowsPerTask")
+
+
+def test_running_up_to_the_row_before(spark, hot):
+    """Maxima over the rows in front of each row, in one pass and over the cuts of a hot key."""
+    data = [("a" if k % 4 else "b", k, (k * 37) % 101 if k % 3 else None) for k in range(60)]
+    df = spark.createDataFrame(data, "key string, us bigint, value int")
+    found = skew.running(df, "key", ["us"], F.max, {"upto": F.col("value")}, {"before": F.col("value")})
+    most = lambda key, until: max((v for k, t, v in data if k == key and t < until and v is not None), default=None)
+    assert sorted((r.key, r.us, r.upto, r.before) for r in found.collect()) == sorted((k, t, most(k, t + 1), most(k, t)) for k, t, _ in data)

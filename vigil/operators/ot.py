@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from vigil import fixed, tables
 from vigil.functions.scoring import gauge_percent, percent_of_range
 from vigil.operators.skew import lag_columns, rows_in_window, running
+from vigil.session import durable
 
 WRITE_WINDOW_US = fixed.MAX_WRITES[1] * 1_000_000
 
@@ -169,21 +170,20 @@ def emergency_latch(readings: DataFrame, us: str = "us", row_id: str = "command_
     """Add ``emergency`` and ``trip``: a trip condition latches until a reset.
 
     Boiler temperature above 550 or pressure above 90 trips; writing 0 to register 400 resets.
-    The latch holds when the last trip condition is younger than the last reset, so two running
-    maxima say everything.
+    The latch holds when the last trip condition is younger than the last reset, so three running
+    maxima, one of them up to the row before, say everything.
     """
     (hot, hot_limit), (press, press_limit) = fixed.TRIP_LIMITS["temperature"], fixed.TRIP_LIMITS["pressure"]
     condition = (((F.col("address") == hot) & (F.col("value") > hot_limit))
                  | ((F.col("address") == press) & (F.col("value") > press_limit)))
     reset = (F.col("address") == 400) & (F.col("value") == 0)
     at = F.struct(us, row_id)
-    rows = readings.withColumns({"_condition": condition, "_reset": reset})
-    seen = running(rows, plant, [us, row_id], F.max, {"_last_trip": F.when(F.col("_condition"), at),
-                                                      "_last_reset": F.when(F.col("_reset"), at)})
-    before = lag_columns(seen, plant, [us, row_id], {"_trip_before": ("_last_trip", 1)})
+    rows = durable(readings.withColumns({"_condition": condition, "_reset": reset}))    # read for counts, cuts and rows
+    trip = F.when(F.col("_condition"), at)
+    seen = running(rows, plant, [us, row_id], F.max, {"_last_trip": trip, "_last_reset": F.when(F.col("_reset"), at)}, {"_trip_before": trip})
     latched = lambda trip: F.col(trip).isNotNull() & (F.col("_last_reset").isNull() | (F.col(trip) > F.col("_last_reset")))
-    return (before.withColumns({"emergency": latched("_last_trip"),
-                                "trip": F.col("_condition") & ~F.coalesce(latched("_trip_before"), F.lit(False))})
+    return (seen.withColumns({"emergency": latched("_last_trip"),
+                              "trip": F.col("_condition") & ~F.coalesce(latched("_trip_before"), F.lit(False))})
             .drop("_condition", "_reset", "_last_trip", "_last_reset", "_trip_before"))
 
 

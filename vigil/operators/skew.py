@@ -111,15 +111,17 @@ def per_key(df: DataFrame, key: str, compute) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _scan_pieces(df: DataFrame, key: str, order: list[str], hot: dict, merge, start) -> DataFrame:
+def _scan_pieces(df: DataFrame, key: str, order: list[str], hot: dict, merge, start, earlier=None) -> DataFrame:
     """Running values per key: within each piece, then combined with what earlier pieces hold.
 
     ``merge`` is the aggregate (``F.max`` or ``F.sum``); ``start`` maps a new column to the value it
-    runs over.
+    runs over, and ``earlier`` those that end at the row before.
     """
     pieces = ordered_pieces(df, key, order, hot)
-    inside = Window.partitionBy(key, "piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = pieces.withColumns({f"_in_{n}": merge(v).over(inside) for n, v in start.items()})
+    inside = Window.partitionBy(key, "piece").orderBy(*order)
+    ends = {**dict.fromkeys(start, 0), **dict.fromkeys(earlier or {}, -1)}
+    start = {**start, **(earlier or {})}
+    local = pieces.withColumns({f"_in_{n}": merge(v).over(inside.rowsBetween(Window.unboundedPreceding, ends[n])) for n, v in start.items()})
     # one row per piece of a hot key
     totals = (pieces.where(F.col(key).isin(list(hot))).groupBy(key, "piece")
               .agg(*[merge(v).alias(f"_all_{n}") for n, v in start.items()]))
@@ -130,13 +132,14 @@ def _scan_pieces(df: DataFrame, key: str, order: list[str], hot: dict, merge, st
     return out.select(*df.columns, *[combine(F.col(f"_in_{n}"), F.col(f"_off_{n}")).alias(n) for n in start])
 
 
-def running(df: DataFrame, key: str, order: list[str], merge, start: dict[str, Column]) -> DataFrame:
-    """Running ``F.max`` or ``F.sum`` per key without one task per key."""
+def running(df: DataFrame, key: str, order: list[str], merge, start: dict[str, Column], earlier: dict[str, Column] | None = None) -> DataFrame:
+    """Running ``F.max`` or ``F.sum`` per key without one task per key; those in ``earlier`` end at the row before."""
     hot = hot_keys(df, key)
     if hot:
-        return _scan_pieces(df, key, order, hot, merge, start)
-    inside = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({n: merge(v).over(inside) for n, v in start.items()})
+        return _scan_pieces(df, key, order, hot, merge, start, earlier)
+    inside = Window.partitionBy(key).orderBy(*order)
+    return df.withColumns({n: merge(v).over(inside.rowsBetween(Window.unboundedPreceding, end))
+                           for end, values in ((0, start), (-1, earlier or {})) for n, v in values.items()})
 
 
 def rows_in_window(df: DataFrame, key: str, window_us: int, name: str, us: str = "us",
