@@ -96,6 +96,50 @@ def test_group_without_its_pairs(spark):
     assert [r.component_id for r in got] == [0] and sum(seen) < 400 * 399 / 2 / 5
 
 
+def copies_around_one(n=500, words=150):
+    """A text in the middle of copies of it; the first and last of them are changed most and like no other."""
+    rnd, base = random.Random(4), [f"w{i}" for i in range(words)]
+    rows = []
+    for k in range(n):
+        text = list(base)
+        for m in rnd.sample(range(words), 0 if k == n // 2 else rnd.randrange(1, 4) if 60 <= k < n - 60 else 4):
+            text[m] = f"x{k}y{m}"
+        rows.append((k, " ".join(text)))
+    return rows
+
+
+def test_copies_meet_through_the_most_alike(spark, monkeypatch):
+    seen, whole = [], J._similar
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return whole(pairs, *rest)
+    monkeypatch.setattr(J, "_similar", counted)
+    rows = copies_around_one()
+    got = J.join(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, (4, 5)).collect()
+    assert sorted(map(tuple, got)) == sorted(plainly(rows, 5, (4, 5)))
+    assert sum(seen) < 20 * len(rows)
+
+
+def test_positional_filter_counts_shared_members(spark):
+    """No similar pair is dropped; one whose shared members leave too little behind them is, however early they begin."""
+    rnd, rows = random.Random(5), []
+    for k in range(300):
+        x = sorted(rnd.sample(range(10_000), rnd.randrange(2, 60)))
+        y = sorted({*rnd.sample(x, rnd.randrange(len(x) * 7 // 10, len(x) + 1)), *rnd.sample(range(10_000), rnd.randrange(4))})
+        if y:
+            rows.append((k, x, y))
+    first = lambda s: s[:J.prefix_length(len(s), (4, 5))]
+    table = spark.createDataFrame([(k, first(x), first(y), len(x), len(y)) for k, x, y in rows],
+                                  "k int, prefix_a array<bigint>, prefix_b array<bigint>, n_a int, n_b int")
+    kept = {r.k for r in table.where(J._positional((4, 5))).collect()}
+    alike = {k for k, x, y in rows if 5 * len({*x} & {*y}) >= 4 * len({*x} | {*y})}
+    assert alike <= kept and 10 < len(alike) and len(kept) < len(rows)
+    # the first members agree, but the next shared one leaves five: 2 + 5 of 10 and 10 are too few
+    one = spark.createDataFrame([([1, 5, 9], [1, 2, 3, 4, 9], 10, 10)], "prefix_a array<bigint>, prefix_b array<bigint>, n_a int, n_b int")
+    assert one.where(J._positional((4, 5))).count() == 0
+
+
 def test_filters_keep_every_similar_pair():
     rnd = random.Random(2)
     for _ in range(200):

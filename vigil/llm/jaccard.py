@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import SPACES, Scratch, stored, text_of
+from vigil.llm.common import SPACES, Scratch, let, stored, text_of
 from vigil.llm.simhash import components, keep_first
 
 SHINGLE = 3
@@ -184,17 +184,35 @@ def _possible(n: Column, place: Column, m: Column, at: Column, least: tuple[int,
     return reached(F.least(n - place, m - at), n, m, least)
 
 
+def _positional(least: tuple[int, int]) -> Column:
+    """Positional filter over all prefix members that a pair (prefix_a, prefix_b, n_a, n_b) shares.
+
+    Behind the first of them no more can be shared than what stands there, and behind the last no more than the
+    members counted so far and what still follows in both.
+    """
+    both = F.array_intersect("prefix_a", "prefix_b")
+    place = lambda name, member: F.array_position(f"prefix_{name}", member)
+
+    def bounds(both):
+        first, last = both[0], F.element_at(both, -1)
+        ahead = F.least(*[F.col(f"n_{x}") - place(x, first) + 1 for x in "ab"])
+        behind = F.size(both) + F.least(*[F.col(f"n_{x}") - place(x, last) for x in "ab"])
+        return reached(F.least(ahead, behind), F.col("n_a"), F.col("n_b"), least)
+    return let(both, lambda both: (F.size(both) > 0) & bounds(both))
+
+
 def _similar(pairs: DataFrame, rows: DataFrame, whole: Callable[[DataFrame], DataFrame], least: tuple[int, int], stored) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) whose whole sets have the similarity.
 
-    Suffix filter first: sets cannot share more than the lesser counts of all ranges added up.  Sets are made for
-    the pairs that pass, once per node, and each pair is verified once.
+    Positional filter over all shared prefix members first, then the suffix filter: sets cannot share more than the
+    lesser counts of all ranges added up.  Sets are made for the pairs that pass, once per node, and each pair is
+    verified once.
     """
     def side(name):
-        return rows.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("ranges").alias(f"r_{name}"))
+        return rows.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("prefix").alias(f"prefix_{name}"), F.col("ranges").alias(f"r_{name}"))
     most = F.aggregate(F.zip_with("r_a", "r_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    left = stored(pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").where(reached(most, F.col("n_a"), F.col("n_b"), least))
-                  .select("a", "b", "n_a", "n_b"))
+    met = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").where(_positional(least))
+    left = stored(met.where(reached(most, F.col("n_a"), F.col("n_b"), least)).select("a", "b", "n_a", "n_b"))
     sets = stored(whole(left.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
     met = (left.join(sets.select(F.col("node").alias("a"), F.col("keys").alias("x")), "a")
            .join(sets.select(F.col("node").alias("b"), F.col("keys").alias("y")), "b"))
@@ -206,8 +224,9 @@ def connected(rows: DataFrame, whole: Callable[[DataFrame], DataFrame], least: t
 
     ``rows`` holds (node, n, prefix, ranges), one row per distinct set; ``whole`` gives (node, keys) for a table of
     nodes.  Prefix members that one set alone has go first, found by two numbers a member.  Every node is then
-    compared with the smallest and the largest node at each member it shares, which joins most of a group
-    of similar sets without its pairs; in the end all pairs of nodes that are still apart and meet are compared, so
+    compared with two nodes at each member it shares: the one in whose order the member stands first, which has
+    least that is rarer and so is most like the others, and the largest.  That joins most of a group of similar
+    sets without its pairs; in the end all pairs of nodes that are still apart and meet are compared, so
     that no link is lost.  Tables that grow with the documents are joined by shuffle at every size, and what
     leaves does not read what ``stored`` has written.
     """
@@ -216,10 +235,11 @@ def connected(rows: DataFrame, whole: Callable[[DataFrame], DataFrame], least: t
     place = (F.array_position("prefix", F.col("key")) - 1).cast("int").alias("place")
     shared = stored(keys.join(met.select("key").hint("merge"), "key", "left_semi").join(rows.hint("merge"), "node").select("key", "node", "n", place))
 
-    me, end = F.struct("node", "n", "place"), F.col("end")
-    ends = shared.groupBy("key").agg(F.min(me).alias("low"), F.max(me).alias("high"))
-    close = stored(shared.join(ends, "key").select("node", "n", "place", F.explode(F.array("low", "high")).alias("end"))
-             .where((F.col("node") != end["node"]) & _possible(F.col("n"), F.col("place"), end["n"], end["place"], least))
+    end = F.col("end")
+    ends = shared.groupBy("key").agg(F.min(F.struct("place", "n", "node")).alias("first"), F.max(F.struct("node", "n", "place")).alias("last"))
+    ends = ends.select("key", *[F.struct(*[f"{e}.{c}" for c in ("node", "n", "place")]).alias(e) for e in ("first", "last")])
+    close = stored(shared.join(ends, "key").select("node", "n", "place", F.explode(F.array("first", "last")).alias("end"))
+             .where((F.col("node") != end["node"]) & reached(F.least("n", end["n"]), F.col("n"), end["n"], least))
              .select(F.least("node", end["node"]).alias("a"), F.greatest("node", end["node"]).alias("b")).distinct())
     linked = stored(_similar(close, rows, whole, least, stored))
 
