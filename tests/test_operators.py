@@ -291,6 +291,29 @@ def test_models(spark, tmp_path):
     assert {1000, 1001, 1002, 1003} <= {r["packet_id"] for r in out.where("isolated AND outside").collect()}
 
 
+def test_forest_scores_rows_once(spark):
+    """Packed trees give the path lengths of a walk from node to node, and one scoring gives the forest's flags."""
+    import random
+    import numpy as np
+    rng = random.Random(2)
+    rows = [(i, rng.gauss(0, 1), float(rng.randrange(3))) for i in range(500)]
+    df = spark.createDataFrame(rows, "packet_id bigint, x double, y double")
+    forest, scored = ml.fit_and_score(df, ["x", "y"], "packet_id", ["packet_id"], trees=10)
+    plain = ml.fit_forest(df, ["x", "y"], "packet_id", trees=10)
+    want = {r.packet_id: (r.score, r.is_anomaly) for r in ml.score_forest(df, plain).collect()}
+    assert forest.threshold == plain.threshold and {r.packet_id: (r.score, r.is_anomaly) for r in scored.collect()} == want
+    assert scored.columns == ["packet_id", "score", "is_anomaly"]
+
+    def walk(tree, row):
+        node, depth = tree.loc[0], 0
+        while node.feature >= 0:
+            node, depth = tree.loc[node.left if row[int(node.feature)] < node.threshold else node.right], depth + 1
+        return depth + ml._average_path(node["size"])
+    x = np.array([[a, b] for _, a, b in rows[:50]] + [[np.nan, 1.0], [np.inf, np.nan]])
+    trees = [t.set_index("node") for _, t in forest.nodes.groupby("tree")]
+    assert np.allclose(ml._depths(ml._packed(forest.nodes), x), [sum(walk(t, r) for t in trees) / 10 for r in x], rtol=1e-12)
+
+
 def test_packet_features(spark):
     df = one(spark, dict(a=1, b=150, c=12345, d=80, e="TCP", f="GET / HTTP/1.1", g="10.0.0.1", h="8.8.8.8", i=0),
              "packet_id bigint, size int, src_port int, dst_port int, protocol string, payload string, src_ip string, dst_ip string, us bigint")

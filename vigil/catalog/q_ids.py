@@ -106,8 +106,7 @@ def _(view):
 
 def forest_scores(view):
     features = M.packet_features(timed(view, "ids_packets"))
-    forest = M.fit_forest(features, fixed.PACKET_FEATURES, "packet_id")
-    return M.score_forest(features, forest).select("packet_id", "score", "is_anomaly")
+    return M.fit_and_score(features, fixed.PACKET_FEATURES, "packet_id", ["packet_id"])[1]
 
 
 @query("m3_isolation_forest")

@@ -124,11 +124,11 @@ def _(view):
 def _(view):
     features = fixed.PACKET_FEATURES
     rows = M.packet_features(timed(view, "ids_packets"))
-    forest = M.fit_forest(rows, features, "packet_id")
+    forest, scored = M.fit_and_score(rows, features, "packet_id")
     path = _folder(rows)
     M.save_forest(rows.sparkSession, forest, path)
     again = M.load_forest(rows.sparkSession, path)
-    both = M.score_forest(rows, forest).withColumnsRenamed({"score": "a", "is_anomaly": "x"})
+    both = scored.withColumnsRenamed({"score": "a", "is_anomaly": "x"})
     both = M.score_forest(both, again)
     return both.agg(F.count(F.lit(1)).alias("packets"), F.count_if(
         (F.col("a") != F.col("score")) | (F.col("x") != F.col("is_anomaly"))).alias("differing"))

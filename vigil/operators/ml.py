@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vigil import fixed
 from vigil.functions.network import is_internal
+from vigil.session import durable
 
 MINIMUM_ROWS = 100
 
@@ -127,32 +128,43 @@ def _grow(tree: int, x: np.ndarray, depth_limit: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["tree", "node", "feature", "threshold", "left", "right", "size"])
 
 
-def _depths(nodes: pd.DataFrame, x: np.ndarray) -> np.ndarray:
-    """Mean path length of every row over all trees, level by level."""
-    total = np.zeros(len(x))
-    trees = 0
+def _packed(nodes: pd.DataFrame) -> list[tuple]:
+    """(feature, cut, left, path length, depth) of every tree, made once for all rows.
+
+    The right child stands behind the left one.  A leaf compares with NaN, which nothing is below, and names the
+    node in front of it as its left child, so that a row that has come there stays.
+    """
+    out = []
     for _, tree in nodes.groupby("tree"):
         tree = tree.sort_values("node")
-        feature, cut = tree["feature"].to_numpy(), tree["threshold"].to_numpy()
-        left, right = tree["left"].to_numpy(), tree["right"].to_numpy()
-        extra = _average_path(tree["size"].to_numpy())
-        at, depth = np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
-        inner = feature[at] >= 0
-        while inner.any():
-            rows = np.flatnonzero(inner)
-            here = at[rows]
-            below = x[rows, feature[here]] < cut[here]
-            at[rows] = np.where(below, left[here], right[here])
-            depth[rows] += 1
-            inner[rows] = feature[at[rows]] >= 0
-        total += depth + extra[at]
-        trees += 1
-    return total / max(trees, 1)
-
-
-def fit_forest(df: DataFrame, features: list[str], row_id: str, trees: int = 100, sample: int = 256,
-               contamination: float = 0.1, minimum: int = MINIMUM_ROWS) -> Forest:
-    """Isolation forest: every tree is grown in its own task from its own small sample.
+        feature, left, right = (tree[c].to_numpy(np.int32) for c in ("feature", "left", "right"))
+        leaf, depth = feature < 0, np.zeros(len(tree))
+        for k in np.flatnonzero(~leaf):                 # children have larger numbers
+            depth[[left[k], right[k]]] = depth[k] + 1
+        if (right != left + 1)[~leaf].any():
+            raise ValueError("a right child does not stand behind the left one")
+        out.append((np.where(leaf, 0, feature).astype(np.int32), np.where(leaf, np.nan, tree["threshold"].to_numpy()),
+                    np.where(leaf, np.arange(len(tree)) - 1, left).astype(np.int32),
+                    depth + _average_path(tree["size"].to_numpy()), int(depth.max())))
+    return out
+
+
+def _depths(trees: list[tuple], x: np.ndarray) -> np.ndarray:
+    """Mean path length of every row over all packed trees, level by level."""
+    n = len(x)
+    values, row, total = np.ascontiguousarray(x.T).ravel(), np.arange(n), np.zeros(n)
+    for feature, cut, left, length, depth in trees:
+        first, at = feature.astype(np.int64) * n, np.zeros(n, np.int32)
+        for _ in range(depth):
+            below = values.take(first.take(at) + row) < cut.take(at)
+            at = left.take(at) + ~below
+        total += length.take(at)
+    return total / max(len(trees), 1)
+
+
+def grow_forest(df: DataFrame, features: list[str], row_id: str, trees: int = 100, sample: int = 256,
+                minimum: int = MINIMUM_ROWS) -> Forest:
+    """Isolation forest without a limit yet: every tree is grown in its own task from its own small sample.
 
     Each tree's sample are the rows with the smallest hashes of (row, tree) among all rows.  A row only
     enters a tree's draw below a cut that leaves about eight times the sample, so few leave their task;
@@ -171,28 +183,52 @@ def fit_forest(df: DataFrame, features: list[str], row_id: str, trees: int = 100
         return _grow(int(pdf["tree"].iloc[0]), few[features].to_numpy("float64"), depth)
 
     nodes = drawn.groupBy("tree").applyInPandas(grow, NODES).toPandas()     # at most 511 nodes per tree
-    forest = Forest(nodes, sample, 1.0, features)
-    cut = (score_forest(df, forest).agg(F.percentile_approx("score", 1 - contamination, 10_000)).first()[0])
-    forest.threshold = float(cut)
-    return forest
+    return Forest(nodes, sample, 1.0, features)
 
 
-def score_forest(df: DataFrame, forest: Forest | None) -> DataFrame:
-    """Add ``score`` in 0..1 and ``is_anomaly``; without a model nothing is anomalous."""
-    if forest is None:
-        return df.withColumns({"score": F.lit(0.0), "is_anomaly": F.lit(False)})
-    spark = df.sparkSession
-    nodes = spark.sparkContext.broadcast(forest.nodes)
+def limit(scored: DataFrame, score: str, share: float = 0.1) -> float:
+    """The score above which ``share`` of the rows lie."""
+    return float(scored.agg(F.percentile_approx(score, 1 - share, 10_000)).first()[0])
+
+
+def fit_forest(df: DataFrame, features: list[str], row_id: str, trees: int = 100, sample: int = 256,
+               contamination: float = 0.1, minimum: int = MINIMUM_ROWS) -> Forest:
+    """Forest whose limit leaves the share ``contamination`` of the rows above it."""
+    forest = grow_forest(df, features, row_id, trees, sample, minimum)
+    return replace(forest, threshold=limit(with_score(df, forest), "score", contamination))
+
+
+def fit_and_score(df: DataFrame, features: list[str], row_id: str, keep: list[str] | None = None, contamination: float = 0.1,
+                  **options) -> tuple[Forest, DataFrame]:
+    """The forest of :func:`fit_forest` and its :func:`score_forest`, with every row scored once.
+
+    Scores are written with the columns ``keep`` (all if not named), and the limit is taken from them.
+    """
+    forest = grow_forest(df, features, row_id, **options)
+    scored = durable(with_score(df, forest).select(*(keep or df.columns), "score"))
+    forest = replace(forest, threshold=limit(scored, "score", contamination))
+    return forest, scored.withColumn("is_anomaly", F.col("score") > F.lit(forest.threshold))
+
+
+def with_score(df: DataFrame, forest: Forest) -> DataFrame:
+    """Add ``score`` in 0..1, larger for rows that few cuts set apart."""
+    trees = df.sparkSession.sparkContext.broadcast(_packed(forest.nodes))
     norm = float(_average_path(forest.sample))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for pdf in batches:
             x = pdf.to_numpy("float64")
-            yield pd.Series(np.power(2.0, -_depths(nodes.value, x) / norm))
+            yield pd.Series(np.power(2.0, -_depths(trees.value, x) / norm))
 
-    out = df.withColumn("score", score(F.struct(*forest.features)))
-    return out.withColumn("is_anomaly", F.col("score") > F.lit(forest.threshold))
+    return df.withColumn("score", score(F.struct(*forest.features)))
+
+
+def score_forest(df: DataFrame, forest: Forest | None) -> DataFrame:
+    """Add ``score`` in 0..1 and ``is_anomaly``; without a model nothing is anomalous."""
+    if forest is None:
+        return df.withColumns({"score": F.lit(0.0), "is_anomaly": F.lit(False)})
+    return with_score(df, forest).withColumn("is_anomaly", F.col("score") > F.lit(forest.threshold))
 
 
 def training_summary(scored: DataFrame) -> DataFrame:
@@ -230,8 +266,8 @@ def _embed(x: np.ndarray, weights: np.ndarray, phases: np.ndarray) -> np.ndarray
     return np.sqrt(2.0 / len(phases)) * np.cos(x @ weights + phases)
 
 
-def fit_boundary(scaled: DataFrame, features: list[str], size: int = 64, nu: float = 0.1) -> Boundary:
-    """Rows far from the mean embedding lie outside; the farthest share ``nu`` sets the limit."""
+def centre_boundary(scaled: DataFrame, features: list[str], size: int = 64) -> Boundary:
+    """Boundary around the mean embedding of the rows, without a limit yet."""
     rng = np.random.default_rng(7)
     weights = rng.normal(0.0, math.sqrt(2.0 / len(features)), (len(features), size))
     phases = rng.uniform(0.0, 2 * math.pi, size)
@@ -246,22 +282,29 @@ def fit_boundary(scaled: DataFrame, features: list[str], size: int = 64, nu: flo
     # one partial sum per task and feature
     rows = (scaled.select(*features).mapInPandas(sums, "place int, total double, n bigint")
             .groupBy("place").agg((F.sum("total") / F.sum("n")).alias("mean")).orderBy("place").collect())
-    model = Boundary(weights, phases, np.array([r["mean"] for r in rows]), math.inf, features)
-    cut = score_boundary(scaled, model).agg(F.percentile_approx("distance", 1 - nu, 10_000)).first()[0]
-    model.threshold = float(cut)
-    return model
+    return Boundary(weights, phases, np.array([r["mean"] for r in rows]), math.inf, features)
 
 
-def score_boundary(scaled: DataFrame, model: Boundary) -> DataFrame:
-    """Add ``distance`` (1 minus similarity to the mean) and ``outside``."""
+def fit_boundary(scaled: DataFrame, features: list[str], size: int = 64, nu: float = 0.1) -> Boundary:
+    """Rows far from the mean embedding lie outside; the farthest share ``nu`` sets the limit."""
+    model = centre_boundary(scaled, features, size)
+    return replace(model, threshold=limit(with_distance(scaled, model), "distance", nu))
+
+
+def with_distance(scaled: DataFrame, model: Boundary) -> DataFrame:
+    """Add ``distance``: 1 minus similarity to the mean."""
     weights, phases, centre = model.weights, model.phases, model.centre
 
     @F.pandas_udf("double")
     def distance(pdf: pd.DataFrame) -> pd.Series:
         return pd.Series(1.0 - _embed(pdf.to_numpy("float64"), weights, phases) @ centre)
 
-    out = scaled.withColumn("distance", distance(F.struct(*model.features)))
-    return out.withColumn("outside", F.col("distance") > F.lit(model.threshold))
+    return scaled.withColumn("distance", distance(F.struct(*model.features)))
+
+
+def score_boundary(scaled: DataFrame, model: Boundary) -> DataFrame:
+    """Add ``distance`` (1 minus similarity to the mean) and ``outside``."""
+    return with_distance(scaled, model).withColumn("outside", F.col("distance") > F.lit(model.threshold))
 
 
 # ------------------------------------------------------------------ reconstruction
@@ -307,12 +350,18 @@ def default_scores(rows: DataFrame, scores: DataFrame | None, row_id: str) -> Da
 
 
 def ensemble(features_df: DataFrame, features: list[str], row_id: str, contamination: float = 0.1) -> DataFrame:
-    """Forest, boundary and reconstruction fitted on the rows, and their vote."""
+    """Forest, boundary and reconstruction fitted on the rows, and their vote.
+
+    Features are written before the many passes over them.  Rows are scored once; the scores are written, and both
+    limits are taken from them.
+    """
     require_rows(features_df)
+    features_df = durable(features_df)
     scaled = scale(features_df, scaling(features_df, features))
-    forest = fit_forest(scaled, features, row_id, contamination=contamination)
-    boundary = fit_boundary(scaled, features, nu=contamination)
-    components = fit_components(scaled, features)
-    out = score_forest(scaled, forest).withColumnRenamed("is_anomaly", "isolated")
-    out = reconstruction_error(score_boundary(out, boundary), features, components)
+    forest = grow_forest(scaled, features, row_id)
+    boundary = centre_boundary(scaled, features)
+    out = durable(with_distance(with_score(scaled, forest), boundary))
+    limits = out.agg(*[F.percentile_approx(c, 1 - contamination, 10_000).alias(c) for c in ("score", "distance")]).first()
+    out = out.withColumns({"isolated": F.col("score") > F.lit(limits["score"]), "outside": F.col("distance") > F.lit(limits["distance"])})
+    out = reconstruction_error(out, features, fit_components(scaled, features))
     return vote(out, ["isolated", "outside", "badly_rebuilt"], ["score", "distance", "error"])
