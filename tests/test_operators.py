@@ -291,6 +291,20 @@ def test_models(spark, tmp_path):
     assert {1000, 1001, 1002, 1003} <= {r["packet_id"] for r in out.where("isolated AND outside").collect()}
 
 
+def test_generated_methods_can_be_compiled(spark):
+    """The JVM leaves methods above 8,000 bytes to its interpreter."""
+    import re
+    from vigil import catalog
+    spark.conf.set("spark.sql.adaptive.enabled", "false")       # the plan is then final before it runs
+    try:
+        for name in ("d8_first_match_rule", "j1_packet_verdicts"):
+            plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+            sizes = re.findall(r"maxMethodCodeSize:(\d+)", spark._jvm.PythonSQLUtils.explainString(plan, "codegen"))
+            assert sizes and max(map(int, sizes)) < 8000, (name, sizes)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_forest_scores_rows_once(spark):
     """Packed trees give the path lengths of a walk from node to node, and one scoring gives the forest's flags."""
     import random

@@ -134,9 +134,11 @@ def match_signatures(packets: DataFrame, signatures: DataFrame | None = None) ->
         found, ranked = first_hits(packets, signatures, "pattern", ["seq"], True, holds, _signature_condition)
         hit = F.when(F.col("_hit").isNotNull(), F.struct(*[F.col(f"_hit.{n}").alias(n) for n in names], details))
         return _picked(found, ranked, [hit.alias("signature")])
-    pick = lambda name: F.element_at(F.array(*[F.lit(s[name]) for s in listed]).cast(ArrayType(signatures.schema[name].dataType)), F.col("_place")).alias(name)
+    pick = lambda name, place: F.element_at(F.array(*[F.lit(s[name]) for s in listed]).cast(ArrayType(signatures.schema[name].dataType)), place).alias(name)
+    # looked up by a function over the place, which keeps the patterns and the view below in a method short enough to be compiled
+    shown = F.transform(F.array("_place"), lambda p: F.struct(*[pick(name, p) for name in names], details))[0]
     return (packets.withColumn("_place", first_of([_signature_condition(s) for s in listed], range(1, len(listed) + 1)).cast("int"))
-            .withColumn("signature", F.when(F.col("_place").isNotNull(), F.struct(*[pick(n) for n in names], details)))
+            .withColumn("signature", F.when(F.col("_place").isNotNull(), shown))
             .drop("_place"))
 
 
