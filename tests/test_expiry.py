@@ -117,3 +117,20 @@ def test_registered(spark, name, limit):
     finally:
         spark.conf.unset("spark.vigil.rowsPerTask")
     assert ok, message
+
+
+def test_packets_are_made_once(spark):
+    """What packets are made of is worked out once a row, and keys of ordinary size are not cut into pieces."""
+    made, data = spark.sparkContext.accumulator(0), slow(5, 200)
+
+    def count(size):
+        made.add(1)
+        return size
+    df = spark.createDataFrame(data, PACKET).withColumn("size", F.udf(count, "int")("size"))
+    out = conntrack.track(df, expire=True)
+    assert got(df) == replay(data) and out.count() == len(data)
+    made.value = 0
+    out = conntrack.track(df, expire=True)
+    out.collect()
+    assert made.value == len(data)
+    assert "_piece" not in out.columns and "rangepartitioning" not in out._jdf.queryExecution().executedPlan().toString()

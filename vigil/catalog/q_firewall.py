@@ -214,7 +214,8 @@ REPLAY = f"""RECURSIVE slow AS ({SLOW}), p AS (SELECT *, row_number() OVER (PART
 
 def expiring(view):
     base = 1704067200000000
-    return K.track(view("packets").withColumn("us", base + (F.col("us") - base) * 700), expire=True)
+    packets = view("packets").select("packet_id", "us", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "tcp_flags", "size")
+    return K.track(packets.withColumn("us", base + (F.col("us") - base) * 700), expire=True)
 
 
 @query("g2_states_with_expiry", f"WITH {REPLAY} SELECT packet_id, conn_key, conn_state, stored_state, is_reply, opened_us, opened_id FROM walk WHERE n > 0")

@@ -2,21 +2,21 @@
 
 A packet maps the state of its connection to the next one.  There are few states, and how long a
 connection was silent is the distance of two neighbouring packets, whatever the state; so packets are maps over a
-fixed set of states, and maps compose.  Packets are cut by (key, time) into pieces of even size; every piece
-that one key fills hands on its composed map, the maps are chained piece by piece, and then each piece is read
-from the state it is entered with.  A key of any size is so many pieces.
+fixed set of states, and maps compose.  Ordinary keys lie whole in one task.  The packets of large keys are cut by
+(key, time) into pieces of even size; every piece that one key fills hands on its composed map, the maps are chained
+piece by piece, and then each piece is read from the state it is entered with.  A key of any size is so many pieces.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from vigil import fixed
-from vigil.operators.skew import rows_per_task
+from vigil.operators.skew import hot_keys, rows_per_task
 from vigil.session import durable
 
 SECOND = 1_000_000
@@ -172,27 +172,39 @@ def track(packets: DataFrame, us: str = "us", packet_id: str = "packet_id") -> D
 
     As :func:`vigil.operators.conntrack.track`, but a connection that has been silent for longer than its state
     allows is gone when the next packet comes, which may then open a new one.  ``opened_us`` and ``opened_id``
-    name the packet that opened the connection, so that one key may hold many.  Two range pieces at most
-    share a task; the driver sees one row per piece.
+    name the packet that opened the connection, so that one key may hold many.  All columns of ``packets`` are
+    written once and shuffled once by key.  Keys of more rows than a task should sort are cut into range pieces
+    instead, and only these are read twice; the driver sees one row per such piece.
     """
     from vigil.operators.conntrack import connection_key
-    keyed = packets.withColumns({"conn_key": connection_key(), "_code": packet_code(), "_us": F.col(us).cast("bigint"),
-                                 "_id": F.col(packet_id).cast("bigint")})
     spark, order = packets.sparkSession, ["conn_key", "_us", "_id"]
-    pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-packets.count() // rows_per_task(spark)))
-    cut = durable(keyed.repartitionByRange(pieces, *order).withColumn("_piece", F.spark_partition_id()))
-
-    def in_order(rows):
-        return rows.repartition(pieces, "_piece").sortWithinPartitions("_piece", *order)
-    entered = _chained(in_order(cut.select("_piece", *order, "_code")).mapInArrow(_summaries, SUMMARY).collect())
+    # written before the key and the code are worked out: with what the packets are made of they would become one
+    # generated method too long for the JVM to compile
+    keyed = durable(packets).withColumns({"conn_key": connection_key(), "_code": packet_code(), "_us": F.col(us).cast("bigint"),
+                                          "_id": F.col(packet_id).cast("bigint")})
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keyed.count() // rows_per_task(spark)))
+    hot = hot_keys(keyed.select("conn_key"), "conn_key")
+    is_hot = F.coalesce(F.col("conn_key").isin(list(hot)), F.lit(False)) if hot else F.lit(False)
+    whole = keyed.where(~is_hot).withColumn("_piece", F.lit(-1)).repartition(tasks, "conn_key").sortWithinPartitions(*order)
+    parts, entered = [whole], {}
+    if hot:
+        pieces = max(2, -(-2 * sum(hot.values()) // rows_per_task(spark)))
+        cut = durable(keyed.where(is_hot).repartitionByRange(pieces, *order).withColumn("_piece", F.spark_partition_id()))
+
+        def in_order(rows):
+            return rows.repartition(pieces, "_piece").sortWithinPartitions("_piece", *order)
+        entered = _chained(in_order(cut.select("_piece", *order, "_code")).mapInArrow(_summaries, SUMMARY).collect())
+        parts.append(in_order(cut))
     entered = spark.sparkContext.broadcast(entered)
+    columns = whole.columns
     fresh = [("conn_state", T.StringType()), ("tracked", T.BooleanType()), ("is_reply", T.BooleanType()),
              ("stored_state", T.StringType()), ("opened_us", T.LongType()), ("opened_id", T.LongType())]
-    used = [cut.columns.index(c) for c in ("_piece", *order, "_code")]
-    kept = [n for n, c in enumerate(cut.columns) if c not in ("_piece", "_us", "_id", "_code")]
+    used = [columns.index(c) for c in ("_piece", *order, "_code")]
+    kept = [n for n, c in enumerate(columns) if c not in ("_piece", "_us", "_id", "_code")]
 
     def follow(batches):
-        moves, width = table(), len(LIMITS) + 1
+        moves, width, nothing = table(), len(LIMITS) + 1, (None, None)
+        names = pa.array([s and s[0] for s in STATES], pa.string())
         here = before = None                    # (piece, key); (key, last time, state, opened)
         for batch in batches:
             answers, replies, states, opens = [], [], [], []
@@ -200,26 +212,31 @@ def track(packets: DataFrame, us: str = "us", packet_id: str = "packet_id") -> D
             both = list(zip(pieces, keys))
             if not both:
                 continue
-            moments = np.array(times, np.int64)
+            # the silence before the first row of a run is looked at with the run
+            silences = (np.array(codes, np.int64) * width + _silences(np.array(times, np.int64), None)).tolist()
             for a, b, on in _runs(both, None if here is None else (here,)):
                 if not on:
                     start = entered.value.get(pieces[a]) if here is None or here[0] != pieces[a] else None
                     before = start if start is not None and start[0] == keys[a] else (keys[a], None, 0, None)
                 _, last, s, opened = before
-                for k, silence in zip(range(a, b), _silences(moments[a:b], last)):
-                    s, answer, reply, new = moves[codes[k] * width + silence][s]
-                    opened = (times[k], ids[k]) if new else opened if s else None
+                silences[a] = codes[a] * width + int(_silences(np.array(times[a:a + 1], np.int64), last)[0])
+                for k in range(a, b):
+                    s, answer, reply, new = moves[silences[k]][s]
+                    if new:
+                        opened = (times[k], ids[k])
+                    elif not s:
+                        opened = None
                     answers.append(answer)
                     replies.append(reply)
-                    states.append(s and STATES[s][0] or None)
-                    opens.append(opened or (None, None))
+                    states.append(s)
+                    opens.append(opened or nothing)
                 here, before = both[a], (keys[a], times[b - 1], s, opened)
-            new = [pa.array(answers, pa.string()), pa.array([s is not None for s in states], pa.bool_()), pa.array(replies, pa.bool_()),
-                   pa.array(states, pa.string()), *[pa.array([o[n] for o in opens], pa.int64()) for n in (0, 1)]]
+            new = [pa.array(answers, pa.string()), pa.array([s > 0 for s in states], pa.bool_()), pa.array(replies, pa.bool_()),
+                   names.take(pa.array(states, pa.int32())), *[pa.array([o[n] for o in opens], pa.int64()) for n in (0, 1)]]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], *new],
                                              names=[*[batch.schema.names[n] for n in kept], *[n for n, _ in fresh]])
-    schema = T.StructType([cut.schema.fields[n] for n in kept] + [T.StructField(n, kind) for n, kind in fresh])
-    return in_order(cut).mapInArrow(follow, schema)
+    schema = T.StructType([whole.schema.fields[n] for n in kept] + [T.StructField(n, kind) for n, kind in fresh])
+    return reduce(DataFrame.unionByName, [rows.select(*columns).mapInArrow(follow, schema) for rows in parts])
 
 
 def connections(tracked: DataFrame, us: str = "us", packet_id: str = "packet_id") -> DataFrame:
