@@ -124,3 +124,40 @@ def test_registered(spark, monkeypatch, limit):
         monkeypatch.setattr(rules, "COMPILED_RULES", 0)
         ok, message, rows, _ = compare(name, spark, oracle(SF), SF)
         assert ok, message
+
+
+def test_rules_behind_one_for_every_packet(spark, monkeypatch):
+    """They never decide and are left out, in both plans; packets without flags meet rules that ask for none."""
+    rng = random.Random(5)
+    table = [r for r in many_rules(rng, 200) if r[5] not in ("any", "0.0.0.0/0")]
+    table.append((900, "all", 20, "DENY", "ANY", "any", "0.0.0.0/0", 0, 0, "ANY", [], "", "", True, 900))
+    table.append((901, "off", 1, "DENY", "ANY", "any", "any", 0, 0, "ANY", [], "", "", False, 901))
+    packets = some_packets(rng, 300)
+    expected = plainly(packets, table)
+    assert all(r[1] != -1 for r in expected) and any(r[2] > 20 for r in table)
+    kept = ruleindex.reachable(spark.createDataFrame(table, RULE)).collect()
+    assert sorted(r.rule_id for r in kept) == sorted(r[0] for r in table if r[13] and (r[2], r[14]) <= (20, 900))
+    bare = [(*p[:7], None, *p[8:]) for p in packets]
+    bare_expected = plainly([(*p[:7], [], *p[8:]) for p in packets], table)
+    for compiled in (500, 5, 0):
+        monkeypatch.setattr(rules, "COMPILED_RULES", compiled)
+        assert got(spark, packets, table) == expected
+        assert got(spark, bare, table) == bare_expected
+
+
+@pytest.mark.parametrize("step", ["apply_index", "_apply_case"])
+def test_equal_packets_are_decided_once(spark, monkeypatch, step):
+    """Ports and flags that no rule names do not tell packets apart; every packet keeps its answer."""
+    rng = random.Random(6)
+    table = [(*r[:7], 0, *r[8:11], "", "", *r[13:]) for r in many_rules(rng, 150) if r[5] not in ("any", "0.0.0.0/0") and not r[10]]
+    ends = [p[1:5] for p in some_packets(rng, 25)]
+    packets = [(k, *ends[k % 25], 5000 + k, rng.choice([443, 7000 + k]), rng.choice([["SYN"], ["URG", "ACK"], []]), "lan", None) for k in range(1500)]
+    seen, plain = [], getattr(rules, step)
+
+    def watched(kinds, *rest):
+        seen.append(kinds.count())
+        return plain(kinds, *rest)
+    monkeypatch.setattr(rules, step, watched)
+    monkeypatch.setattr(rules, "COMPILED_RULES", 5 if step == "apply_index" else 500)
+    assert got(spark, packets, table) == plainly(packets, table)
+    assert len(seen) == 1 and seen[0] <= 50

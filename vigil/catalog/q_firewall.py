@@ -139,7 +139,8 @@ _WITHIN = lambda ip: f"(r.{ip} = 'any' OR p.{ip} = r.{ip} OR coalesce({NUM.forma
 def _(view):
     rules = view("networks").selectExpr(*[f"{e} AS {n}" for n, e in _MANY.items()]).withColumn(
         "tcp_flags", F.when(F.col("syn"), F.array(F.lit("SYN"))).otherwise(F.array().cast("array<string>")))
-    return R.apply_rules(view("packets"), rules).select("packet_id", "rule_id", "rule_name", "rule_action")
+    packets = view("packets").select("packet_id", "direction", "protocol", "src_ip", "dst_ip", "src_port", "dst_port", "tcp_flags")
+    return R.apply_rules(packets, rules).select("packet_id", "rule_id", "rule_name", "rule_action")
 
 
 @query("c4_rule_predicate", f"SELECT packet_id, ({rule_sql(fixed.FIREWALL_RULES[1])} AND {has('SYN')}) AS allow_https_syn FROM @packets")

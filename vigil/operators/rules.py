@@ -10,9 +10,11 @@ from pyspark.sql.types import ArrayType
 from vigil import fixed, tables
 from vigil.functions.network import in_network, ip_to_num
 from vigil.operators.patternindex import first_hits
-from vigil.operators.ruleindex import apply_index
+from vigil.operators.ruleindex import apply_index, once_each, reachable
 
 COMPILED_RULES = 500
+#: With more rules than this, packets that are the same to all of them are decided once.
+DIRECT_RULES = 50
 MAX_PATTERNS = 500
 
 
@@ -52,7 +54,7 @@ def apply_rules(packets: DataFrame, rules: DataFrame | None = None,
 
     Lowest priority first, table order (``seq``) among equals.  Without a match the rule id is -1
     and the action is the default policy.  Packets without zone columns match every zone.
-    Tables above ``COMPILED_RULES`` go through :func:`vigil.operators.ruleindex.apply_index`.
+    Rules behind one that holds for every packet never decide and do not count.  Tables above ``COMPILED_RULES`` go through :func:`vigil.operators.ruleindex.apply_index`.
     """
     rules = tables.firewall_rules(packets.sparkSession) if rules is None else rules
     for name in ("zone_src", "zone_dst"):
@@ -60,21 +62,27 @@ def apply_rules(packets: DataFrame, rules: DataFrame | None = None,
             packets = packets.withColumn(name, F.lit(""))
     if "tcp_flags" not in packets.columns:
         packets = packets.withColumn("tcp_flags", F.array().cast("array<string>"))
-    enabled = rules.where("enabled")
-    few = enabled.orderBy("priority", "seq").limit(COMPILED_RULES + 1).collect()
-    if len(few) <= COMPILED_RULES:
-        # the CASE gives the place of the rule; its columns are then plain look-ups
-        numbers = {n: F.col(f"_{n}") for n in ("src_ip", "dst_ip")}
-        place = F.lit(len(few) + 1)
-        for n, rule in reversed(list(enumerate(few, 1))):
-            place = F.when(rule_condition(rule.asDict(), numbers), n).otherwise(place)
-        pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_place"))
-        return (packets.withColumns({f"_{n}": ip_to_num(n) for n in numbers}).withColumn("_place", place)
-                .withColumns({"rule_id": pick([r["rule_id"] for r in few] + [-1]),
-                              "rule_name": pick([r["name"] for r in few] + [""]),
-                              "rule_action": pick([r["action"] for r in few] + [default_policy])})
-                .drop("_place", "_src_ip", "_dst_ip"))
-    return apply_index(packets, rules, default_policy)
+    rules = reachable(rules)
+    few = rules.orderBy("priority", "seq").limit(COMPILED_RULES + 1).collect()
+    if len(few) > COMPILED_RULES:
+        return once_each(packets, rules, lambda kinds: apply_index(kinds, rules, default_policy))
+    if len(few) > DIRECT_RULES:
+        return once_each(packets, rules, lambda kinds: _apply_case(kinds, few, default_policy))
+    return _apply_case(packets, few, default_policy)
+
+
+def _apply_case(packets: DataFrame, few: list, default_policy: str) -> DataFrame:
+    # the CASE gives the place of the rule; its columns are then plain look-ups
+    numbers = {n: F.col(f"_{n}") for n in ("src_ip", "dst_ip")}
+    place = F.lit(len(few) + 1)
+    for n, rule in reversed(list(enumerate(few, 1))):
+        place = F.when(rule_condition(rule.asDict(), numbers), n).otherwise(place)
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_place"))
+    return (packets.withColumns({f"_{n}": ip_to_num(n) for n in numbers}).withColumn("_place", place)
+            .withColumns({"rule_id": pick([r["rule_id"] for r in few] + [-1]),
+                          "rule_name": pick([r["name"] for r in few] + [""]),
+                          "rule_action": pick([r["action"] for r in few] + [default_policy])})
+            .drop("_place", "_src_ip", "_dst_ip"))
 
 
 def rule_hits(decided: DataFrame) -> DataFrame:
