@@ -74,9 +74,8 @@ def apply_rules(packets: DataFrame, rules: DataFrame | None = None,
 def _apply_case(packets: DataFrame, few: list, default_policy: str) -> DataFrame:
     # the CASE gives the place of the rule; its columns are then plain look-ups
     numbers = {n: F.col(f"_{n}") for n in ("src_ip", "dst_ip")}
-    place = F.lit(len(few) + 1)
-    for n, rule in reversed(list(enumerate(few, 1))):
-        place = F.when(rule_condition(rule.asDict(), numbers), n).otherwise(place)
+    # one flat CASE: branches nested in each other take minutes to analyse when they are some hundreds
+    place = F.coalesce(first_of([rule_condition(r.asDict(), numbers) for r in few], range(1, len(few) + 1)).cast("int"), F.lit(len(few) + 1))
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_place"))
     return (packets.withColumns({f"_{n}": ip_to_num(n) for n in numbers}).withColumn("_place", place)
             .withColumns({"rule_id": pick([r["rule_id"] for r in few] + [-1]),
