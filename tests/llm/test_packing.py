@@ -64,6 +64,42 @@ def test_words_encode_like_texts(tokenizer):
             assert np.frombuffer(got, "<u4").tolist() == want.ids, repr(text)
 
 
+def test_every_letter_encodes_like_texts(tokenizer):
+    chars = [chr(c) for c in [*range(0x2100), *range(0x2C60, 0x2C80), *range(0xAC00, 0xAC10), 0x212A, 0x212B, 0x3000, 0xFB01, 0x1F600]]
+    samples = [f"A{c}b. {c},X {c}.Y e{c}' {c}{c}3{c}! É{c}\u201c s{c}'S.Q{c}" for c in chars]
+    samples += ["", " ", "É.\u2019", "\u2019.a.", "A.<|endoftext|>.B", "A.<|EndOfText|>.B", "a\u2260.=\u0338."]
+    encode = K.Encoder(tokenizer_file(), cache_words=5000)
+    for part in (samples[i:i + 500] for i in range(0, len(samples), 500)):
+        for one in (False, True):          # alone, so that its text decides, and beside others
+            found = [encode([text])[0] for text in part] if one else encode(part)
+            for text, got, want in zip(part, found, tokenizer.encode_batch(part, add_special_tokens=False)):
+                assert np.frombuffer(got, "<u4").tolist() == want.ids, repr(text)
+
+
+class Counting:
+    """A tokenizer that counts the words it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.words = tokenizer, Counter()
+
+    def _batch(self, texts, **options):
+        self.words.update(word for text in texts for word in text.split())
+        return self.tokenizer.encode_batch(texts, **options)
+    encode_batch = encode_batch_fast = _batch
+
+
+def test_words_are_encoded_once(tokenizer):
+    encode = K.Encoder(tokenizer_file(), cache_words=60)
+    encode.tokenizer = counting = Counting(tokenizer)
+    letters = "abcdefghijklmnopqrst"
+    common = [a + b for a in letters[:8] for b in letters[:5]]
+    for n in range(20):                       # a full cache keeps what it knows of the texts at hand
+        text = " ".join([*common, *(f"{letters[n]}{letters[k]}zz" for k in range(5))])
+        assert encode([text.title(), text.upper() + "!"]) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+                                                             for t in (text, text + "!")]
+    assert set(common) <= counting.words.keys() and max(counting.words.values()) == 1
+
+
 def best_fill(counts, capacity):
     """Largest sum that holds the longest length, by trying all multisets."""
     reach = {max(counts)}
