@@ -152,6 +152,41 @@ def test_filters_keep_every_similar_pair():
             assert first[0] & first[1]
 
 
+def test_ranges_of_large_sets(spark):
+    """Bounds over ranges hold between sets with different numbers of ranges, and are close for large sets."""
+    rnd, rows = random.Random(6), []
+    for n in (40, 900, 1100, 2000, 2100, 5000):
+        for m, share in ((n, 0.0), (n, 0.95), (n + n // 9, 0.9), (3 * n, 0.2)):
+            x = [rnd.getrandbits(64) for _ in range(n)]
+            y = {*x[:int(share * n)], *(rnd.getrandbits(64) for _ in range(m - int(share * n)))}
+            a, b = (np.array(sorted(s), np.uint64) for s in (x, y))
+            rows.append((len({*x} & y), n, len(y), share, J.ranges_of(a).tolist(), J.ranges_of(b).tolist()))
+    assert any(len(r[4]) != len(r[5]) for r in rows)
+    table = spark.createDataFrame(rows, "shared int, n int, m int, share double, r_a array<int>, r_b array<int>")
+    got = table.select("*", J._most_shared().alias("most")).collect()
+    assert len(got) == len(rows) and all(r.shared <= r.most <= r.n for r in got)
+    assert all(5 * r.most < 4 * (r.n + r.m - r.most) for r in got if not r.share)
+
+
+def test_unlike_long_texts_are_not_made(spark, monkeypatch):
+    """Long texts that meet but share three tenths are told apart by their ranges."""
+    rnd, made, keyed = random.Random(7), [], J.keyed_sets
+    common = [f"c{i}" for i in range(900)]
+    rows = [(k, " ".join([*common, *(f"w{k}x{rnd.getrandbits(40)}" for _ in range(2100))])) for k in range(6)]
+    rows += [(6, f"{rows[0][1]} more"), (7, f"{rows[0][1]} and more")]
+
+    def counted(docs, shingle):
+        made.append(docs.count())
+        return keyed(docs, shingle)
+    monkeypatch.setattr(J, "keyed_sets", counted)
+    counts = np.ones(J.BUCKETS, np.int64)
+    counts[(J.shingle_set(" ".join(common), 5) & np.uint64(J.BUCKETS - 1)).astype(np.int64)] = 0       # what they share stands first
+    monkeypatch.setattr(J, "bucket_counts", lambda *rest: counts)
+    got = J.join(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, (4, 5)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: 0 if k > 5 else k for k in range(8)}
+    assert sum(made) <= 3
+
+
 def test_hashes_of_pieces(monkeypatch):
     text = " ".join(f"W{i} \x0b\x1cé\x85" for i in range(500)) + "x" * 300
     whole = J.shingle_set(text)

@@ -17,8 +17,8 @@ SHINGLE = 3
 LEAST = (9, 10)
 #: Frequencies are counted by this many hash buckets, which only decides what stands first in a prefix.
 BUCKETS = 1 << 18
-#: Ranges of the suffix filter.
-RANGES = 64
+#: Ranges of the suffix filter: twice as many while one would hold more members than this.
+RANGES, MOST_RANGES, RANGE_MEMBERS = 64, 4096, 16
 PIECE = 1 << 22
 COUNTED_AT_ONCE = 1 << 20
 CHUNK = 1 << 10
@@ -136,8 +136,11 @@ def prefix_length(n: int, least: tuple[int, int]) -> int:
 
 
 def ranges_of(values: np.ndarray) -> np.ndarray:
-    """How many members of a set lie in each of ``RANGES`` ranges of hashes."""
-    return np.bincount((values >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64), minlength=RANGES)
+    """How many members of a set lie in each of ``RANGES`` ranges of hashes, or 2, 4, 8, ... times as many for a larger set."""
+    ranges = RANGES
+    while ranges < MOST_RANGES and len(values) > RANGE_MEMBERS * ranges:
+        ranges *= 2
+    return np.bincount((values >> np.uint64(64 - ranges.bit_length() + 1)).astype(np.int64), minlength=ranges)
 
 
 #: Columns that describe a set, behind its digest, and their Arrow types.
@@ -184,14 +187,18 @@ def _possible(n: Column, place: Column, m: Column, at: Column, least: tuple[int,
     return reached(F.least(n - place, m - at), n, m, least)
 
 
-def _positional(least: tuple[int, int]) -> Column:
+def _positional(least: tuple[int, int], thinned: bool = False) -> Column:
     """Positional filter over all prefix members that a pair (prefix_a, prefix_b, n_a, n_b) shares.
 
     Behind the first of them no more can be shared than what stands there, and behind the last no more than the
-    members counted so far and what still follows in both.
+    members counted so far and what still follows in both.  Prefixes that are ``thinned`` out, in order, hold the place
+    of each member in place_a and place_b.
     """
     both = F.array_intersect("prefix_a", "prefix_b")
-    place = lambda name, member: F.array_position(f"prefix_{name}", member)
+
+    def place(name, member):
+        at = F.array_position(f"prefix_{name}", member)
+        return F.element_at(f"place_{name}", at.cast("int")) + 1 if thinned else at
 
     def bounds(both):
         first, last = both[0], F.element_at(both, -1)
@@ -201,39 +208,55 @@ def _positional(least: tuple[int, int]) -> Column:
     return let(both, lambda both: (F.size(both) > 0) & bounds(both))
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, whole: Callable[[DataFrame], DataFrame], least: tuple[int, int], stored) -> DataFrame:
+def _most_shared() -> Column:
+    """The lesser counts of all ranges of a pair (r_a, r_b) added up, the finer ranges folded into the others."""
+    def folded(x, y):
+        times = F.greatest(F.size(x) / F.size(y), F.lit(1)).cast("int")
+        return F.when(F.size(x) <= F.size(y), F.col(x)).otherwise(F.transform(
+            F.sequence(F.lit(1), F.size(x), times), lambda k: F.aggregate(F.slice(x, k, times), F.lit(0), lambda s, v: s + v)))
+    return F.aggregate(F.zip_with(folded("r_a", "r_b"), folded("r_b", "r_a"), lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+
+
+def _similar(pairs: DataFrame, sides: DataFrame, whole: Callable[[DataFrame], DataFrame], least: tuple[int, int], stored) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) whose whole sets have the similarity.
 
-    Positional filter over all shared prefix members first, then the suffix filter: sets cannot share more than the
-    lesser counts of all ranges added up.  Sets are made for the pairs that pass, once per node, and each pair is
-    verified once.
+    ``sides`` holds (node, n, prefix, place, ranges) of all their nodes.  Positional filter over all shared prefix
+    members first, then the suffix filter: sets cannot share more than the lesser counts of all ranges added up.  Sets
+    are made for the pairs that pass, once per node, and shuffled once by digest for both sides of the last join.  Each
+    pair is verified once.
     """
     def side(name):
-        return rows.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("prefix").alias(f"prefix_{name}"), F.col("ranges").alias(f"r_{name}"))
-    most = F.aggregate(F.zip_with("r_a", "r_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    met = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").where(_positional(least))
-    left = stored(met.where(reached(most, F.col("n_a"), F.col("n_b"), least)).select("a", "b", "n_a", "n_b"))
-    sets = stored(whole(left.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-    met = (left.join(sets.select(F.col("node").alias("a"), F.col("keys").alias("x")), "a")
-           .join(sets.select(F.col("node").alias("b"), F.col("keys").alias("y")), "b"))
-    return met.where(reached(F.size(F.array_intersect("x", "y")), F.col("n_a"), F.col("n_b"), least)).select("a", "b")
+        return sides.select(F.col("node").alias(name), *[F.col(c).alias(f"{to}_{name}") for c, to in
+                                                         (("n", "n"), ("prefix", "prefix"), ("place", "place"), ("ranges", "r"))])
+    met = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").where(_positional(least, thinned=True))
+    left = stored(met.where(reached(_most_shared(), F.col("n_a"), F.col("n_b"), least)).select("a", "b", "n_a", "n_b"))
+    names, sets = whole(left.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    met = left
+    for x in "ab":
+        met = met.join(names.select(F.col("node").alias(x), F.col("digest").alias(f"digest_{x}")), x)
+    for x, keys in (("a", "x"), ("b", "y")):
+        met = met.join(sets.select(F.col("digest").alias(f"digest_{x}"), F.col("keys").alias(keys)).hint("merge"), f"digest_{x}")
+    return stored(met.where(reached(F.size(F.array_intersect("x", "y")), F.col("n_a"), F.col("n_b"), least)).select("a", "b"))
 
 
 def connected(rows: DataFrame, whole: Callable[[DataFrame], DataFrame], least: tuple[int, int], stored) -> DataFrame:
     """(node, root) of all nodes with a partner: who is linked with whom over pairs that reach ``least``.
 
-    ``rows`` holds (node, n, prefix, ranges), one row per distinct set; ``whole`` gives (node, keys) for a table of
-    nodes.  Prefix members that one set alone has go first, found by two numbers a member.  Every node is then
+    ``rows`` holds (node, n, prefix, ranges), one row per distinct set; ``whole`` gives for a table of
+    nodes a stored table (node, digest) and their sets (digest, keys).  Prefix members that one set alone has go first, found by one number a member; what follows needs no others.  Every node is then
     compared with two nodes at each member it shares: the one in whose order the member stands first, which has
     least that is rarer and so is most like the others, and the largest.  That joins most of a group of similar
     sets without its pairs; in the end all pairs of nodes that are still apart and meet are compared, so
     that no link is lost.  Tables that grow with the documents are joined by shuffle at every size, and what
     leaves does not read what ``stored`` has written.
     """
-    keys = rows.select("node", F.explode("prefix").alias("key"))
-    met = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") < F.col("high"))
-    place = (F.array_position("prefix", F.col("key")) - 1).cast("int").alias("place")
-    shared = stored(keys.join(met.select("key").hint("merge"), "key", "left_semi").join(rows.hint("merge"), "node").select("key", "node", "n", place))
+    keys = rows.select("node", F.posexplode("prefix").alias("place", "key"))
+    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > 1)
+    shared = stored(keys.join(met.select("key").hint("merge"), "key", "left_semi")
+                    .join(rows.select("node", "n").hint("merge"), "node").select("key", "node", "n", "place"))
+    members = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("place", "key"))).alias("m"))
+    sides = stored(members.select("node", F.col("m.key").alias("prefix"), F.col("m.place").alias("place"))
+                   .join(rows.select("node", "n", "ranges").hint("merge"), "node"))
 
     end = F.col("end")
     ends = shared.groupBy("key").agg(F.min(F.struct("place", "n", "node")).alias("first"), F.max(F.struct("node", "n", "place")).alias("last"))
@@ -241,7 +264,7 @@ def connected(rows: DataFrame, whole: Callable[[DataFrame], DataFrame], least: t
     close = stored(shared.join(ends, "key").select("node", "n", "place", F.explode(F.array("first", "last")).alias("end"))
              .where((F.col("node") != end["node"]) & reached(F.least("n", end["n"]), F.col("n"), end["n"], least))
              .select(F.least("node", end["node"]).alias("a"), F.greatest("node", end["node"]).alias("b")).distinct())
-    linked = stored(_similar(close, rows, whole, least, stored))
+    linked = _similar(close, sides, whole, least, stored)
 
     placed = shared.join(components(linked), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where(F.col("low") < F.col("high"))
@@ -251,29 +274,29 @@ def connected(rows: DataFrame, whole: Callable[[DataFrame], DataFrame], least: t
         F.col("n"), F.col("place"), F.col("m"), F.col("at"), least)).select(F.col("node").alias("a"), "b").distinct())
     done = close.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.*")
     rest = rest.join(done, ["a", "b"], "left_anti")
-    return components(linked.unionByName(_similar(rest, rows, whole, least, stored)))
+    return components(linked.unionByName(_similar(rest, sides, whole, least, stored)))
 
 
-def classes(docs: DataFrame, prints: DataFrame, make: Callable[[DataFrame], DataFrame], least: tuple[int, int]) -> DataFrame:
-    """(doc_id, n, component_id) from stored ``prints`` (row, doc_id, digest, n, prefix, ranges).
+def classes(docs: DataFrame, heads: DataFrame, prints: DataFrame, make: Callable[[DataFrame], DataFrame], least: tuple[int, int]) -> DataFrame:
+    """(doc_id, n, component_id) from stored ``heads`` (row, doc_id, digest, n) and ``prints`` (row, n, prefix, ranges).
 
-    ``make`` gives (digest, keys) for rows of documents; it runs only over those in pairs that pass all filters.
+    ``make`` gives (digest, keys) for rows of documents; it runs only over those in pairs that pass all filters.  What
+    leaves does not read ``prints`` any more.
     """
-    nodes = stored(prints.groupBy("digest").agg(F.min(F.struct("row", "doc_id")).alias("r"), F.min("doc_id").alias("first_id"))
+    nodes = stored(heads.groupBy("digest").agg(F.min(F.struct("row", "doc_id")).alias("r"), F.min("doc_id").alias("first_id"))
                    .select("digest", "first_id", F.col("r.row").alias("node"), F.col("r.doc_id").alias("shown_by")))
 
     with Scratch(docs.sparkSession) as scratch:
         def whole(asked):
             wanted = scratch.stored(nodes.join(asked, "node", "left_semi").select("node", "digest", F.col("shown_by").alias("_shown")))
             rows = docs.select("doc_id", "text").join(wanted.select("_shown").distinct(), F.col("doc_id").eqNullSafe(F.col("_shown")), "left_semi")
-            found = make(rows.select("text")).join(wanted.select("digest", "node"), "digest")
-            return found.groupBy("node").agg(F.first("keys").alias("keys"))       # rows repeated under one doc_id
-        rows = scratch.stored(prints.join(nodes.select(F.col("node").alias("row")).hint("merge"), "row", "left_semi")
-                              .select(F.col("row").alias("node"), "n", "prefix", "ranges"))
+            sets = make(rows.select("text")).groupBy("digest").agg(F.first("keys").alias("keys"))      # rows repeated under one doc_id
+            return wanted.select("node", "digest"), sets
+        rows = prints.join(nodes.select(F.col("node").alias("row")).hint("merge"), "row", "left_semi").withColumnRenamed("row", "node")
         tree = connected(rows, whole, least, scratch.stored)
     rooted = nodes.join(tree, "node", "left").select("digest", "first_id", F.coalesce("root", "node").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("digest", "component_id")
-    return prints.select("doc_id", "digest", "n").join(named.hint("merge"), "digest").select("doc_id", "n", "component_id")
+    return heads.select("doc_id", "digest", "n").join(named.hint("merge"), "digest").select("doc_id", "n", "component_id")
 
 
 def join(docs: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
@@ -289,9 +312,11 @@ def join(docs: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = LEAST
     repeated rows appear as often as in the input.  A null doc_id takes part and is never the smallest
     unless all are null.  Extra columns are ignored; an empty table gives no rows.
     """
-    prints = stored(prefixes(docs, shingle, least).withColumn("row", F.monotonically_increasing_id()))
-    found = classes(docs, prints.where("n > 0"), lambda rows: keyed_sets(rows, shingle), least)
-    alone = prints.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    with Scratch(docs.sparkSession) as scratch:
+        prints = scratch.stored(prefixes(docs, shingle, least).withColumn("row", F.monotonically_increasing_id()))
+        heads = stored(prints.select("row", "doc_id", "digest", "n"))
+        found = classes(docs, heads.where("n > 0"), prints.where("n > 0"), lambda rows: keyed_sets(rows, shingle), least)
+    alone = heads.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
