@@ -234,9 +234,11 @@ def _similar(pairs: DataFrame, sides: DataFrame, whole: Callable[[DataFrame], Da
     met = left
     for x in "ab":
         met = met.join(names.select(F.col("node").alias(x), F.col("digest").alias(f"digest_{x}")), x)
-    for x, keys in (("a", "x"), ("b", "y")):
-        met = met.join(sets.select(F.col("digest").alias(f"digest_{x}"), F.col("keys").alias(keys)).hint("merge"), f"digest_{x}")
-    return stored(met.where(reached(F.size(F.array_intersect("x", "y")), F.col("n_a"), F.col("n_b"), least)).select("a", "b"))
+    with Scratch(pairs.sparkSession) as own:
+        sets = own.stored(sets)         # so that a join meets nothing but shuffles, which Spark splits where one set has many pairs
+        for x, keys in (("a", "x"), ("b", "y")):
+            met = met.join(sets.select(F.col("digest").alias(f"digest_{x}"), F.col("keys").alias(keys)).hint("merge"), f"digest_{x}")
+        return stored(met.where(reached(F.size(F.array_intersect("x", "y")), F.col("n_a"), F.col("n_b"), least)).select("a", "b"))
 
 
 def connected(rows: DataFrame, whole: Callable[[DataFrame], DataFrame], least: tuple[int, int], stored) -> DataFrame:
